@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup
+from tessella.llm import bpe, exact_dedup, token_files
 
 QUERIES = {
     "op6_block_names": exact_dedup.op6,
+    "op8_token_files": token_files.op8,
+    "op9_byte_bpe": bpe.op9,
 }
 
 ORACLE_SQL = {
