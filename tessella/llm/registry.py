@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, exact_dedup, token_files
+from tessella.llm import bpe, exact_dedup, mixing, token_files, url_filter
 
 QUERIES = {
     "op6_block_names": exact_dedup.op6,
+    "op7_url_cascade": url_filter.op7,
     "op8_token_files": token_files.op8,
     "op9_byte_bpe": bpe.op9,
+    "op10_raked_mix": mixing.op10,
 }
 
 ORACLE_SQL = {
     "op6_block_names": exact_dedup.OP6_SQL,
+    "op7_url_cascade": url_filter.OP7_SQL,
+    "op10_raked_mix": mixing.OP10_SQL,
 }
