@@ -56,7 +56,8 @@ def _name_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     left = blocks.join(F.broadcast(hot), F.col("block") == F.col("hot_block"), "left").select(
         RID, "doc_id", "sha", "n", "idx", "hot_name", F.when(F.col("hot_name").isNull(), F.col("block")).otherwise(apart).alias("key")
     )
-    right = names.select(F.col("block").alias("key"), "name")
+    # The condition always holds; with it, both uses of names need the same columns and share one exchange.
+    right = names.where(F.col("times") > 0).select(F.col("block").alias("key"), "name")
     return left.join(right, "key", "left").select(RID, "doc_id", "sha", "n", "idx", F.coalesce("hot_name", "name").alias("name"))
 
 
