@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, exact_dedup, mixing, token_files, url_filter
+from tessella.llm import bpe, exact_dedup, mixing, pii, quality, token_files, url_filter
 
 QUERIES = {
+    "op1_risk_rules": quality.op1,
+    "op5_pii_spans": pii.op5,
     "op6_block_names": exact_dedup.op6,
     "op7_url_cascade": url_filter.op7,
     "op8_token_files": token_files.op8,
@@ -13,6 +15,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_risk_rules": quality.OP1_SQL,
+    "op5_pii_spans": pii.OP5_SQL,
     "op6_block_names": exact_dedup.OP6_SQL,
     "op7_url_cascade": url_filter.OP7_SQL,
     "op10_raked_mix": mixing.OP10_SQL,
