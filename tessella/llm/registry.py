@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, exact_dedup, mixing, pii, quality, token_files, url_filter
+from tessella.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, token_files, url_filter
 
 QUERIES = {
     "op1_risk_rules": quality.op1,
+    "op2_dart_minhash": near_dedup.op2,
     "op5_pii_spans": pii.op5,
     "op6_block_names": exact_dedup.op6,
     "op7_url_cascade": url_filter.op7,
