@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, exact_dedup, lm_score, mixing, near_dedup, pii, quality, token_files, url_filter
+from tessella.llm import bpe, exact_dedup, lm_score, mixing, near_dedup, pii, quality, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_risk_rules": quality.op1,
     "op2_dart_minhash": near_dedup.op2,
+    "op3_classifier_chain": toxicity.op3,
     "op4_deleted_interpolation": lm_score.op4,
     "op5_pii_spans": pii.op5,
     "op6_block_names": exact_dedup.op6,
