@@ -1,6 +1,595 @@
-"""Every query over the driver's tables, with the same in DuckDB SQL."""
+"""Every query over the driver's tables, with the same in DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella import schemas
+from tessella.functions import hashing, text, values
+from tessella.operators import conversation, graph, memory, messaging, policy, scheduler, search, skills
+from tessella.plans import index, star
+from tessella.sources import files as source_files
+from tessella.sources import records as source_records
+
 QUERIES = {}
 ORACLE_SQL = {}
+_T = f"TIMESTAMP '{star.AS_OF}'"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _long(*columns: str) -> list:
+    return [F.col(c).cast("long").alias(c) for c in columns]
+
+
+# --- search ---
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = star.table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.concat(F.lit("v"), F.format_string("%08d", "vec_id")).alias("qualified_name"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.lit("").alias("file_path"), F.lit("vector").alias("kind"), F.col("embedding").alias("vector"))
+
+
+def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return star.table(spark, sf_dir, "embeddings").where("vec_id = 0").first().embedding
+
+
+_COS = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
+
+
+@query(f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, printf('v%08d', vec_id) LIMIT 20")
+def cosine_topk(spark, sf_dir):
+    """The 20 vectors nearest to vector 0."""
+    return search.semantic_search(_vectors(spark, sf_dir), _first_vector(spark, sf_dir), 20).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT CAST(len(embedding) AS BIGINT) AS dimension, count(*) AS vectors, CAST(sum(CASE WHEN list_bool_and(list_transform(embedding, lambda x: isfinite(x))) THEN 1 ELSE 0 END) AS BIGINT) AS valid FROM embeddings GROUP BY len(embedding)")
+def vector_dim_check(spark, sf_dir):
+    e = star.table(spark, sf_dir, "embeddings")
+    return e.groupBy(F.size("embedding").cast("long").alias("dimension")).agg(F.count(F.lit(1)).alias("vectors"), F.sum(F.when(values.valid_vector(F.col("embedding"), 64) | (F.size("embedding") != 64), 1).otherwise(0)).cast("long").alias("valid"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = star.table(spark, sf_dir, "part")
+    return p.select(F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.concat(F.col("p_brand"), F.lit("::"), F.format_string("%08d", "p_partkey")).alias("qualified_name"), F.col("p_brand").alias("file_path"), F.lit("").alias("parent_qualified"))
+
+
+_PARTS = "p AS (SELECT p_type AS kind, p_name AS name, p_brand || '::' || printf('%08d', p_partkey) AS qualified_name, p_brand AS file_path FROM part)"
+_TIER = "CASE WHEN lower(name) = '{q}' THEN 0 WHEN starts_with(lower(name), '{q}') THEN 1 ELSE 2 END"
+_BOOST = "CASE WHEN lower(name) = '{q}' THEN 3.0 WHEN starts_with(lower(name), '{q}') THEN 2.0 ELSE 0.0 END"
+
+
+@query(
+    f"WITH {_PARTS}, f AS (SELECT * FROM p WHERE contains(lower(name), 'part') AND (contains(lower(name), '1') OR contains(lower(qualified_name), '1')) ORDER BY {_TIER.format(q='part 1')}, qualified_name LIMIT 60) "
+    f"SELECT name, qualified_name, CAST(1.0 + {_BOOST.format(q='part 1')} + CASE WHEN file_path = 'Brand#1' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score FROM f ORDER BY score DESC, qualified_name LIMIT 20"
+)
+def keyword_search(spark, sf_dir):
+    return search.keyword_search(_parts(spark, sf_dir), "part 1", 20, context=["Brand#1"]).select("name", "qualified_name", "score")
+
+
+@query(f"WITH {_PARTS} SELECT {_TIER.format(q='part#1')} AS tier, CAST({_BOOST.format(q='part#1')} AS DOUBLE) AS boost, count(*) AS parts FROM p GROUP BY ALL")
+def exact_prefix_boost(spark, sf_dir):
+    """How many parts each tier has for a query."""
+    boost = search.ranking_boost("part#1")
+    return _parts(spark, sf_dir).groupBy(F.when(boost == 3, 0).when(boost == 2, 1).otherwise(2).alias("tier"), boost.alias("boost")).agg(F.count(F.lit(1)).alias("parts"))
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = star.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("lang").alias("kind"), F.col("source").alias("name"), F.format_string("%010d", "doc_id").alias("qualified_name"), F.col("lang").alias("file_path"), "text")
+
+
+def _bm25_sql(phrases: list[list[str]]) -> str:
+    """BM25 of documents.text for phrases of plain tokens, without stems."""
+    hit = lambda p: " AND ".join(f"w[i + {k}] = '{t}'" for k, t in enumerate(p))
+    count = ", ".join(f"len(list_filter(range(1, len(w) + 1), lambda i: coalesce({hit(p)}, false))) AS f{k}" for k, p in enumerate(phrases))
+    idf = lambda k: f"(CASE WHEN ln((n - n{k} + 0.5) / (n{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{k} + 0.5) / (n{k} + 0.5)) END)"
+    score = " + ".join(f"{idf(k)} * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * d / avgdl))" for k in range(len(phrases)))
+    return f"""w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+c AS (SELECT doc_id, len(w) AS d, {count} FROM w),
+s AS (SELECT count(*) AS n, avg(d) AS avgdl, {", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS n{k}" for k in range(len(phrases)))} FROM c),
+b AS (SELECT doc_id, {score} AS bm25 FROM c, s WHERE {" AND ".join(f"f{k} > 0" for k in range(len(phrases)))})"""
+
+
+@query(f"WITH {_bm25_sql([['the'], ['idiot']])} SELECT doc_id, round(bm25, 6) AS score FROM b")
+def bm25_scores(spark, sf_dir):
+    """BM25 of every document that has both words."""
+    return search.bm25_scores(_docs(spark, sf_dir), ["text"], "the idiot").select("doc_id", F.round("bm25", 6).alias("score"))
+
+
+@query(f"WITH {_bm25_sql([['token'], ['the']])} SELECT doc_id, round(bm25, 6) AS score FROM b ORDER BY bm25 DESC, doc_id LIMIT 20")
+def bm25_topk(spark, sf_dir):
+    return search.bm25_scores(_docs(spark, sf_dir), ["text"], "token the").orderBy(F.desc("bm25"), "doc_id").limit(20).select("doc_id", F.round("bm25", 6).alias("score"))
+
+
+@query(f"WITH {_bm25_sql([['of', 'the']])} SELECT doc_id, round(bm25, 6) AS score FROM b")
+def phrase_search(spark, sf_dir):
+    """Documents with the two words side by side."""
+    return search.bm25_scores(_docs(spark, sf_dir), ["text"], "of_the").select("doc_id", F.round("bm25", 6).alias("score"))
+
+
+@query()
+def bm25_porter(spark, sf_dir):
+    """BM25 on stems; the stemmer is no SQL."""
+    return search.bm25_scores(_docs(spark, sf_dir), ["text"], "things", stem=True).select("doc_id", F.round("bm25", 6).alias("score"))
+
+
+@query(
+    f"WITH {_bm25_sql([['the']])}, l AS (SELECT doc_id, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank FROM b ORDER BY bm25 DESC, doc_id LIMIT 60), "
+    f"v AS (SELECT vec_id, {_COS} AS s FROM embeddings), m AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM v ORDER BY s DESC, vec_id LIMIT 60) "
+    "SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM m) GROUP BY doc_id ORDER BY sum(1.0 / (60 + rank)) DESC, doc_id LIMIT 20"
+)
+def hybrid_rrf(spark, sf_dir):
+    """Documents by words and embeddings by cosine, fused by rank."""
+    lexical = search.bm25_scores(_docs(spark, sf_dir), ["text"], "the").orderBy(F.desc("bm25"), "doc_id").limit(60).select("doc_id", F.col("bm25").alias("score"))
+    semantic = search.semantic_search(_vectors(spark, sf_dir), _first_vector(spark, sf_dir), 60).select(F.col("vec_id").alias("doc_id"), "score")
+    fused = search.reciprocal_ranks([search.ranked(lexical, "doc_id"), search.ranked(semantic, "doc_id")], "doc_id")
+    return fused.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query("SELECT token, count(DISTINCT doc_id) AS docs, count(*) AS hits FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY token")
+def posting_counts(spark, sf_dir):
+    """Documents and hits of each token of the inverted index."""
+    return search.postings(_docs(spark, sf_dir), "doc_id", ["text"]).groupBy("token").agg(F.count_distinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("hits"))
+
+
+@query("SELECT label AS model, count(*) AS embedded, (SELECT count(*) FROM documents) AS indexed FROM embeddings GROUP BY label")
+def index_stats(spark, sf_dir):
+    e = star.table(spark, sf_dir, "embeddings").select(F.lit("i").alias("provider_identity"), F.lit("p").alias("provider"), F.col("label").alias("model"))
+    return search.index_stats(_docs(spark, sf_dir), e).select("model", "embedded", "indexed")
+
+
+# --- functions ---
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(regexp_replace(p_type || p_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda x: x <> ''), ' ') AS words FROM part")
+def identifier_split(spark, sf_dir):
+    return star.table(spark, sf_dir, "part").select("p_partkey", text.split_identifier(F.concat("p_type", "p_name")).alias("words"))
+
+
+@query(f"WITH {star.TASKS_SQL} SELECT id, task_type, work_shard FROM tasks")
+def work_shard(spark, sf_dir):
+    return star.tasks(spark, sf_dir).select("id", "task_type", "work_shard")
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, sha256(sha256(text) || chr(0) || lang) AS cache_key, substr(sha256(source), 1, 16) AS project_id, substr(md5(text), 1, 8) AS short_name FROM documents")
+def content_hash(spark, sf_dir):
+    d = star.table(spark, sf_dir, "documents")
+    h = hashing.content_hash(F.col("text"))
+    return d.select("doc_id", h.alias("content_hash"), hashing.cache_key(h, F.col("lang")).alias("cache_key"), hashing.project_id(F.col("source")).alias("project_id"), hashing.short_name(F.col("text")).alias("short_name"))
+
+
+# --- graph ---
+
+
+@query(
+    f"""WITH {star.NODES_SQL}, {star.EDGES_SQL}
+SELECT 'languages' AS section, lang AS key, count(*) AS count FROM documents GROUP BY lang
+UNION ALL SELECT 'top_level_directories', regexp_extract(url, '://([^/?#]*)', 1), count(*) FROM pages WHERE contains(substr(url, strpos(url, '://') + 3), '/') GROUP BY 2
+UNION ALL SELECT 'nodes', kind, count(*) FROM nodes GROUP BY kind UNION ALL SELECT 'edges', kind, count(*) FROM edges GROUP BY kind
+UNION ALL SELECT 'test_symbols', '', count(*) FROM nodes WHERE is_test AND kind <> 'file'"""
+)
+def overview_counts(spark, sf_dir):
+    urls = star.table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^.*?://", "").alias("path"))
+    langs = star.table(spark, sf_dir, "documents").select(F.lit("x").alias("path"), F.col("lang").alias("language"))
+    n, e = star.nodes(spark, sf_dir), star.edges(spark, sf_dir)
+    return graph.overview(langs, n, e).unionByName(graph.top_directories(urls).select(F.lit("top_level_directories").alias("section"), "key", "count"))
+
+
+@query(f"WITH {star.NODES_SQL}, {star.EDGES_SQL} SELECT qualified_name, n.name, count(*) AS indegree FROM nodes n JOIN edges e ON e.target_qualified = n.qualified_name WHERE e.kind <> 'CONTAINS' GROUP BY ALL ORDER BY indegree DESC, qualified_name LIMIT 20")
+def high_indegree(spark, sf_dir):
+    return graph.indegree(star.nodes(spark, sf_dir), star.edges(spark, sf_dir)).select("qualified_name", "name", "indegree")
+
+
+def _relation(relation: str, target: str, sql: str):
+    def run(spark, sf_dir):
+        return graph.related(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), relation, target, 100).select("qualified_name", "kind", "is_test")
+
+    run.__name__ = f"relation_{relation}"
+    query(f"WITH {star.NODES_SQL}, {star.EDGES_SQL}, f AS ({sql} ORDER BY 1 LIMIT 100) SELECT qualified_name, kind, is_test FROM nodes WHERE qualified_name IN (SELECT q FROM f)")(run)
+
+
+_relation("callers_of", "P:1", "SELECT DISTINCT source_qualified AS q FROM edges WHERE kind = 'CALLS' AND target_qualified = 'P:1'")
+_relation("callees_of", "O:1", "SELECT DISTINCT target_qualified AS q FROM edges WHERE kind = 'CALLS' AND source_qualified = 'O:1'")
+_relation("importers_of", "N:3", "SELECT DISTINCT source_qualified AS q FROM edges WHERE kind = 'IMPORTS' AND target_qualified = 'N:3'")
+_relation("inheritors_of", "R:1", "SELECT DISTINCT source_qualified AS q FROM edges WHERE kind = 'INHERITS' AND target_qualified = 'R:1'")
+_relation("references_to", "S:5", "SELECT DISTINCT source_qualified AS q FROM edges WHERE kind = 'REFERENCES' AND target_qualified = 'S:5'")
+_relation("tests_for", "S:5", "SELECT DISTINCT source_qualified AS q FROM edges WHERE kind IN ('CALLS', 'REFERENCES') AND target_qualified = 'S:5' AND source_qualified IN (SELECT qualified_name FROM nodes WHERE is_test)")
+_relation("children_of", "N:3", "SELECT qualified_name AS q FROM nodes WHERE parent_qualified = 'N:3'")
+
+
+def _named_edges(spark, sf_dir):
+    li = star.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    p = star.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
+    # Each line item names its part's type word; the file is the part's brand.
+    return li.join(p, "l_partkey").select(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.lit("CALLS").alias("kind"), F.concat(F.lit("P:"), F.col("l_partkey").cast("string")).alias("source_qualified"), F.col("p_name").alias("target_name"), F.concat(F.lit("B:"), F.col("p_brand")).alias("file_path"))
+
+
+@query(
+    f"""WITH {star.NODES_SQL}, e AS (SELECT l_orderkey || ':' || l_linenumber AS id, 'P:' || l_partkey AS source_qualified, p_name AS target_name, 'B:' || p_brand AS file_path FROM lineitem JOIN part ON l_partkey = p_partkey),
+l AS (SELECT name, file_path, max(qualified_name) AS q FROM nodes GROUP BY ALL HAVING count(*) = 1), g AS (SELECT name, max(qualified_name) AS q FROM nodes GROUP BY name HAVING count(*) = 1)
+SELECT e.id, coalesce(x.qualified_name, l.q, g.q) AS target_qualified FROM e LEFT JOIN nodes x ON x.qualified_name = e.target_name LEFT JOIN l ON l.name = e.target_name AND l.file_path = e.file_path LEFT JOIN g ON g.name = e.target_name"""
+)
+def resolve_edges(spark, sf_dir):
+    return graph.resolve_edges(_named_edges(spark, sf_dir), star.nodes(spark, sf_dir)).select("id", "target_qualified")
+
+
+@query(
+    f"""WITH {star.NODES_SQL}, {star.EDGES_SQL}, u AS (SELECT * FROM edges WHERE kind <> 'CONTAINS'), s AS (SELECT 'R:0' AS q),
+h1 AS (SELECT source_qualified AS q, target_qualified AS t, kind, row_number() OVER (PARTITION BY source_qualified ORDER BY target_qualified, kind) AS n FROM u WHERE target_qualified = 'R:0' AND source_qualified <> 'R:0'),
+l1 AS (SELECT q, kind, t, row_number() OVER (ORDER BY q) AS place FROM h1 WHERE n = 1 AND q IN (SELECT qualified_name FROM nodes)),
+h2 AS (SELECT source_qualified AS q, target_qualified AS t, u.kind, place, row_number() OVER (PARTITION BY source_qualified ORDER BY place, u.kind, target_qualified) AS n FROM u JOIN l1 ON target_qualified = l1.q WHERE source_qualified <> 'R:0' AND source_qualified NOT IN (SELECT q FROM h1)),
+l2 AS (SELECT q, kind, t, row_number() OVER (ORDER BY place, q) AS place FROM h2 WHERE n = 1 AND q IN (SELECT qualified_name FROM nodes))
+SELECT q AS qualified_name, CAST(1 AS BIGINT) AS depth, kind AS via_relation, t AS via_target, place FROM l1 UNION ALL SELECT q, 2, kind, t, place FROM l2"""
+)
+def impact_two_hop(spark, sf_dir):
+    """What depends on region 0, in the order of a breadth-first search."""
+    seeds = spark.createDataFrame([("R:0",)], "qualified_name string")
+    return graph.impact(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), seeds).select("qualified_name", *_long("depth"), "via_relation", "via_target", *_long("place"))
+
+
+def _dag(spark, sf_dir):
+    """Nations as tasks blocked by their region's first nation, with a duplicate, a dangling reference, and a cycle."""
+    n = star.table(spark, sf_dir, "nation")
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    base = n.select(name(F.col("n_nationkey")).alias("id"), F.when(F.col("n_nationkey") < 5, F.array().cast("array<string>")).otherwise(F.array(name(F.col("n_nationkey") - 5), name(F.col("n_nationkey") - 1))).alias("blocked_by"))
+    extra = spark.createDataFrame([("n3", []), ("n0", ["n99"]), ("n6", ["n24"])], "id string, blocked_by array<string>")
+    return base.unionByName(extra)
+
+
+_DAG = """dag AS (SELECT 'n' || n_nationkey AS id, CASE WHEN n_nationkey < 5 THEN [] ELSE ['n' || (n_nationkey - 5), 'n' || (n_nationkey - 1)] END AS b FROM nation
+UNION ALL SELECT 'n3', [] UNION ALL SELECT 'n0', ['n99'] UNION ALL SELECT 'n6', ['n24']), links AS (SELECT DISTINCT id, unnest(b) AS blocker FROM dag)"""
+
+
+@query(f"WITH {_DAG} SELECT 'duplicate_id' AS rule, id AS detail FROM dag GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'missing_reference', id || ' -> ' || blocker FROM links WHERE blocker NOT IN (SELECT id FROM dag)")
+def dag_errors(spark, sf_dir):
+    return graph.dag_errors(_dag(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {_DAG}, reach AS (SELECT blocker AS a, id AS b FROM links UNION SELECT r.a, l.id FROM reach r JOIN links l ON l.blocker = r.b), cyc AS (SELECT DISTINCT a FROM reach WHERE a = b)
+SELECT DISTINCT b AS id FROM reach WHERE a IN (SELECT a FROM cyc) AND (b IN (SELECT a FROM cyc) OR EXISTS (SELECT 1 FROM reach z WHERE z.a = reach.b AND z.b IN (SELECT a FROM cyc)))"""
+)
+def dag_cycle_nodes(spark, sf_dir):
+    d = _dag(spark, sf_dir)
+    links = d.select("id", F.explode("blocked_by").alias("blocker"))
+    return graph.cycle_nodes(links)
+
+
+@query()
+def dag_cycle_paths(spark, sf_dir):
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "c")], "blocker string, id string")
+    return graph.cycle_paths(links).select(F.array_join("path", " -> ").alias("path"))
+
+
+# --- scheduler ---
+
+
+@query(f"WITH {star.TASKS_SQL} SELECT status, count(*) AS tasks FROM tasks GROUP BY status")
+def task_board(spark, sf_dir):
+    return scheduler.board(star.tasks(spark, sf_dir))
+
+
+@query(f"WITH {star.TASKS_SQL} SELECT DISTINCT thread_id, task_type, work_shard FROM tasks WHERE status = 'pending' ORDER BY ALL LIMIT 256")
+def ready_shards(spark, sf_dir):
+    return scheduler.ready_shards(star.tasks(spark, sf_dir))
+
+
+_LINE = "line AS (SELECT *, row_number() OVER (PARTITION BY task_type, work_shard ORDER BY priority, updated_at, id) AS place FROM tasks WHERE status = 'pending')"
+
+
+@query(f"WITH {star.TASKS_SQL}, {_LINE} SELECT id, task_type, work_shard, place FROM line")
+def claim_order(spark, sf_dir):
+    return scheduler.claim_order(star.tasks(spark, sf_dir), ("task_type", "work_shard")).select("id", "task_type", "work_shard", *_long("place"))
+
+
+@query(
+    f"""WITH {star.TASKS_SQL}, {_LINE}, r AS (SELECT 'runtime-' || s_suppkey AS runtime_id, (['fetch', 'merge', 'report'])[s_suppkey % 3 + 1] AS task_type, CAST(s_suppkey % 64 AS INTEGER) AS work_shard FROM supplier),
+i AS (SELECT *, row_number() OVER (PARTITION BY task_type, work_shard ORDER BY runtime_id) AS place FROM r)
+SELECT id, runtime_id, place, CAST({_T} + INTERVAL 60 SECONDS AS VARCHAR) AS lease FROM line JOIN i USING (task_type, work_shard, place)"""
+)
+def claim_zip(spark, sf_dir):
+    """Each idle runtime of a shard gets its task in line."""
+    s = star.table(spark, sf_dir, "supplier")
+    kind = F.element_at(F.array(F.lit("fetch"), F.lit("merge"), F.lit("report")), (F.pmod(F.col("s_suppkey"), F.lit(3)) + 1).cast("int"))
+    runtimes = s.select(F.concat(F.lit("runtime-"), F.col("s_suppkey").cast("string")).alias("runtime_id"), F.lit("idle").alias("status"), F.lit("t").alias("thread_id"), kind.alias("task_type"), F.pmod(F.col("s_suppkey"), F.lit(64)).cast("int").alias("work_shard"))
+    tasks = star.tasks(spark, sf_dir).withColumns({"thread_id": F.lit("t"), "current_attempt": F.lit(None).cast("int"), "current_execution_id": F.lit(None).cast("string")})
+    won = scheduler.claim(tasks, runtimes, star.as_of())
+    return won.select("id", "runtime_id", *_long("place"), F.date_format("lease_expires_at", "yyyy-MM-dd HH:mm:ss").alias("lease"))
+
+
+@query(f"WITH {star.TASKS_SQL}, {star.DEPENDENCIES_SQL} SELECT task_id, count(*) FILTER (WHERE status <> 'completed') AS remaining FROM dependencies LEFT JOIN tasks ON id = blocker_id GROUP BY task_id")
+def remaining_blockers(spark, sf_dir):
+    return scheduler.remaining_blockers(star.dependencies(spark, sf_dir), star.tasks(spark, sf_dir))
+
+
+@query(
+    f"WITH {star.TASKS_SQL}, {star.DEPENDENCIES_SQL}, touched AS (SELECT DISTINCT task_id FROM dependencies WHERE blocker_id IN (SELECT id FROM tasks WHERE status = 'completed')) "
+    "SELECT task_id FROM dependencies LEFT JOIN tasks ON id = blocker_id WHERE task_id IN (SELECT task_id FROM touched) GROUP BY task_id HAVING count(*) FILTER (WHERE status <> 'completed') = 0"
+)
+def unblocked(spark, sf_dir):
+    t = star.tasks(spark, sf_dir)
+    return scheduler.unblocked_by(t.where("status = 'completed'"), star.dependencies(spark, sf_dir), t)
+
+
+_CURRENT = "cur AS (SELECT task_id, arg_max(execution_id, sequence_no) AS execution_id, arg_max(attempt, sequence_no) AS attempt, arg_max(status, sequence_no) AS status FROM executions GROUP BY task_id)"
+
+
+def _current(spark, sf_dir):
+    x = scheduler.latest(star.executions(spark, sf_dir), ["task_id"], ["sequence_no"])
+    return x.select(F.col("task_id").alias("id"), F.col("execution_id").alias("current_execution_id"), F.col("attempt").alias("current_attempt"), "status", F.lit("general").alias("task_type"), F.lit(0).alias("work_shard"), F.lit("{}").alias("metadata"), F.lit("o").alias("owner"))
+
+
+@query(f"WITH {star.EXECUTIONS_SQL}, {_CURRENT} SELECT task_id, execution_id, attempt, status FROM cur")
+def latest_state(spark, sf_dir):
+    return _current(spark, sf_dir).select(F.col("id").alias("task_id"), F.col("current_execution_id").alias("execution_id"), F.col("current_attempt").alias("attempt"), "status")
+
+
+@query(f"WITH {star.EXECUTIONS_SQL}, {_CURRENT} SELECT e.task_id, e.execution_id, e.attempt < 2 AS retry_scheduled FROM executions e JOIN cur USING (task_id, execution_id, attempt) WHERE e.status IN ('claimed', 'running') AND e.lease_expires_at < TIMESTAMP '2024-02-15 00:00:00'")
+def lease_expired(spark, sf_dir):
+    over = scheduler.expired(star.executions(spark, sf_dir), _current(spark, sf_dir), F.lit("2024-02-15 00:00:00").cast("timestamp"))
+    return over.select("task_id", "execution_id", "retry_scheduled")
+
+
+@query(f"WITH {star.EXECUTIONS_SQL}, {_CURRENT} SELECT task_id AS id, CASE WHEN attempt < 2 THEN 'pending' ELSE 'failed' END AS status, 'boom' AS last_error FROM cur WHERE status = 'failed'")
+def retry_decision(spark, sf_dir):
+    now = _current(spark, sf_dir)
+    failed = now.where("status = 'failed'").select(F.col("id").alias("task_id"), F.col("current_execution_id").alias("execution_id"), F.col("current_attempt").alias("attempt"))
+    return scheduler.task_after_failure(now, failed, F.lit("boom"), star.as_of()).select("id", "status", F.get_json_object("metadata", "$.last_error").alias("last_error"))
+
+
+@query(f"WITH {star.EXECUTIONS_SQL}, {_CURRENT} SELECT CASE WHEN c.execution_id IS NOT NULL AND e.status = 'running' THEN 'execution.completed' ELSE 'execution.stale_update_rejected' END AS event_type, count(*) AS updates FROM executions e LEFT JOIN cur c USING (task_id, execution_id, attempt) GROUP BY 1")
+def stale_updates(spark, sf_dir):
+    """A completion sent for every attempt: only the current, running ones are accepted."""
+    x = star.executions(spark, sf_dir)
+    updates = x.select("task_id", "execution_id", "attempt", "runtime_id", F.lit("complete").alias("operation"))
+    return scheduler.fence(updates, x, _current(spark, sf_dir)).groupBy("event_type").agg(F.count(F.lit(1)).alias("updates"))
+
+
+@query("SELECT event_id AS sequence_no, row_number() OVER w AS place, lag(event_type) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def event_sequence(spark, sf_dir):
+    e = star.executions(spark, sf_dir).withColumn("execution_id", F.col("task_id")).withColumn("attempt", F.lit(1))
+    return scheduler.event_order(e).select("sequence_no", *_long("place"), "after")
+
+
+# --- messages ---
+
+
+@query(
+    f"""WITH {star.ENVELOPES_SQL} SELECT event_id, CASE WHEN event_type IN ('task_available', 'execution_cancel') THEN 'agent-command' WHEN event_type LIKE 'permission.%' THEN 'permission-event' WHEN event_type LIKE 'task.%' THEN 'task-event' ELSE 'agent-message' END AS topic,
+CASE WHEN event_type = 'execution_cancel' THEN target ELSE coalesce(task_id, request_id, target, event_id) END AS message_key,
+CASE WHEN event_type = 'execution_cancel' AND target IS NULL THEN 'a directed message needs a target' END AS error FROM envelopes"""
+)
+def route_messages(spark, sf_dir):
+    return messaging.route(star.envelopes(spark, sf_dir)).withColumn("error", messaging.envelope_error()).select("event_id", "topic", "message_key", "error")
+
+
+def _outbox(spark, sf_dir):
+    e = star.envelopes(spark, sf_dir)
+    return e.select("event_id", "created_at", "retry_count", F.when(F.col("event_type") == "note", "published").otherwise("pending").alias("status"), F.when(F.col("retry_count") > 3, values.after_seconds(F.col("created_at"), values.backoff_seconds(F.col("retry_count"), 1.0))).alias("next_retry_at"))
+
+
+_OUTBOX = "outbox AS (SELECT event_id, created_at, retry_count, CASE WHEN event_type = 'note' THEN 'published' ELSE 'pending' END AS status, CASE WHEN retry_count > 3 THEN created_at + to_seconds(CAST(pow(2, least(retry_count, 10)) AS BIGINT)) END AS next_retry_at FROM envelopes)"
+
+
+@query(f"WITH {star.ENVELOPES_SQL}, {_OUTBOX} SELECT event_id FROM outbox WHERE status = 'pending' AND (next_retry_at IS NULL OR next_retry_at <= {_T})")
+def outbox_due(spark, sf_dir):
+    return messaging.due(_outbox(spark, sf_dir), star.as_of(), None).select("event_id")
+
+
+@query(f"WITH {star.ENVELOPES_SQL}, {_OUTBOX} SELECT event_id FROM outbox WHERE status = 'pending' AND (next_retry_at IS NULL OR next_retry_at <= {_T}) ORDER BY created_at, event_id LIMIT 50")
+def outbox_batch(spark, sf_dir):
+    return messaging.due(_outbox(spark, sf_dir), star.as_of()).select("event_id")
+
+
+@query(
+    f"""WITH {star.ENVELOPES_SQL}, {_OUTBOX} SELECT event_id, CASE WHEN retry_count % 2 = 0 THEN 'published' WHEN retry_count + 1 >= 12 THEN 'failed' ELSE 'pending' END AS status,
+CAST(CASE WHEN retry_count % 2 = 0 THEN retry_count ELSE retry_count + 1 END AS BIGINT) AS retry_count,
+CASE WHEN retry_count % 2 = 1 AND retry_count + 1 < 12 THEN CAST(pow(2, least(retry_count + 1, 10)) AS DOUBLE) END AS wait_seconds FROM outbox"""
+)
+def backoff_schedule(spark, sf_dir):
+    """The outbox after every second message failed."""
+    tried = _outbox(spark, sf_dir).withColumn("error", F.when(F.pmod(F.col("retry_count"), F.lit(2)) == 1, "down"))
+    out = messaging.after_dispatch(tried, star.as_of())
+    wait = (F.col("next_retry_at").cast("double") - star.as_of().cast("double")).alias("wait_seconds")
+    return out.select("event_id", "status", *_long("retry_count"), wait)
+
+
+@query(f"WITH {star.ENVELOPES_SQL} SELECT coalesce(target, 'all') AS consumer_name, event_type || ':' || coalesce(task_id, '-') AS event_id, min(created_at) AS at FROM envelopes GROUP BY ALL")
+def inbox_dedup(spark, sf_dir):
+    e = star.envelopes(spark, sf_dir)
+    d = e.select(F.coalesce("target", F.lit("all")).alias("consumer_name"), F.concat("event_type", F.lit(":"), F.coalesce("task_id", F.lit("-"))).alias("event_id"), F.col("created_at").alias("at"))
+    return messaging.first_deliveries(d)
+
+
+@query(f"WITH {star.ENVELOPES_SQL}, {_OUTBOX} SELECT CASE WHEN retry_count % 2 = 0 THEN 'published' ELSE 'retry' END AS delivery_status, count(*) AS attempts, CAST(sum(retry_count) AS BIGINT) AS retries FROM outbox GROUP BY 1")
+def delivery_audit(spark, sf_dir):
+    tried = _outbox(spark, sf_dir).withColumn("error", F.when(F.pmod(F.col("retry_count"), F.lit(2)) == 1, "down"))
+    return messaging.delivery_audit(tried, star.as_of()).groupBy("delivery_status").agg(F.count(F.lit(1)).alias("attempts"), F.sum("retry_count").cast("long").alias("retries"))
+
+
+@query(f"WITH {star.ENVELOPES_SQL} SELECT event_id FROM envelopes WHERE (event_type = 'note' OR event_type = 'task.published') AND (target = 'runtime-2' OR target IS NULL)")
+def subscription_filter(spark, sf_dir):
+    return messaging.route(star.envelopes(spark, sf_dir)).where(messaging.accepts("note || task.published") & messaging.addressed_to("runtime-2", True)).select("event_id")
+
+
+@query(f"SELECT 'r' || event_id AS request_id, CASE WHEN event_type = 'purchase' THEN 'approved' WHEN ts + INTERVAL 300 SECONDS < {_T} THEN 'rejected' ELSE 'pending' END AS decision FROM events")
+def permission_states(spark, sf_dir):
+    e = star.table(spark, sf_dir, "events")
+    rid = F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("request_id")
+    decided = e.where("event_type = 'purchase'").select(rid, F.lit("approved").alias("decision"), F.lit("ok").alias("reason"), F.lit("lead").alias("decided_by"), F.col("ts").alias("decided_at"))
+    return messaging.permissions(e.select(rid, F.col("ts").alias("created_at")), decided, star.as_of()).select("request_id", "decision")
+
+
+# --- conversations ---
+
+
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, turn, role, text, CAST(0 AS BIGINT) AS note FROM r WHERE n <= 4 OR i <= 2 OR i > n - 2
+UNION ALL SELECT conv_id, turn, 'user', '[Context trimmed: removed ' || (n - 4) || ' messages in the middle]', 1 FROM r WHERE n > 4 AND i = 2"""
+)
+def snip_compact(spark, sf_dir):
+    return conversation.snip(star.table(spark, sf_dir, "conversations"), 4).select("conv_id", "turn", "role", "text", *_long("note"))
+
+
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS b FROM conversations)
+SELECT conv_id, turn, CASE WHEN role = 'assistant' AND b > 1 THEN 'user' ELSE role END AS role, CASE WHEN role = 'assistant' AND b > 1 THEN '[Previous tool result omitted, re-run if needed]' ELSE text END AS text FROM r"""
+)
+def micro_compact(spark, sf_dir):
+    return conversation.micro(star.table(spark, sf_dir, "conversations"), "assistant", 1).select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT conv_id, CAST(sum(ceil(length(coalesce(text, '')) / 4.0) + 10) AS BIGINT) AS tokens, sum(ceil(length(coalesce(text, '')) / 4.0) + 10) > 500 AS over FROM conversations GROUP BY conv_id")
+def token_budget(spark, sf_dir):
+    return conversation.token_totals(star.table(spark, sf_dir, "conversations"), 500).select("conv_id", *_long("tokens"), "over")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'assistant' AND length(text) > 200 THEN '[Tool result too large] File: tool_result_' || substr(md5(text), 1, 8) || '.txt' || chr(10) || 'Preview:' || chr(10) || substr(text, 1, 50) ELSE text END AS text FROM conversations")
+def tool_result_budget(spark, sf_dir):
+    return conversation.tool_budget(star.table(spark, sf_dir, "conversations"), "assistant", 200, 50).select("conv_id", "turn", "text")
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, role, row_number() OVER w AS b, lag(role) OVER w AS nxt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE b <= 2 OR (b = 3 AND role = 'user' AND nxt = 'assistant')")
+def reactive_tail(spark, sf_dir):
+    return conversation.recent(star.table(spark, sf_dir, "conversations"), 2, "user", "assistant").select("conv_id", "turn")
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS text, true AS memory_enabled FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def latest_user_text(spark, sf_dir):
+    return conversation.latest_user_text(star.table(spark, sf_dir, "conversations"))
+
+
+@query("WITH r AS (SELECT conv_id, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT conv_id, count(*) AS rounds FROM r WHERE role = 'user' AND nxt = 'assistant' GROUP BY conv_id HAVING count(*) >= 2")
+def review_due(spark, sf_dir):
+    return conversation.review_due(star.table(spark, sf_dir, "conversations"), 2, "user", "assistant")
+
+
+# --- memory and skills ---
+
+
+@query(
+    f"WITH {star.RECORDS_SQL}, r AS (SELECT id, scope, row_number() OVER (PARTITION BY scope ORDER BY updated_at DESC, id DESC) AS n FROM records) SELECT id, scope, row_number() OVER (ORDER BY CASE WHEN scope = 'user' THEN 0 ELSE 1 END, n) AS key FROM r WHERE n <= 100"
+)
+def memory_candidates(spark, sf_dir):
+    return memory.candidates(star.records(spark, sf_dir)).select("id", "scope", *_long("key"))
+
+
+@query(f"WITH {star.RECORDS_SQL} SELECT id FROM records WHERE scope = 'project' ORDER BY updated_at DESC, id DESC LIMIT 20 OFFSET 10")
+def memory_page(spark, sf_dir):
+    return memory.page(memory.listed(star.records(spark, sf_dir), "project", "project"), 20, 10).select("id")
+
+
+@query(f"WITH {star.RECORDS_SQL} SELECT id, CASE WHEN length(content) > 16000 THEN 'content is empty or too long' END AS error FROM records")
+def memory_save_errors(spark, sf_dir):
+    return star.records(spark, sf_dir).select("id", memory.save_error().alias("error"))
+
+
+_UP = "n AS (SELECT name, count(*) FILTER (WHERE source = 'user') AS u, count(*) FILTER (WHERE source = 'project') AS p FROM skills GROUP BY name)"
+
+
+@query(f"WITH {star.SKILLS_SQL}, {_UP} SELECT name, arg_min(source, source) AS source, arg_min(description, source) AS description FROM skills JOIN n USING (name) WHERE p = 1 OR (p = 0 AND u = 1) GROUP BY name")
+def catalog_override(spark, sf_dir):
+    return skills.resolved(star.skills(spark, sf_dir)).select("name", "source", "description")
+
+
+@query(f"WITH {star.SKILLS_SQL}, {_UP} SELECT name FROM n WHERE p > 1 OR (u > 1 AND p = 0)")
+def catalog_conflicts(spark, sf_dir):
+    return skills.conflicts(star.skills(spark, sf_dir))
+
+
+# --- policy ---
+
+
+@query(
+    "SELECT doc_id, CASE WHEN contains(text, 'the idiot') THEN 'the idiot' WHEN contains(text, '***') THEN '***' WHEN contains(text, 'token') THEN 'token' END AS pattern FROM documents"
+)
+def deny_scan(spark, sf_dir):
+    """The first of some substrings that each document has."""
+    return star.table(spark, sf_dir, "documents").select("doc_id", policy.first_contained(F.col("text"), ("the idiot", "***", "token")).alias("pattern"))
+
+
+@query(
+    """WITH c AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'bash' WHEN 'view' THEN 'write_file' ELSE 'read' END AS tool,
+CASE event_type WHEN 'click' THEN (['ls', 'sudo ls', 'rm -rf x', 'rm y'])[user_id % 4 + 1] END AS command, CASE event_type WHEN 'view' THEN (['a.txt', '/etc/x', '../b', 'd/../e'])[user_id % 4 + 1] END AS path FROM events)
+SELECT event_id, CASE WHEN command = 'sudo ls' THEN 'deny' WHEN command IN ('rm -rf x', 'rm y') OR path IN ('/etc/x', '../b') THEN 'ask' ELSE 'allow' END AS decision,
+CASE WHEN command = 'sudo ls' THEN 'Blocked: ''sudo'' is on the deny list' WHEN command = 'rm -rf x' THEN 'Operation matches dangerous pattern: rm -rf' WHEN path = '/etc/x' THEN 'Operation matches dangerous pattern: /etc/'
+WHEN path = '../b' THEN 'Writing outside workspace' WHEN command = 'rm y' THEN 'Potentially dangerous command' END AS reason FROM c"""
+)
+def rule_first_match(spark, sf_dir):
+    e = star.table(spark, sf_dir, "events")
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.col("user_id"), F.lit(4)) + 1).cast("int"))
+    calls = e.select(
+        "event_id", F.when(F.col("event_type") == "click", "bash").when(F.col("event_type") == "view", "write_file").otherwise("read").alias("tool"),
+        F.when(F.col("event_type") == "click", pick(["ls", "sudo ls", "rm -rf x", "rm y"])).alias("command"), F.when(F.col("event_type") == "view", pick(["a.txt", "/etc/x", "../b", "d/../e"])).alias("path"),
+    )
+    return policy.decide(calls).select("event_id", "decision", "reason")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, '***redacted***' AS prompt FROM events")
+def redact_props(spark, sf_dir):
+    e = star.table(spark, sf_dir, "events")
+    m = values.redact(F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("Prompt"), F.lit("secret"))))
+    return e.select("event_id", m["k"].alias("k"), m["Prompt"].alias("prompt"))
+
+
+# --- index ---
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 = 0 THEN 'deleted' WHEN doc_id % 11 = 0 THEN 'added' WHEN doc_id % 5 = 0 AND text <> upper(text) THEN 'changed' ELSE 'unchanged' END AS state FROM documents WHERE NOT (doc_id % 7 = 0 AND doc_id % 11 = 0)")
+def snapshot_diff(spark, sf_dir):
+    """Documents at two states: some deleted, some added, some in capitals."""
+    d = star.table(spark, sf_dir, "documents")
+    path = F.col("doc_id").cast("string").alias("path")
+    m = lambda k: F.pmod(F.col("doc_id"), F.lit(k)) == 0
+    before = d.where(~m(11)).select(path, F.sha2("text", 256).alias("content_hash"))
+    after = d.where(~m(7)).select(path, F.sha2(F.when(m(5), F.upper("text")).otherwise(F.col("text")), 256).alias("content_hash"))
+    return index.diff(before, after)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS qualified_name FROM documents WHERE doc_id % 3 = 0")
+def cache_miss(spark, sf_dir):
+    """Texts whose cached embedding is of another text."""
+    d = star.table(spark, sf_dir, "documents")
+    name = F.col("doc_id").cast("string").alias("qualified_name")
+    wanted = d.select(name, F.sha2("text", 256).alias("text_hash"))
+    cached = d.select(name, F.when(F.pmod(F.col("doc_id"), F.lit(3)) == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256)).alias("text_hash"))
+    return index.cache_misses(wanted, cached).select("qualified_name")
+
+
+@query("SELECT 'status' AS rule, count(*) AS rows FROM orders WHERE o_orderstatus = 'P'")
+def schema_violations(spark, sf_dir):
+    """Tasks whose status is not one of those allowed."""
+    t = star.tasks(spark, sf_dir).withColumn("status", F.when(F.col("status") == "in_progress", "odd").otherwise(F.col("status"))).withColumns({"current_attempt": F.lit(None).cast("int"), "current_execution_id": F.lit(None).cast("string")})
+    return schemas.violations(t, schemas.task_checks()).groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("SELECT page_id, CASE lower(regexp_extract(url, '(\\.[^./?#]+)$', 1)) WHEN '.py' THEN 'python' WHEN '.c' THEN 'c' END AS language FROM pages")
+def file_languages(spark, sf_dir):
+    return star.table(spark, sf_dir, "pages").select("page_id", source_files.language(F.col("url")).alias("language"))
+
+
+@query()
+def code_symbols(spark, sf_dir):
+    """Symbols and edges of a small Python and C tree."""
+    rows = [("pkg/core.py", b"class A:\n    def f(self):\n        return g()\n\ndef g():\n    return 1\n"), ("tests/test_core.py", b"from pkg.core import g\n\ndef test_g():\n    assert g() == 1\n"), ("src/a.c", b'#include "b.h"\nint twice(int x) { return add(x, x); }\n')]
+    nodes, edges = source_files.symbols(source_files.classify(spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")))
+    out = nodes.select("kind", F.col("qualified_name").alias("source"), F.col("parent_qualified").alias("target"))
+    return out.unionByName(edges.select("kind", F.col("source_qualified").alias("source"), F.col("target_name").alias("target")))
+
+
+@query()
+def dag_replies(spark, sf_dir):
+    """Replies of a planner, parsed and checked."""
+    replies = [('```json\n{"plan_summary": "p", "tasks": [{"id": "a", "subject": "s", "description": "d", "blockedBy": []}]}\n```',), ('{"tasks": []}',), ("no json",)]
+    return source_records.parse_dags(spark.createDataFrame(replies, "reply string")).select(F.col("dag.plan_summary").alias("plan_summary"), F.array_join("errors", "; ").alias("errors"))

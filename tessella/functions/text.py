@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,13 +129,11 @@ def porter(w: str) -> str:
     return w
 
 
-def stem_tokens(words: Column) -> Column:
-    """Stems of an array of tokens, with each different word of a batch stemmed once."""
-    import pandas as pd
+def _stem_batch(batch: pd.Series) -> pd.Series:
+    known: dict[str, str] = {}
+    return batch.map(lambda ws: [known[w] if w in known else known.setdefault(w, porter(w)) for w in ws])
 
-    @F.pandas_udf("array<string>")
-    def run(batch: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return batch.map(lambda ws: [known[w] if w in known else known.setdefault(w, porter(w)) for w in ws])
 
-    return run(words)
+def stem_tokens(words: Column) -> Column:
+    """Stems of an array of tokens, with each different word of a batch stemmed once."""
+    return F.pandas_udf(_stem_batch, "array<string>")(words)

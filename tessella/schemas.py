@@ -10,24 +10,36 @@ from pyspark.sql import types as T
 
 SCHEMA_VERSION = 3
 
-FILES = T._parse_datatype_string("path string, language string, size long, mtime_ns long, content_hash string")
-NODES = T._parse_datatype_string("file_path string, kind string, name string, qualified_name string, parent_qualified string, line_start int, line_end int, is_test boolean")
-EDGES = T._parse_datatype_string("file_path string, kind string, source_qualified string, target_name string, target_qualified string, line int")
-EMBEDDINGS = T._parse_datatype_string("qualified_name string, provider_identity string, text_hash string, vector array<float>, dimension int, provider string, model string")
-TASKS = T._parse_datatype_string(
+_KINDS = {
+    "string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+    "map<string,string>": T.MapType(T.StringType(), T.StringType()), "array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType()),
+}
+
+
+def _rows(columns: str) -> T.StructType:
+    """A row type from "name kind, name kind"; needs no session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split(" ", 1) for c in columns.split(", "))])
+
+
+FILES = _rows("path string, language string, size long, mtime_ns long, content_hash string")
+NODES = _rows("file_path string, kind string, name string, qualified_name string, parent_qualified string, line_start int, line_end int, is_test boolean")
+EDGES = _rows("file_path string, kind string, source_qualified string, target_name string, target_qualified string, line int")
+EMBEDDINGS = _rows("qualified_name string, provider_identity string, text_hash string, vector array<float>, dimension int, provider string, model string")
+TASKS = _rows(
     "id string, subject string, description string, thread_id string, owner string, status string, blocked_by_count int, claimed_at timestamp, lease_expires_at timestamp, "
     "last_heartbeat timestamp, metadata string, updated_at timestamp, task_type string, work_shard int, card_selector string, current_execution_id string, current_attempt int"
 )
-DEPENDENCIES = T._parse_datatype_string("task_id string, blocker_id string")
-EXECUTIONS = T._parse_datatype_string(
+DEPENDENCIES = _rows("task_id string, blocker_id string")
+EXECUTIONS = _rows(
     "execution_id string, attempt int, task_id string, thread_id string, runtime_id string, agent_card_id string, agent_card_version string, agent_card_digest string, agent_card_config_hash string, "
     "status string, claimed_at timestamp, started_at timestamp, ended_at timestamp, lease_expires_at timestamp, last_heartbeat_at timestamp, result_summary string, result_path string, failure_reason string"
 )
-ENVELOPE = T._parse_datatype_string(
+ENVELOPE = _rows(
     "event_id string, event_type string, sender string, target string, payload map<string,string>, thread_id string, task_id string, execution_id string, attempt int, request_id string, correlation_id string, created_at string"
 )
-MEMORY = T._parse_datatype_string("id string, type string, scope string, description string, content string, source string, created_at string, updated_at string")
-DAG = T._parse_datatype_string("plan_summary string, tasks array<struct<id:string,subject:string,description:string,blockedBy:array<string>,metadata:map<string,string>,task_type:string,work_shard:int>>")
+MEMORY = _rows("id string, type string, scope string, description string, content string, source string, created_at string, updated_at string")
+DAG_TASK = _rows("id string, subject string, description string, blockedBy array<string>, metadata map<string,string>, task_type string, work_shard int")
+DAG = T.StructType([T.StructField("plan_summary", T.StringType()), T.StructField("tasks", T.ArrayType(DAG_TASK))])
 
 #: Values that a column may have.
 TASK_STATUS = ("pending", "in_progress", "completed", "failed", "cancelled")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +26,12 @@ def header(text: Column) -> Column:
     YAML beyond that (nested mappings, anchors, block texts) is outside the scope of the parser. A header that is
     not closed makes the row invalid.
     """
-    import pandas as pd
+    return F.pandas_udf(_parse_headers, "struct<meta:map<string,string>,body:string,valid:boolean>")(text)
 
-    @F.pandas_udf("struct<meta:map<string,string>,body:string,valid:boolean>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out = [parse_header(t or "") for t in texts]
-        return pd.DataFrame({"meta": [o[0] for o in out], "body": [o[1] for o in out], "valid": [o[2] for o in out]})
 
-    return run(text)
+def _parse_headers(texts: pd.Series) -> pd.DataFrame:
+    out = [parse_header(t or "") for t in texts]
+    return pd.DataFrame({"meta": [o[0] for o in out], "body": [o[1] for o in out], "valid": [o[2] for o in out]})
 
 
 def parse_header(text: str) -> tuple[dict[str, str], str, bool]:
