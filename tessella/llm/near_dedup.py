@@ -11,10 +11,15 @@ Bands of ROWS coordinates give the keys of buckets. What follows is exact for th
 
 1. Texts of the same words are one node (any number of copies).
 2. Each member of a bucket is compared with the bucket's smallest node; pairs from SIMILARITY on are links.
-3. Buckets whose members are in several classes get another node to compare with, PIVOTS times; then all pairs of
-   members of different classes that were not compared yet and can be that similar by their numbers of shingles.
-   Pairs inside one class are never needed, so a group of thousands of copies costs some comparisons per member.
-4. Classes are the connected components of the links.
+3. Buckets whose members are in several classes get another node to compare with, PIVOTS times.
+4. What is left are groups of texts of graded similarity. Buckets that share nodes are joined to groups, a group is cut
+   in blocks of bounded size, and one task takes two blocks: it compares the pairs of different classes that share
+   MIN_BANDS keys and can be that similar by their numbers of shingles, and returns the links alone. Pairs are never
+   rows, and a pair that the links found so far connect is not compared.
+5. Classes are the connected components of the links.
+
+MIN_BANDS is met by a pair of similarity 0.8 but for a chance of 10^-6. Groups of more than GROUP_NODES nodes are not
+joined: there each bucket is a group of its own, and a pair may be compared in several.
 
 Comparisons use whole texts. All tables between the steps are written to the shared folder; joins on keys that
 many rows share can be split by adaptive execution. Nulls count as empty; a text without words is a class of its
@@ -33,8 +38,10 @@ from tessella.llm.shingles import elements, in_chunks, mix, word_hashes, words_o
 #: Coordinates of a signature, and those of a band: a pair of similarity 0.8 is missed with probability 5e-8.
 COORDINATES, ROWS = 128, 4
 SIMILARITY = 0.8
-#: Further nodes that unresolved buckets are compared with before all remaining pairs.
-PIVOTS = 3
+#: Further nodes that unresolved buckets are compared with before blocks of them.
+PIVOTS = 2
+#: Keys that a pair must share to be compared in blocks; nodes and words of a block; nodes of a group of joined buckets.
+MIN_BANDS, BLOCK_NODES, BLOCK_WORDS, GROUP_NODES = 2, 1024, 1_000_000, 20_000
 #: Width of the lowest region of ranks, as a power of two.
 LOWEST = -4
 
@@ -151,6 +158,63 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _block_links(table):
+    """Links between two blocks (i, j) of a group (within one if they are the same): a, b, similarity."""
+    import pyarrow as pa
+
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    node, block = table["node"].to_numpy(), table["block"].to_numpy()
+    _, root = np.unique(table["label"].to_numpy(), return_inverse=True)
+    keys = np.array(table["keys"].to_pylist(), np.int64)
+    sets: list[np.ndarray] = []
+    texts = table["text"]
+    for k in range(len(node)):
+        w = words_of(texts[k].as_py())
+        sets.append(np.unique(elements(word_hashes(w), np.array([len(w)], np.int64))[0]))
+    size = np.array([len(x) for x in sets])
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    shared = np.zeros((len(left), len(right)), np.uint8)
+    for b in range(keys.shape[1]):
+        shared += keys[left, b][:, None] == keys[right, b][None, :]
+    flat = np.concatenate([sets[k] for k in right] or [np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(right)), size[right])
+    out = []
+    for x, a in enumerate(left):
+        fits = np.minimum(size[a], size[right]) >= SIMILARITY * np.maximum(size[a], size[right])
+        use = (shared[x] >= MIN_BANDS) & fits & (root[right] != root[a])
+        if i == j:
+            use &= right > a
+        if not use.any():
+            continue
+        mine = sets[a]
+        hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+        both = np.bincount(owner[hit], minlength=len(right))
+        like = both / np.maximum(size[a] + size[right] - both, 1)
+        for y in np.flatnonzero(use & (like >= SIMILARITY)):
+            b = right[y]
+            if root[a] != root[b]:
+                out.append((min(node[a], node[b]), max(node[a], node[b]), like[y]))
+                root[root == root[b]] = root[a]
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "similarity": pa.array([x[2] for x in out], pa.float64())})
+
+
+def _blocks(left: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """left (key, node, leader, label: the members of unresolved buckets) to links found in blocks."""
+    joined = components(left.select(F.col("leader").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
+    grouped = left.select("key", "node", "label").join(joined.select("node", F.col("label").alias("comp")), "node")
+    sizes = joined.groupBy(F.col("label").alias("comp")).agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > GROUP_NODES).select("comp", F.lit(True).alias("large"))
+    group = grouped.join(sizes, "comp", "left").select(F.when(F.col("large"), F.concat(F.lit("k"), F.col("key").cast("string"))).otherwise(F.concat(F.lit("c"), F.col("comp").cast("string"))).alias("g"), "node", "label").distinct()
+    rows = materialize(group.join(members.where("rid = node").select("node", "size", "keys"), "node"), "grouped")
+    cut = rows.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    placed = rows.join(materialize(cut, "cut"), "g").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    wanted = rows.select(F.col("node").alias(RID)).distinct()
+    some = materialize(texts.select(RID, F.coalesce("text", F.lit("")).alias("text")).join(wanted, RID, "left_semi"), "texts")
+    pairs = placed.select("g", "node", "label", "keys", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "keys", "block")
+    full = pairs.join(some.select(F.col(RID).alias("node"), "text"), "node")
+    return materialize(full.groupBy("g", "i", "j").applyInArrow(_block_links, "a long, b long, similarity double"), "block-links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): label is the smallest node of the component.
 
@@ -189,30 +253,30 @@ def near_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tested = compare(buckets.where("node <> leader").select(*pair("node", "leader")).distinct(), rows)
     labels = components(tested.where(F.col("similarity") >= similarity))
+    linked = tested.where(F.col("similarity") >= similarity)
     for turn in range(PIVOTS + 1):
-        named = buckets.join(labels.withColumnRenamed("label", "found"), "node", "left").select("key", "node", "size", F.coalesce("found", "node").alias("label"))
+        named = buckets.join(labels.withColumnRenamed("label", "found"), "node", "left").select("key", "node", "size", "leader", F.coalesce("found", "node").alias("label"))
         named = materialize(named, "named")
         pivots = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "node", "size", "label")).alias("p"))
         pivots = materialize(pivots.where("lo <> hi and n > 2").select("key", "p.node", "p.size", "p.label"), "pivots")  # two members have been compared
-        fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity
-        if turn < PIVOTS:
-            other = pivots.select("key", F.col("node").alias("p_node"), F.col("size").alias("p_size"), F.col("label").alias("p_label"))
-        else:
-            other = named.join(pivots.select("key"), "key", "left_semi").select("key", F.col("node").alias("p_node"), F.col("size").alias("p_size"), F.col("label").alias("p_label"))
-        met = named.join(other, "key").where((F.col("label") < F.col("p_label") if turn == PIVOTS else F.col("label") != F.col("p_label")) & fits(F.col("size"), F.col("p_size")))
+        if turn == PIVOTS:
+            left = materialize(named.join(pivots.select("key"), "key", "left_semi"), "left")
+            if left.limit(1).count():
+                linked = linked.unionByName(_blocks(left, members, rows))
+                labels = components(linked)
+            break
+        fits = F.least(F.col("size"), F.col("p_size")) >= F.greatest(F.col("size"), F.col("p_size")) * similarity
+        other = pivots.select("key", F.col("node").alias("p_node"), F.col("size").alias("p_size"), F.col("label").alias("p_label"))
+        met = named.join(other, "key").where((F.col("label") != F.col("p_label")) & fits)
         pairs = materialize(met.select(*pair("node", "p_node")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         discard(named)
         discard(pivots)
-        if not pairs.limit(1).count():
-            if turn < PIVOTS:
-                continue
-            break
         got = compare(pairs, rows)
-        if got.where(F.col("similarity") >= similarity).limit(1).count():
-            tested = materialize(tested.unionByName(got), "tested")
-            labels = components(tested.where(F.col("similarity") >= similarity))
-        else:
-            tested = tested.unionByName(got)
+        tested = tested.unionByName(got)
+        new = got.where(F.col("similarity") >= similarity)
+        if new.limit(1).count():
+            linked = linked.unionByName(new)
+            labels = components(linked)
     classed = members.join(labels.withColumnRenamed("label", "found"), "node", "left").select(F.col("rid").alias(RID), "doc_id", F.coalesce("found", "node").alias("label"))
     return classed.unionByName(signed.where("size = 0").select(F.col("rid").alias(RID), "doc_id", F.col("rid").alias("label")))
 
