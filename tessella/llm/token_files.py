@@ -32,7 +32,10 @@ END_ID = 2
 #: What stands for a null document id.
 NO_ID = -(2**63)
 #: Words whose ids a worker keeps at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+
+#: Punctuation that the splitter parts from the letters before it.
+_STOPS = (b".", b",", b";", b":", b"!", b"?")
 
 _encoders: dict = {}
 
@@ -40,8 +43,9 @@ _encoders: dict = {}
 class WordEncoder:
     """Encodes texts with a tokenizer whose result for a text is that of its space-separated parts, one after another.
 
-    That holds where the normaliser turns white space into spaces and the splitter drops them, as in
-    word_bpe_49k.json. Parts are encoded once and kept, CACHE_WORDS of them at most.
+    That holds where the normaliser lower-cases and turns white space into spaces, and the splitter drops them and parts
+    letters from punctuation, as in word_bpe_49k.json. Parts are encoded once and kept, those used of late first: two
+    generations of CACHE_WORDS / 2 each.
     """
 
     def __init__(self, path: str):
@@ -50,18 +54,43 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _encode_parts(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of parts, all in one call: a token belongs to the part in which it starts."""
+        import numpy as np
+
+        texts = [p.decode() for p in parts]
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        at = np.searchsorted(starts, np.array([a for a, _ in got.offsets], np.int64), side="right") - 1
+        cuts = np.searchsorted(at, np.arange(len(parts) + 1)) * 4
+        raw = np.array(got.ids, "<u4").tobytes()
+        return {p: raw[cuts[k] : cuts[k + 1]] for k, p in enumerate(parts)}
+
+    def _learn(self, words: set[bytes]) -> None:
+        missing = words - self.known.keys()
+        if len(self.known) + len(missing) > CACHE_WORDS // 2:
+            self.known, self.older, missing = {}, self.known, words
+        new, split = [], []
+        for w in missing:
+            if (ids := self.older.get(w)) is not None:
+                self.known[w] = ids
+            elif w[-1:] in _STOPS and w[:-1].decode().isalpha():
+                split.append(w)
+            else:
+                new.append(w)
+        bare = {x for w in split for x in (w[:-1], w[-1:])}
+        new += [x for x in bare if x not in self.known and x not in words]
+        for at in range(0, len(new), 20_000):
+            self.known |= self._encode_parts(new[at : at + 20_000])
+        for w in split:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.encode().split() for t in texts]  # bytes split at ASCII white space alone
-        new = list({w for p in parts for w in p if w not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list({w for p in parts for w in p})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                ids = got.ids
-                self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        parts = [t.encode().lower().split() for t in texts]  # A-Z and ASCII white space alone
+        self._learn(set().union(*parts))
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
@@ -157,8 +186,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, end_id
                 writer = FrameWriter(out)
             ids += [NO_ID if x is None else x for x in batch.column(0).to_pylist()]
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 500):
-                for content in enc.encode(texts[at : at + 500]):
+            for at in range(0, len(texts), 1000):
+                for content in enc.encode(texts[at : at + 1000]):
                     writer.add(content + end)
                     n += len(content) // 4 + 1
         if out is not None:
