@@ -37,61 +37,57 @@ CACHE_WORDS = 800_000
 #: Punctuation that the splitter parts from the letters before it.
 _STOPS = (b".", b",", b";", b":", b"!", b"?")
 
+#: Letters below this have no combining marks and are composed already.
+_LATIN_END = "\u0250"
+
 _encoders: dict = {}
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Encodes texts with a tokenizer whose result for a text is that of its space-separated parts, one after another.
 
     That holds where the normaliser lower-cases and turns white space into spaces, and the splitter drops them and parts
-    letters from punctuation, as in word_bpe_49k.json. Parts are encoded once and kept, those used of late first: two
-    generations of CACHE_WORDS / 2 each.
+    letters from punctuation, as in word_bpe_49k.json. A part is encoded once and kept as its ids, those used of late
+    first: two generations of CACHE_WORDS / 2 each.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.older: dict[bytes, bytes] = {}
-
-    def _encode_parts(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of parts, all in one call: a token belongs to the part in which it starts."""
-        import numpy as np
-
-        texts = [p.decode() for p in parts]
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        at = np.searchsorted(starts, np.array([a for a, _ in got.offsets], np.int64), side="right") - 1
-        cuts = np.searchsorted(at, np.arange(len(parts) + 1)) * 4
-        raw = np.array(got.ids, "<u4").tobytes()
-        return {p: raw[cuts[k] : cuts[k + 1]] for k, p in enumerate(parts)}
-
-    def _learn(self, words: set[bytes]) -> None:
-        missing = words - self.known.keys()
-        if len(self.known) + len(missing) > CACHE_WORDS // 2:
-            self.known, self.older, missing = {}, self.known, words
-        new, split = [], []
-        for w in missing:
-            if (ids := self.older.get(w)) is not None:
-                self.known[w] = ids
-            elif w[-1:] in _STOPS and w[:-1].decode().isalpha():
-                split.append(w)
+        # How byte-level models name bytes: printable ones by themselves, the others by characters from 256 on.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.byte_names = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a run of lower-case letters, which normaliser and splitter leave as it is: the model alone decides."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+
+    def __missing__(self, part: bytes) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            if part.isalpha():
+                ids = self._letters(part.decode())
+            elif part[-1:] in _STOPS and (part[:-1].isalpha() or part[:-1].decode().isalpha()):
+                ids = self[part[:-1]] + self[part[-1:]]
+            elif (text := part.decode()).isalpha() and max(text) < _LATIN_END and text.lower().isalpha():
+                ids = self._letters(text.lower().encode().decode("latin-1").translate(self.byte_names))
             else:
-                new.append(w)
-        bare = {x for w in split for x in (w[:-1], w[-1:])}
-        new += [x for x in bare if x not in self.known and x not in words]
-        for at in range(0, len(new), 20_000):
-            self.known |= self._encode_parts(new[at : at + 20_000])
-        for w in split:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+                got = self.tokenizer.encode(text, add_special_tokens=False).ids
+                ids = struct.pack(f"<{len(got)}I", *got)
+        self[part] = ids
+        return ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [t.encode().lower().split() for t in texts]  # A-Z and ASCII white space alone
-        self._learn(set().union(*parts))
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if len(self) > CACHE_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, text.encode().lower().split()))  # A-Z and ASCII white space alone
 
 
 def encoder(path: str) -> WordEncoder:
@@ -186,10 +182,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, end_id
                 writer = FrameWriter(out)
             ids += [NO_ID if x is None else x for x in batch.column(0).to_pylist()]
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 1000):
-                for content in enc.encode(texts[at : at + 1000]):
-                    writer.add(content + end)
-                    n += len(content) // 4 + 1
+            for t in texts:
+                content = enc.encode(t) + end
+                writer.add(content)
+                n += len(content) // 4
         if out is not None:
             writer.add(struct.pack(f"<{len(ids)}q", *ids))
             writer.finish()
