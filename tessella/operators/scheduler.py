@@ -141,7 +141,7 @@ def resolve_cards(tasks: DataFrame, cards: DataFrame) -> DataFrame:
     by_type = active.select(F.explode(F.array_distinct("task_types")).alias("task_type"), "agent_card_id", "version").groupBy("task_type").agg(F.count(F.lit(1)).alias("n"), F.max("agent_card_id").alias("t_id"), F.max("version").alias("t_version")).where("n = 1").drop("n")
     met = rows.join(pinned, ["p_id", "p_version"], "left").join(by_type, "task_type", "left")
     has_pin = F.col("p_id").isNotNull() & F.col("p_version").isNotNull()
-    return met.select(*tasks.columns, F.when(has_pin, F.when("found", F.col("p_id"))).otherwise(F.col("t_id")).alias("agent_card_id"), F.when(has_pin, F.when("found", F.col("p_version"))).otherwise(F.col("t_version")).alias("version"))
+    return met.select(*tasks.columns, F.when(has_pin, F.when(F.col("found"), F.col("p_id"))).otherwise(F.col("t_id")).alias("agent_card_id"), F.when(has_pin, F.when(F.col("found"), F.col("p_version"))).otherwise(F.col("t_version")).alias("version"))
 
 
 def frozen_cards(executions: DataFrame, cards: DataFrame) -> DataFrame:
