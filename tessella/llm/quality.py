@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import RID, SPACE, materialize, number_rows
 
 #: Share of good documents that all rules together may reject in a stratum, and the chance that a bound fails.
-RISK, DELTA = 0.04, 0.05
+RISK, DELTA = 0.02, 0.05
 #: Shares of a text and the cutoffs that are tried, from lax to tight. A text is rejected above the cutoff.
 RULES = {
     "symbol_share": (0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07, 0.05),
