@@ -32,7 +32,7 @@ from tessella.llm.common import materialize, ship
 from tessella.llm.shingles import mix
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own), and text for which there is one range of hashes.
-CHUNK_BYTES, RANGE_BYTES = 12_000_000, 12_000_000
+CHUNK_BYTES, RANGE_BYTES = 8_000_000, 8_000_000
 #: Documents with crc32(id) % FOLDS == HELD_OUT are held out.
 FOLDS, HELD_OUT = 7, 2
 #: Rounds of expectation-maximisation, bins of an estimate per factor of two, buckets of context frequency.
