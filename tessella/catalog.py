@@ -225,16 +225,16 @@ def resolve_edges(spark, sf_dir):
 
 @query(
     f"""WITH {star.NODES_SQL}, {star.EDGES_SQL}, u AS (SELECT * FROM edges WHERE kind <> 'CONTAINS'), s AS (SELECT 'R:0' AS q),
-h1 AS (SELECT source_qualified AS q, target_qualified AS t, kind, row_number() OVER (PARTITION BY source_qualified ORDER BY target_qualified, kind) AS n FROM u WHERE target_qualified = 'R:0' AND source_qualified <> 'R:0'),
-l1 AS (SELECT q, kind, t, row_number() OVER (ORDER BY q) AS place FROM h1 WHERE n = 1 AND q IN (SELECT qualified_name FROM nodes)),
-h2 AS (SELECT source_qualified AS q, target_qualified AS t, u.kind, place, row_number() OVER (PARTITION BY source_qualified ORDER BY place, u.kind, target_qualified) AS n FROM u JOIN l1 ON target_qualified = l1.q WHERE source_qualified <> 'R:0' AND source_qualified NOT IN (SELECT q FROM h1)),
-l2 AS (SELECT q, kind, t, row_number() OVER (ORDER BY place, q) AS place FROM h2 WHERE n = 1 AND q IN (SELECT qualified_name FROM nodes))
-SELECT q AS qualified_name, CAST(1 AS BIGINT) AS depth, kind AS via_relation, t AS via_target, place FROM l1 UNION ALL SELECT q, 2, kind, t, place FROM l2"""
+h1 AS (SELECT source_qualified AS q, target_qualified AS t, kind, row_number() OVER (PARTITION BY source_qualified ORDER BY kind) AS n FROM u WHERE target_qualified = 'R:0' AND source_qualified <> 'R:0'),
+l1 AS (SELECT q, kind, t, ['R:0', q] AS path FROM h1 WHERE n = 1 AND q IN (SELECT qualified_name FROM nodes)),
+h2 AS (SELECT source_qualified AS q, target_qualified AS t, u.kind, path, row_number() OVER (PARTITION BY source_qualified ORDER BY path, u.kind, target_qualified) AS n FROM u JOIN l1 ON target_qualified = l1.q WHERE source_qualified <> 'R:0' AND source_qualified NOT IN (SELECT q FROM h1)),
+l2 AS (SELECT q, kind, t, list_append(path, q) AS path FROM h2 WHERE n = 1 AND q IN (SELECT qualified_name FROM nodes))
+SELECT q AS qualified_name, CAST(1 AS BIGINT) AS depth, kind AS via_relation, t AS via_target, array_to_string(path, ' > ') AS path FROM l1 UNION ALL SELECT q, 2, kind, t, array_to_string(path, ' > ') FROM l2"""
 )
 def impact_two_hop(spark, sf_dir):
     """What depends on region 0, in the order of a breadth-first search."""
     seeds = spark.createDataFrame([("R:0",)], "qualified_name string")
-    return graph.impact(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), seeds).select("qualified_name", *_long("depth"), "via_relation", "via_target", *_long("place"))
+    return graph.impact(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), seeds).select("qualified_name", *_long("depth"), "via_relation", "via_target", F.array_join("path", " > ").alias("path"))
 
 
 def _dag(spark, sf_dir):

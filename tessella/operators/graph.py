@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Edge kinds that each relation follows.
@@ -115,28 +115,30 @@ def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, limit: int | None = None, snapshot_edges: DataFrame | None = None) -> DataFrame:
-    """What depends on the seeds (qualified_name), two steps against the edges: qualified_name, depth, via_relation, via_target, place.
+    """What depends on the seeds (qualified_name), two steps against the edges: qualified_name, depth, via_relation, via_target, path.
 
-    In the order of a breadth-first search from the seeds by name: each node is found by its target of lowest place, then
-    by kind. Two joins, each against the edges that point at the level before; names without a node end there.
+    Found as by a breadth-first search from the seeds by name, and in its order if sorted by (depth, path): each node is
+    found by its target of smallest path, then by kind. A path (array of names from the seed on) stands for the place in
+    the queue, so nothing is numbered in one task. Two joins, each against the edges that point at the level before;
+    names without a node end there.
     """
     use = edges.where(F.col("target_qualified").isNotNull() & F.col("kind").isin(*IMPACT_KINDS)).select("source_qualified", "target_qualified", "kind")
     if snapshot_edges is not None:
         use = use.unionByName(snapshot_edges.select("source_qualified", "target_qualified", "kind"))
     seen = seeds.select("qualified_name").distinct()
-    level = seen.withColumn("rank", F.row_number().over(Window.orderBy("qualified_name")))  # the changed nodes
+    level = seen.withColumn("path", F.array("qualified_name"))
     known, found = nodes.select("qualified_name"), []
     for depth in (1, 2):
-        hits = use.join(level.select(F.col("qualified_name").alias("target_qualified"), "rank"), "target_qualified").withColumnRenamed("source_qualified", "qualified_name")
+        hits = use.join(level.select(F.col("qualified_name").alias("target_qualified"), "path"), "target_qualified").withColumnRenamed("source_qualified", "qualified_name")
         hits = hits.join(seen, "qualified_name", "left_anti")
-        best = hits.groupBy("qualified_name").agg(F.min(F.struct("rank", "kind", "target_qualified")).alias("b"))
+        best = hits.groupBy("qualified_name").agg(F.min(F.struct("path", "kind", "target_qualified")).alias("b"))
         next_seen = best.select("qualified_name")
-        best = best.join(known, "qualified_name", "left_semi").select("qualified_name", "b.*")
-        level = best.withColumn("rank", F.row_number().over(Window.orderBy("rank", "qualified_name")))
-        found.append(level.select("qualified_name", F.lit(depth).alias("depth"), F.col("kind").alias("via_relation"), F.col("target_qualified").alias("via_target"), F.col("rank").alias("place")))
+        best = best.join(known, "qualified_name", "left_semi").select("qualified_name", "b.kind", "b.target_qualified", F.array_append("b.path", F.col("qualified_name")).alias("path"))
+        level = best.select("qualified_name", "path")
+        found.append(best.select("qualified_name", F.lit(depth).alias("depth"), F.col("kind").alias("via_relation"), F.col("target_qualified").alias("via_target"), "path"))
         seen = seen.unionByName(next_seen)
     every = found[0].unionByName(found[1])
-    return every if limit is None else every.orderBy("depth", "place").limit(limit)
+    return every if limit is None else every.orderBy("depth", "path").limit(limit)
 
 
 def changed_nodes(nodes: DataFrame, previous: DataFrame, changed_files: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def test_overview_and_indegree(code):
 def test_impact_order_and_depth(spark, code):
     _, nodes, edges, _ = code
     seeds = nodes.where("file_path = 'lib.py'").select("qualified_name")
-    got = [(r.qualified_name, r.depth, r.via_relation) for r in graph.impact(nodes, edges, seeds, 10).orderBy("depth", "place").collect()]
+    got = [(r.qualified_name, r.depth, r.via_relation) for r in graph.impact(nodes, edges, seeds, 10).orderBy("depth", "path").collect()]
     assert got[0] == ("app.py", 1, "IMPORTS") and ("app.py::main", 1, "CALLS") in got and ("tests/test_app.py::test_main", 2, "CALLS") in got
 
 
@@ -112,7 +112,7 @@ def test_impact_equals_a_queue(spark):
         edges = [(rng.choice(nodes + ["ghost"]), rng.choice(nodes), rng.choice(graph.IMPACT_KINDS)) for _ in range(60)]
         df = spark.createDataFrame(edges, "source_qualified string, target_qualified string, kind string")
         got = graph.impact(spark.createDataFrame([(n,) for n in nodes], "qualified_name string"), df, spark.createDataFrame([("n3",), ("n1",)], "qualified_name string"))
-        assert [(r.qualified_name, r.depth, r.via_relation, r.via_target) for r in got.orderBy("depth", "place").collect()] == bfs(set(nodes), edges, {"n1", "n3"})
+        assert [(r.qualified_name, r.depth, r.via_relation, r.via_target) for r in got.orderBy("depth", "path").collect()] == bfs(set(nodes), edges, {"n1", "n3"})
 
 
 def test_index_refresh(spark, tmp_path):
