@@ -51,14 +51,14 @@ def _name_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     blocks = _blocks(rows, block_bytes)
     names = blocks.groupBy("block").agg(F.min(_position(F.col(RID), F.col("idx"))).alias("name"), F.count(F.lit(1)).alias("times"))
     hot = names.where(F.col("times") > often).select(F.col("block").alias("hot_block"), F.col("name").alias("hot_name"))
-    # A row whose block is hot has its name already; a key of its own spreads it over the tasks and matches nothing.
-    apart = F.encode(F.concat(F.lit("\x00hot\x00" * block_bytes).substr(1, block_bytes), F.col(RID).cast("string"), F.lit(":"), F.col("idx").cast("string")), "UTF-8")
+    # A row whose block is hot has its name already: it carries no block on, and a key of its own spreads it over the tasks and matches nothing.
+    apart = F.when(F.col("hot_name").isNull(), F.lit("")).otherwise(F.concat(F.col(RID).cast("string"), F.lit(":"), F.col("idx").cast("string")))
     left = blocks.join(F.broadcast(hot), F.col("block") == F.col("hot_block"), "left").select(
-        RID, "doc_id", "sha", "n", "idx", "hot_name", F.when(F.col("hot_name").isNull(), F.col("block")).otherwise(apart).alias("key")
+        RID, "doc_id", "sha", "n", "idx", "hot_name", F.when(F.col("hot_name").isNull(), F.col("block")).otherwise(F.lit(b"")).alias("key"), apart.alias("apart")
     )
     # The condition always holds; with it, both uses of names need the same columns and share one exchange.
-    right = names.where(F.col("times") > 0).select(F.col("block").alias("key"), "name")
-    return left.join(right, "key", "left").select(RID, "doc_id", "sha", "n", "idx", F.coalesce("hot_name", "name").alias("name"))
+    right = names.where(F.col("times") > 0).select(F.col("block").alias("key"), F.lit("").alias("apart"), "name")
+    return left.join(right, ["key", "apart"], "left").select(RID, "doc_id", "sha", "n", "idx", F.coalesce("hot_name", "name").alias("name"))
 
 
 def identities(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
