@@ -128,6 +128,28 @@ def board(tasks: DataFrame, thread_id: str | None = None) -> DataFrame:
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("tasks"))
 
 
+def runtime_state(log: DataFrame, as_of: Column, lease: int = LEASE_SECONDS) -> DataFrame:
+    """log (runtime_id, at, action: register, heartbeat, stop) as state: a heartbeat of a stopped or unknown runtime does nothing.
+
+    alive tells whether the lease of the last sign still holds.
+    """
+    last = log.groupBy("runtime_id").agg(
+        F.max(F.when(F.col("action") == "register", F.col("at"))).alias("registered"), F.max(F.when(F.col("action") == "stop", F.col("at"))).alias("stopped"), F.max(F.when(F.col("action") == "heartbeat", F.col("at"))).alias("beat")
+    ).where(F.col("registered").isNotNull())
+    stopped = F.coalesce(F.col("stopped") >= F.col("registered"), F.lit(False))
+    sign = F.greatest("registered", "beat")
+    out = last.select("runtime_id", F.when(stopped, "stopped").otherwise("idle").alias("status"), sign.alias("last_heartbeat"), after_seconds(sign, F.lit(lease)).alias("lease_expires_at"))
+    return out.withColumn("alive", (F.col("status") != "stopped") & (F.col("lease_expires_at") >= as_of))
+
+
+def finish_unload(runtimes: DataFrame, executions: DataFrame) -> DataFrame:
+    """Runtimes that unload an attempt which is over become idle."""
+    over = executions.where(~F.col("status").isin(*ACTIVE)).select(F.col("execution_id").alias("current_execution_id"), F.col("attempt").alias("current_attempt"), F.lit(True).alias("__over"))
+    met = runtimes.join(over, ["current_execution_id", "current_attempt"], "left")
+    free = (F.col("status") == "unloading") & F.coalesce("__over", F.lit(False))
+    return met.withColumns({"status": F.when(free, "idle").otherwise(F.col("status")), "current_execution_id": F.when(~free, F.col("current_execution_id")), "current_attempt": F.when(~free, F.col("current_attempt"))}).drop("__over")
+
+
 def runtime_executions(runtimes: DataFrame, executions: DataFrame) -> DataFrame:
     return runtimes.join(executions.select(F.col("execution_id").alias("current_execution_id"), F.col("attempt").alias("current_attempt"), "task_id", F.col("status").alias("execution_status")), ["current_execution_id", "current_attempt"], "left")
 

@@ -160,3 +160,13 @@ def index_stats(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Embedded nodes by provider and model, beside the number of indexed nodes."""
     sets = embeddings.groupBy("provider_identity", "provider", "model").agg(F.count(F.lit(1)).alias("embedded"))
     return sets.crossJoin(F.broadcast(nodes.agg(F.count(F.lit(1)).alias("indexed"))))
+
+
+def envelope(rows: DataFrame, action: str, summary: str = "", error: str | None = None) -> str:
+    """A short result (MOST_RESULTS rows at most) as one JSON object for a tool."""
+    import json
+
+    if error:
+        return json.dumps({"ok": False, "action": action, "error": error}, ensure_ascii=False)
+    data = [json.loads(x) for x in (r[0] for r in rows.limit(MOST_RESULTS).select(F.to_json(F.struct("*"))).collect())]
+    return json.dumps({"ok": True, "action": action, "summary": summary, "data": data}, ensure_ascii=False)

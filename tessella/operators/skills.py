@@ -90,6 +90,13 @@ def prompt_index(skills: DataFrame) -> DataFrame:
     return resolved(skills).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
 
 
+def linked_files(files: DataFrame, folder: str, kinds: tuple[str, ...] = ("references", "templates", "scripts", "assets")) -> DataFrame:
+    """(kind, files) beside a skill: paths below folder, by the first folder of the path."""
+    inside = files.where(F.col("path").startswith(folder.rstrip("/") + "/")).select(F.substring(F.col("path"), F.lit(len(folder.rstrip("/")) + 2), F.length("path")).alias("path"))
+    rows = inside.withColumn("kind", F.split("path", "/")[0]).where(F.col("kind").isin(*kinds))
+    return rows.groupBy("kind").agg(F.sort_array(F.collect_list("path")).alias("files"))
+
+
 def rendered(template: Column, arguments: Column, folder: Column, folder_variable: str = "${SKILL_DIR}") -> Column:
     """A template with its arguments and its folder put in."""
     filled = F.replace(F.replace(template, F.lit("${ARGUMENTS}"), arguments), F.lit("$ARGUMENTS"), arguments)

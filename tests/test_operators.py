@@ -328,3 +328,30 @@ def test_values(spark):
         values.capped_backoff(F.lit(9)).alias("b"), text.split_identifier(F.lit("getHTTPResponse_2x")).alias("s"),
     ).first()
     assert row.m == '{"a":"1","b":"3"}' and row.r == {"Api_Key": "***redacted***", "k": "v"} and row.c == 0 and row.t == "2024-01-01T00:00:00.000Z" and row.b == 60 and row.s == "get HTTPResponse 2x"
+
+
+def test_status_and_paths(spark):
+    from tessella.sources import git
+
+    assert git.status_paths("R  new_name.py\0old_name.py\0 M a.c\0?? notes.txt\0") == ["a.c", "new_name.py", "old_name.py"]
+    assert git.inside("/w", ["a/../b.py", "/w/c.py", "b.py"]) == ["b.py", "c.py"]
+    for bad in ("../x", "/etc/x"):
+        with pytest.raises(ValueError):
+            git.inside("/w", [bad])
+    assert git.as_table(spark, []).count() == 0
+
+
+def test_runtimes(spark):
+    t = lambda s: __import__("datetime").datetime(2024, 1, 1, 0, s // 60, s % 60)
+    log = spark.createDataFrame([("a", t(0), "register"), ("a", t(50), "heartbeat"), ("b", t(0), "register"), ("b", t(9), "stop"), ("c", t(3), "heartbeat"), ("d", t(0), "register")], "runtime_id string, at timestamp, action string")
+    got = {r.runtime_id: (r.status, r.alive) for r in scheduler.runtime_state(log, F.lit(t(100))).collect()}
+    assert got == {"a": ("idle", True), "b": ("stopped", False), "d": ("idle", False)}
+    runtimes = spark.createDataFrame([("a", "unloading", "x", 1), ("b", "unloading", "y", 1)], "runtime_id string, status string, current_execution_id string, current_attempt int")
+    runs = spark.createDataFrame([("x", 1, "completed"), ("y", 1, "running")], "execution_id string, attempt int, status string")
+    assert {r.runtime_id: (r.status, r.current_execution_id) for r in scheduler.finish_unload(runtimes, runs).collect()} == {"a": ("idle", None), "b": ("unloading", "y")}
+
+
+def test_envelope_and_links(spark):
+    rows = spark.createDataFrame([("s/references/a.md",), ("s/x.md",), ("t/references/b.md",)], "path string")
+    assert [tuple(r) for r in skills.linked_files(rows, "s").collect()] == [("references", ["references/a.md"])]
+    assert '"data": [{"path": ' in search.envelope(rows, "search") and '"ok": false' in search.envelope(rows, "search", error="graph_busy")
