@@ -218,21 +218,25 @@ def _blocks(left: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): label is the smallest node of the component.
 
-    Each round takes the smallest label among a node's neighbours, then that label's own label.
+    Each round takes every node to the smallest of itself and its neighbours and contracts the edges, so a round sees
+    only the edges between nodes that are still apart.
     """
-    both = materialize(edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*"), "edges")
-    now = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
-    while True:
-        seen = both.join(now.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        lower = materialize(now.join(seen, "node", "left").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")), "labels")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = materialize(lower.join(jump, "label", "left").select("node", F.least("label", "further").alias("label"), "old"), "labels")
-        changed = new.where("label < old").limit(1).count()
-        discard(lower)
+    tidy = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    now = materialize(edges.select(*tidy("a", "b")).where("a <> b").distinct(), "edges")
+    labels = None
+    while labels is None or now.limit(1).count():
+        ends = now.select(F.col("a").alias("node"), F.col("b").alias("near")).unionAll(now.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        step = materialize(ends.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("label")), "step")
+        if labels is None:
+            labels = step
+        else:
+            further = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            labels = materialize(labels.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+        left, right = step.select(F.col("node").alias("a"), F.col("label").alias("x")), step.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        new = materialize(now.join(left, "a").join(right, "b").select(*tidy("x", "y")).where("a <> b").distinct(), "edges")
         discard(now)
-        now = new.select("node", "label")
-        if not changed:
-            return now
+        now = new
+    return labels
 
 
 def near_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
