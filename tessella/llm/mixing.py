@@ -6,7 +6,9 @@ hold. A cell's factor is its raked weight over its tokens; a document is kept wi
 factor, so that the kept tokens have the target shares in expectation. Whether it is kept depends on its id and
 the seed alone: the same documents are kept whatever the partitions, and when a task runs again.
 
-Targets are given as shares by value, or as a power: share ~ natural share ** power (1: as it is, 0: uniform).
+Targets are given as shares by value (for each dimension a dict or a table of value and share), or as a power:
+share ~ natural share ** power (1: as it is, 0: uniform). However many values and cells there are, raking ends by the
+same rule; up to MAX_CELLS cells are raked on the driver, more as a table.
 Values without a target get none of the weight; a target of a value that does not occur is spread over the rest.
 
 Null texts count as empty. A null source or language is a value of its own ("" in the cells). Documents without
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, materialize
+from tessella.llm.common import WORD, discard, materialize
 
 #: Cells that are raked on the driver and broadcast (some 10 MB); more are raked as a table.
 MAX_CELLS = 100_000
@@ -40,16 +42,19 @@ def topic_of(tokens: Column) -> Column:
     return F.when(tokens < 150, "note").when(tokens < 600, "article").when(tokens < 2500, "report").otherwise("book")
 
 
-def targets_by_power(cells: DataFrame, power: float) -> dict[str, dict[str, float]]:
-    """Shares of each dimension's values; for dimensions whose values fit on the driver."""
-    out = {}
+def target_tables(cells: DataFrame, targets: dict | None, power: float = POWER) -> dict[str, DataFrame]:
+    """(value, share) of the values with tokens of each dimension, summing to 1: as given (a dict or such a table by
+    dimension), without targets by power."""
+    spark, out = cells.sparkSession, {}
     for d in DIMS:
-        rows = cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0").limit(MAX_CELLS + 1).collect()
-        if len(rows) > MAX_CELLS:
-            raise ValueError(f"more than {MAX_CELLS} values of {d}: give its targets as a table of fewer groups")
-        total = sum(r.t for r in rows)
-        raised = {r[d]: (r.t / total) ** power for r in rows}
-        out[d] = {k: v / sum(raised.values()) for k, v in raised.items()}
+        natural = cells.where("tokens > 0").groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("t"))
+        if targets is None:
+            raised = natural.select("value", F.pow(F.col("t") / F.lit(float(natural.agg(F.sum("t")).first()[0] or 1)), F.lit(power)).alias("share"))
+        else:
+            given = targets[d] if isinstance(targets[d], DataFrame) else spark.createDataFrame(list(targets[d].items()), "value string, share double")
+            raised = natural.join(given, "value", "left").select("value", F.coalesce("share", F.lit(0.0)).alias("share"))
+        raised = materialize(raised, f"targets-{d}")
+        out[d] = raised.withColumn("share", F.col("share") / F.lit(raised.agg(F.sum("share")).first()[0] or 1.0))
     return out
 
 
@@ -75,17 +80,22 @@ def rake(cells: list[tuple], targets: dict[str, dict[str, float]], rounds: int =
     return w
 
 
-def _rake_table(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = 30) -> DataFrame:
-    """rake() over a table of many cells: sums by value and joins, written each round."""
-    spark = cells.sparkSession
+def _rake_table(cells: DataFrame, targets: dict | None, rounds: int = ROUNDS, error: float = ERROR, power: float = POWER) -> DataFrame:
+    """rake() over a table of many cells, with its rule to stop: sums by value and joins, written each round."""
+    tables = target_tables(cells, targets, power)
     now = cells.withColumn("w", F.col("tokens").cast("double"))
-    for _ in range(rounds):
+    for i in range(rounds):
+        last, now = now, now.withColumn("off", F.lit(0.0))
         for d in DIMS:
-            want = spark.createDataFrame(list(targets[d].items()), f"{d} string, share double")
-            have = now.groupBy(d).agg(F.sum("w").alias("have")).join(want, d)
-            now = now.join(have.select(d, (F.col("share") / F.nullif(F.col("have"), F.lit(0.0))).alias("scale")), d, "left").withColumn("w", F.col("w") * F.coalesce("scale", F.lit(0.0))).drop("scale")
+            have = now.groupBy(d).agg(F.sum("w").alias("have")).join(tables[d].withColumnRenamed("value", d), d, "left")
+            scale = have.select(d, F.when(F.col("have") > 0, F.coalesce(F.col("share") / F.col("have"), F.lit(0.0))).alias("scale"))
+            now = now.join(scale, d, "left").withColumns({"w": F.col("w") * F.coalesce("scale", F.lit(0.0)), "off": F.greatest("off", F.abs(F.col("scale") - 1))}).drop("scale")
         now = materialize(now, "raked")
-    return now
+        if i:
+            discard(last)
+        if (now.agg(F.max("off")).first()[0] or 0.0) < error:
+            break
+    return now.drop("off")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None) -> DataFrame:
@@ -104,24 +114,25 @@ def chance(id_column: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict | None = None, power: float = POWER, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
     """docs with __mix_tokens, __mix_source, __mix_lang, __mix_topic, __mix_weight (factor), __mix_p and __mix_kept."""
     spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col, source_col, lang_col, topic)
     cells = materialize(
         rows.groupBy(F.col("__mix_source").alias("source"), F.col("__mix_lang").alias("lang"), F.col("__mix_topic").alias("topic")).agg(F.sum("__mix_tokens").alias("tokens")), "cells"
     )
-    targets = targets or targets_by_power(cells, power)
+    targets = targets or None
     few = cells.limit(MAX_CELLS + 1).count() <= MAX_CELLS
     if few:
         got = [tuple(r) for r in cells.select(*DIMS, "tokens").collect()]
+        shares = {d: dict(t.collect()) for d, t in target_tables(cells, targets, power).items()}
         whole = sum(c[3] for c in got) or 1
-        factor = [(*c[:3], w / (c[3] / whole) if c[3] else 1.0) for c, w in zip(got, rake(got, targets), strict=True)]
+        factor = [(*c[:3], w / (c[3] / whole) if c[3] else 1.0) for c, w in zip(got, rake(got, shares), strict=True)]
         factors = spark.createDataFrame(factor, "source string, lang string, topic string, factor double")
         top = max([f[3] for f in factor], default=1.0) or 1.0
     else:
         whole = cells.agg(F.sum("tokens")).first()[0]
-        factors = _rake_table(cells, targets).select(*DIMS, F.when(F.col("tokens") > 0, F.col("w") / (F.col("tokens") / F.lit(whole))).otherwise(1.0).alias("factor"))
+        factors = _rake_table(cells, targets, power=power).select(*DIMS, F.when(F.col("tokens") > 0, F.col("w") / (F.col("tokens") / F.lit(whole))).otherwise(1.0).alias("factor"))
         top = factors.agg(F.max("factor")).first()[0] or 1.0
     factors = factors.select(*[F.col(d).alias(f"__cell_{d}") for d in DIMS], "factor")
     joined = rows.join(F.broadcast(factors) if few else factors, [F.col(f"__mix_{d}") == F.col(f"__cell_{d}") for d in DIMS])

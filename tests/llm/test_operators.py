@@ -284,3 +284,22 @@ def test_raking_as_a_table(spark, monkeypatch):
     few = dict(zip([c[:3] for c in cells], mixing.rake(cells, targets, 8), strict=True))
     got = mixing._rake_table(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), targets, 8).collect()
     assert {(r.source, r.lang, r.topic): r.w for r in got} == pytest.approx(few)
+
+
+def test_mixing_beyond_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame([row(i, BASE, ["en", None][i // 20], f"s{i % 20 % 7}") for i in range(40)], SCHEMA)
+    few = {r.doc_id: (r["__mix_weight"], r["__mix_p"]) for r in mixing.mix(df).collect()}
+    monkeypatch.setattr(mixing, "MAX_CELLS", 5)
+    many = {r.doc_id: (r["__mix_weight"], r["__mix_p"]) for r in mixing.mix(df).collect()}
+    assert set(many) == set(few) and all(many[i] == pytest.approx(few[i], rel=1e-8) for i in few)
+
+
+def test_raking_as_a_table_to_the_end(spark):
+    cells = [("a", "x", "t", 9000), ("a", "y", "t", 100), ("b", "x", "t", 100), ("b", "y", "t", 9000), ("b", "z", "t", 5)]
+    targets = {"source": {"a": 0.6, "b": 0.4}, "lang": {"x": 0.4, "y": 0.5, "gone": 0.1}, "topic": {"t": 1.0}}
+    few = dict(zip([c[:3] for c in cells], mixing.rake(cells, targets), strict=True))
+    assert dict(zip([c[:3] for c in cells], mixing.rake(cells, targets, 30), strict=True)) != pytest.approx(few, rel=1e-8)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    got = mixing._rake_table(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long").coalesce(1), targets).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {(r.source, r.lang, r.topic): r.w for r in got} == pytest.approx(few, rel=1e-8)
