@@ -17,7 +17,7 @@ by their stratum's cutoffs. Repeated rows are judged alike. Empty tables give no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import RID, SPACE, materialize, number_rows
@@ -100,10 +100,15 @@ def binomial_cdf(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(total)
 
 
+def _holdout(shares: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of shares that are labelled good and pass the base rules."""
+    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return shares.where(~F.col("base_failed")).join(marked.where("quality = 1").select("doc_id"), "doc_id")
+
+
 def choose_cutoffs(shares: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff, n, k) of the tightest cutoffs that pass; shares has doc_id, stratum, base_failed and the shares."""
-    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    good = shares.where(~F.col("base_failed")).join(marked.where("quality = 1").select("doc_id"), "doc_id")
+    good = _holdout(shares, labels)
     tried = [(r, c) for r, cs in RULES.items() for c in cs]
     counts = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(r) > c, 1)).alias(f"k{i}") for i, (r, c) in enumerate(tried)])
     pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(tried)])
@@ -114,6 +119,30 @@ def choose_cutoffs(shares: DataFrame, labels: DataFrame, risk: float = RISK, del
     return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
+def choose_certified(shares: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, rule, cutoff): those of choose_cutoffs() where every rule has one, else those of the tightest combined rejector that passes."""
+    split = materialize(choose_cutoffs(shares, labels, risk, delta / 2), "split")
+    steps = max(map(len, RULES.values()))
+    path = [{r: cs[round(t * (len(cs) - 1) / (steps - 1))] for r, cs in RULES.items()} for t in range(steps)]
+    over = [F.greatest(*[F.col(r) > c for r, c in cut.items()]) for cut in path]
+    counts = _holdout(shares, labels).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(x, 1)).alias(f"k{t}") for t, x in enumerate(over)])
+    # Strata from the largest on, as long as one without a false rejection would pass beside those before it and the pool.
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "stratum")) + 1  # a row per stratum
+    alone = F.pow(F.lit(1 - risk), F.col("n")) <= F.lit(delta / 2) / place
+    counts = materialize(counts.withColumn("alone", alone), "strata")
+    families = counts.where("alone").count() + 1
+    family = F.when(F.col("alone"), F.col("stratum"))
+    sums = counts.groupBy(family.alias("family")).agg(*[F.sum(c).alias(c) for c in ("n", *[f"k{t}" for t in range(steps)])])
+    each = sums.select("family", "n", F.posexplode(F.array(*[f"k{t}" for t in range(steps)])).alias("t", "k"))
+    # More is rejected from step to step, so the last step that passes ends the sequence.
+    last = each.where(binomial_cdf(F.col("n"), F.col("k"), risk) <= delta / 2 / families).groupBy("family").agg(F.max("t").alias("t"))
+    cuts = F.array(*[F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff")) for r, c in cut.items()]) for cut in path])
+    joint = counts.select("stratum", family.alias("of")).join(last, F.col("of").eqNullSafe(F.col("family"))).select("stratum", F.inline(F.get(cuts, F.col("t"))))
+    whole = split.groupBy("stratum").agg(F.count(F.lit(1)).alias("rules")).where(F.col("rules") == len(RULES))
+    joint = joint.join(whole, "stratum", "left_anti")
+    return joint.unionByName(split.join(joint.select("stratum").distinct(), "stratum", "left_anti"))
+
+
 def judge(shares: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """shares with kept."""
     wide = cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
@@ -125,19 +154,19 @@ def judge(shares: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return met.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("__stratum", *[f"__{r}" for r in RULES])
 
 
-def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, choose=choose_cutoffs) -> DataFrame:
     """RID, doc_id, features, shares, base_failed and kept of each row of docs (with RID, doc_id, text, lang)."""
     rows = docs.select(RID, F.col("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), "text")
     shares = with_shares(materialize(features(rows, [RID, "doc_id", "stratum"]), "features"))
     # A small table (strata times rules), written so that the verdicts all come from one choice.
-    cutoffs = materialize(choose_cutoffs(shares, labels.select("doc_id", "quality"), risk, delta), "cutoffs")
+    cutoffs = materialize(choose(shares, labels.select("doc_id", "quality"), risk, delta), "cutoffs")
     return judge(shares, cutoffs)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
+    """The rows of docs that are kept by the cutoffs of choose_certified(), with all their columns."""
     numbered = number_rows(docs)
-    return numbered.join(judged(numbered, labels).where("kept").select(RID), RID, "left_semi").drop(RID)
+    return numbered.join(judged(numbered, labels, choose=choose_certified).where("kept").select(RID), RID, "left_semi").drop(RID)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -160,6 +160,16 @@ def test_quality(spark, docs, odd):
     assert quality.keep_good(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_quality_of_small_strata(spark):
+    sizes = {"de": 400, "es": 150, "it": 120}  # de alone, es and it pooled; pt has no labels
+    good = [row(1000 * k + i, prose(60), lang) for k, (lang, n) in enumerate(sizes.items(), 1) for i in range(n)]
+    junk = [row(9000 + i, " ".join(w + "***" for w in prose(60).split()), lang) for i, lang in enumerate([*sizes, "pt"] * 3)]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in good], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.keep_good(spark.createDataFrame(good + junk, SCHEMA), labels).collect()}
+    assert kept & {r[0] for r in junk} == {r[0] for r in junk if r[2] == "pt"}
+    assert len(kept & {r[0] for r in good}) >= 0.98 * len(good)
+
+
 def test_binomial_bound(spark):
     from pyspark.sql import functions as F
 
