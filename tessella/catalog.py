@@ -267,7 +267,7 @@ def dag_cycle_nodes(spark, sf_dir):
 
 @query()
 def dag_cycle_paths(spark, sf_dir):
-    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "c")], "blocker string, id string")
+    links = _dag(spark, sf_dir).select("id", F.explode("blocked_by").alias("blocker"))
     return graph.cycle_paths(links).select(F.array_join("path", " -> ").alias("path"))
 
 

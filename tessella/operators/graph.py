@@ -180,13 +180,19 @@ def cycle_nodes(links: DataFrame, materialize=None) -> DataFrame:
     return now.select(F.col("id")).distinct()
 
 
-def cycle_paths(links: DataFrame, longest: int = 50) -> DataFrame:
-    """(path) of each cycle of up to `longest` tasks, from its smallest task: for the few links that cycle_nodes() leaves."""
-    links.createOrReplaceTempView("__tsl_links")
-    return links.sparkSession.sql(f"""
-      WITH RECURSIVE walk(start, at, path, depth) AS (
-        SELECT blocker, id, array(blocker, id), 1 FROM __tsl_links
-        UNION ALL
-        SELECT w.start, l.id, array_append(w.path, l.id), w.depth + 1 FROM walk w JOIN __tsl_links l ON l.blocker = w.at
-        WHERE w.at <> w.start AND w.depth < {longest} AND l.id >= w.start AND (l.id = w.start OR NOT array_contains(w.path, l.id)))
-      SELECT path FROM walk WHERE at = start AND start = array_min(path)""")
+def cycle_paths(links: DataFrame, materialize=None) -> DataFrame:
+    """(path) of each cycle of whatever length, from its smallest task: for the few links that cycle_nodes() leaves.
+
+    A round takes all open walks one link further, through tasks that are not smaller than their first and not met yet;
+    there are as many rounds as the longest walk has tasks."""
+    spark = links.sparkSession
+    keep = materialize or (lambda df: df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist())
+    steps = keep(links.select(F.col("blocker").alias("at"), F.col("id").alias("next")).distinct())
+    walk = keep(steps.where("next >= at").select(F.col("at").alias("start"), F.col("next").alias("at"), F.array("at", "next").alias("path")))
+    found = [walk.where("at = start").select("path")]
+    while walk.where("at <> start").limit(1).count():
+        on = walk.where("at <> start").join(steps, "at").where("next >= start AND (next = start OR NOT array_contains(path, next))")
+        walk = keep(on.select("start", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path")))
+        if walk.where("at = start").limit(1).count():
+            found.append(walk.where("at = start").select("path"))
+    return reduce(DataFrame.unionByName, found)

@@ -202,6 +202,16 @@ def test_dag_checks(spark):
     assert graph.dag_errors(df.limit(0)).first().rule == "empty"
 
 
+def test_cycle_of_many_tasks(spark):
+    from tessella.llm.common import materialize
+
+    n = 52
+    links = [(f"t{i:02d}", f"t{(i + 1) % n:02d}") for i in range(n)] + [("x", "y"), ("y", "x"), ("y", "z"), ("z", "x"), ("w", "w")]
+    df = spark.createDataFrame(links, "blocker string, id string").coalesce(1)
+    got = sorted(r.path for r in graph.cycle_paths(df, lambda t: materialize(t.coalesce(1), "walk")).collect())
+    assert got == [[*[f"t{i:02d}" for i in range(n)], "t00"], ["w", "w"], ["x", "y", "x"], ["x", "y", "z", "x"]]
+
+
 def test_hashes(spark):
     row = spark.createDataFrame([("fetch", "t1")], "k string, i string").select(hashing.work_shard(F.col("k"), F.col("i")).alias("s"), hashing.content_hash(F.col("i")).alias("h")).first()
     assert row.s == int.from_bytes(hashlib.sha256(b"fetch:t1").digest()[:8], "big") % 64 and row.h == hashlib.sha256(b"t1").hexdigest()
