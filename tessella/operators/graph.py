@@ -90,9 +90,11 @@ def import_candidates(source_file: Column, target: Column) -> Column:
     folder = F.regexp_replace(F.regexp_replace(source_file, r"[^/]*$", ""), r"/$", "")
     clean = F.regexp_replace(F.replace(target, F.lit("\\"), F.lit("/")), r"^[./]+|[./]+$", "")
     joined = F.when(folder == "", target).otherwise(F.concat(folder, F.lit("/"), target))
-    up = joined
-    for _ in range(3):  # "a/b/../c" is "a/c"; "./" goes
-        up = F.regexp_replace(F.regexp_replace(up, r"(^|/)\./", "$1"), r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    parts = F.filter(F.split(joined, "/"), lambda p: (p != "") & (p != "."))
+    above = lambda a: (F.size(a) == 0) | (F.get(a, F.size(a) - 1) == "..")
+    # "a/b/../c" is "a/c", at any depth; what is above the first folder stays.
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when((p == "..") & ~above(a), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, p)))
+    up = F.when(F.size(walked) == 0, ".").otherwise(F.concat(F.when(joined.startswith("/"), "/").otherwise(""), F.array_join(walked, "/")))
     relative = F.when(target.startswith("."), F.array(up, F.concat(up, F.lit(".py")), F.concat(up, F.lit("/__init__.py")))).otherwise(F.array().cast("array<string>"))
     dotted = F.replace(clean, F.lit("."), F.lit("/"))
     stems = [clean, dotted]

@@ -202,6 +202,15 @@ def test_dag_checks(spark):
     assert graph.dag_errors(df.limit(0)).first().rule == "empty"
 
 
+def test_imports_from_any_depth(spark):
+    edges = spark.createDataFrame([("a/b/c/d/m.c", "../../../../x.h"), ("a/b/c/d/e/m.c", "../../.././../../q/x.h"), ("a/m.c", "./y.h"), ("a/m.c", "../../x.h")], "file_path string, target_name string")
+    files = spark.createDataFrame([("x.h",), ("q/x.h",), ("a/y.h",), ("b/y.h",)], "path string")
+    got = graph.resolve_imports(edges.withColumn("kind", F.lit("IMPORTS")), files).collect()
+    want = {"../../../../x.h": "x.h", "../../.././../../q/x.h": "q/x.h", "./y.h": "a/y.h"}
+    found = {r.target_name: r.target_qualified for r in got}
+    assert {k: found[k] for k in want} == want
+
+
 def test_cycle_of_many_tasks(spark):
     from tessella.llm.common import materialize
 
