@@ -55,7 +55,7 @@ def cosine_topk(spark, sf_dir):
 @query("SELECT CAST(len(embedding) AS BIGINT) AS dimension, count(*) AS vectors, CAST(sum(CASE WHEN list_bool_and(list_transform(embedding, lambda x: isfinite(x))) THEN 1 ELSE 0 END) AS BIGINT) AS valid FROM embeddings GROUP BY len(embedding)")
 def vector_dim_check(spark, sf_dir):
     e = star.table(spark, sf_dir, "embeddings")
-    return e.groupBy(F.size("embedding").cast("long").alias("dimension")).agg(F.count(F.lit(1)).alias("vectors"), F.sum(F.when(values.valid_vector(F.col("embedding"), 64) | (F.size("embedding") != 64), 1).otherwise(0)).cast("long").alias("valid"))
+    return e.groupBy(F.size("embedding").cast("long").alias("dimension")).agg(F.count(F.lit(1)).alias("vectors"), F.sum(F.when(values.valid_vector(F.col("embedding"), F.size("embedding")) & (F.size("embedding") > 0), 1).otherwise(0)).cast("long").alias("valid"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,6 +202,14 @@ def test_dag_checks(spark):
     assert graph.dag_errors(df.limit(0)).first().rule == "empty"
 
 
+def test_vectors_of_any_dimension_are_checked(spark, tmp_path):
+    from tessella import catalog
+
+    rows = [(1, [1.0, 2.0]), (2, [1.0, float("nan")]), (3, [float("inf"), 1.0]), (4, [1.0] * 64), (5, [1.0] * 63 + [float("nan")]), (6, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {tuple(r) for r in catalog.vector_dim_check(spark, str(tmp_path)).collect()} == {(2, 3, 1), (64, 2, 1), (0, 1, 0)}
+
+
 def test_imports_from_any_depth(spark):
     edges = spark.createDataFrame([("a/b/c/d/m.c", "../../../../x.h"), ("a/b/c/d/e/m.c", "../../.././../../q/x.h"), ("a/m.c", "./y.h"), ("a/m.c", "../../x.h")], "file_path string, target_name string")
     files = spark.createDataFrame([("x.h",), ("q/x.h",), ("a/y.h",), ("b/y.h",)], "path string")
