@@ -10,16 +10,17 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 Bands of ROWS coordinates give the keys of buckets. What follows is exact for the pairs that share a bucket:
 
 1. Texts of the same words are one node (any number of copies).
-2. Each member of a bucket is compared with the bucket's smallest node; pairs from SIMILARITY on are links.
+2. Each member of a bucket is compared with the bucket's smallest node, its leader; pairs from SIMILARITY on are links.
 3. Buckets whose members are in several classes get another node to compare with, PIVOTS times.
-4. What is left are groups of texts of graded similarity. Buckets that share nodes are joined to groups, a group is cut
-   in blocks of bounded size, and one task takes two blocks: it compares the pairs of different classes that share
-   MIN_BANDS keys and can be that similar by their numbers of shingles, and returns the links alone. Pairs are never
-   rows, and a pair that the links found so far connect is not compared.
+4. What is left are buckets of texts of graded similarity. Those of one leader are a group, a group is cut in blocks of
+   bounded size, and one task takes two blocks: it compares the pairs of different classes that share a bucket of this
+   leader and none of a smaller one (so each pair is compared in one group), and returns a spanning set of the links.
+   Pairs are never rows, and a pair that the links found so far connect is not compared.
 5. Classes are the connected components of the links.
 
-MIN_BANDS is met by a pair of similarity 0.8 but for a chance of 10^-6. Groups of more than GROUP_NODES nodes are not
-joined: there each bucket is a group of its own, and a pair may be compared in several.
+Comparisons with one node (2 and 3) are dealt out in parts of at most STAR_NODES members, each with a copy of that node,
+so a node that a third of all texts is compared with is no hot task. The work of 4 grows with the square of a bucket's
+different, unconnected texts, as blocks are read in pairs; nothing is left out to avoid that.
 
 Comparisons use whole texts. All tables between the steps are written to the shared folder; joins on keys that
 many rows share can be split by adaptive execution. Nulls count as empty; a text without words is a class of its
@@ -40,8 +41,8 @@ COORDINATES, ROWS = 128, 4
 SIMILARITY = 0.8
 #: Further nodes that unresolved buckets are compared with before blocks of them.
 PIVOTS = 2
-#: Keys that a pair must share to be compared in blocks; nodes and words of a block; nodes of a group of joined buckets.
-MIN_BANDS, BLOCK_NODES, BLOCK_WORDS, GROUP_NODES = 2, 1024, 1_000_000, 20_000
+#: Members of a part of a star; nodes and words of a block; elements whose matrix columns are multiplied at a time.
+STAR_NODES, BLOCK_NODES, BLOCK_WORDS, COLUMNS = 256, 1024, 500_000, 2048
 #: Width of the lowest region of ranks, as a power of two.
 LOWEST = -4
 
@@ -123,172 +124,207 @@ def _sign(batches):
             )
 
 
-def _compare(batches):
-    """(a, b, text_a, text_b) to a, b and their weighted Jaccard similarity."""
-    import pyarrow as pa
-
-    kept: dict[int, np.ndarray] = {}
-
-    def of(i: int, text: str) -> np.ndarray:
-        if i not in kept:
-            if len(kept) >= 64:
-                kept.clear()
-            w = words_of(text)
-            kept[i] = np.unique(elements(word_hashes(w), np.array([len(w)], np.int64))[0])
-        return kept[i]
-
-    for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+def _elements(text: str | None) -> np.ndarray:
+    w = words_of(text)
+    return elements(word_hashes(w), np.array([len(w)], np.int64))[0]
+
+
+def _compare(similarity: float):
+    """(centre, part, node, text), the centre first in each part, to links (a, b) of the centre."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, mine = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            centres, parts, nodes = (batch.column(c).to_pylist() for c in range(3))
+            out = []
+            for k, (centre, part, node) in enumerate(zip(centres, parts, nodes, strict=True)):
+                have = _elements(batch.column(3)[k].as_py())
+                if (centre, part) != now:
+                    assert node == centre, "a part must begin with its centre"
+                    now, mine = (centre, part), np.unique(have)
+                    continue
+                both = len(np.intersect1d(mine, have))
+                if both >= similarity * (len(mine) + len(have) - both):
+                    out.append((min(node, centre), max(node, centre)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _star_links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links among distinct pairs (node, centre), as a table; texts (node, text) has every node and centre."""
+    parts = materialize(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR_NODES).cast("int").alias("parts")), "parts")
+    members = pairs.join(parts, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node")
+    centres = parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("node"))
+    rows = members.unionByName(centres).join(texts.hint("merge"), "node").select("centre", "part", "node", "text")
+    dealt = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", F.col("node") != F.col("centre"), "node")
+    links = materialize(dealt.mapInArrow(_compare(similarity), "a long, b long"), "links")
+    discard(parts)
+    return links
+
+
+def _block_links(similarity: float):
+    def run(table):
+        """Links between two blocks (i, j) of a leader's buckets (within one if they are the same): a, b."""
+        import pyarrow as pa
+
+        i, j, leader = (table[c][0].as_py() for c in ("i", "j", "leader"))
+        node, block = table["node"].to_numpy(), table["block"].to_numpy()
+        _, root = np.unique(table["label"].to_numpy(), return_inverse=True)
+        sets = [np.unique(_elements(t.as_py())) for t in table["text"]]
+        size = np.array([len(x) for x in sets])
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        owner = np.repeat(np.arange(len(node)), size)
+        _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1  # an element of one text alone is in no intersection
+        use = times[code] > 1
+        code, owner = column[code[use]], owner[use]
+        order = np.argsort(code, kind="stable")
+        code, owner = code[order], owner[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for low in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+            x, y = np.searchsorted(code, (low, low + COLUMNS))
+            has = np.zeros((len(node), COLUMNS), np.float32)
+            has[owner[x:y], code[x:y] - low] = 1
+            both += has[left] @ has[right].T
+        fits = both >= similarity * (size[left][:, None] + size[right][None, :] - both)
+        if i == j:
+            fits &= left[:, None] < right[None, :]
+        # Buckets that a pair shares: each has a key and a leader, and the pair belongs to the smallest leader.
+        shared, counts = table["buckets"].combine_chunks(), table["buckets"].combine_chunks().value_lengths().to_numpy()
+        flat = shared.flatten()
+        keys, leaders, whose = flat.field("key").to_numpy(), flat.field("leader").to_numpy(), np.repeat(np.arange(len(node)), counts)
+        here = {}
+        for k in np.flatnonzero(leaders <= leader):
+            here.setdefault(int(whose[k]), {})[int(keys[k])] = int(leaders[k])
         out = []
-        for k, (i, j) in enumerate(zip(a, b, strict=True)):
-            x, y = of(i, batch.column(2)[k].as_py()), of(j, batch.column(3)[k].as_py())
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / max(len(x) + len(y) - both, 1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
-
-
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) with their similarity; texts has RID and text."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias(RID)).distinct()
-    some = materialize(texts.select(RID, F.coalesce("text", F.lit("")).alias("text")).join(wanted, RID, "left_semi"), "texts")
-    left = pairs.join(some.select(F.col(RID).alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(some.select(F.col(RID).alias("b"), F.col("text").alias("text_b")), "b")
-    out = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long, similarity double"), "compared")
-    discard(some)
-    return out
+        for x, y in zip(*np.nonzero(fits), strict=True):
+            a, b = left[x], right[y]
+            if root[a] == root[b]:
+                continue
+            met = [found for key, found in here.get(int(a), {}).items() if key in here.get(int(b), {})]
+            if met and min(met) == leader:
+                out.append((min(node[a], node[b]), max(node[a], node[b])))
+                root[root == root[b]] = root[a]
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
+    return run
 
-def _block_links(table):
-    """Links between two blocks (i, j) of a group (within one if they are the same): a, b, similarity."""
-    import pyarrow as pa
 
-    i, j = table["i"][0].as_py(), table["j"][0].as_py()
-    node, block = table["node"].to_numpy(), table["block"].to_numpy()
-    _, root = np.unique(table["label"].to_numpy(), return_inverse=True)
-    keys = np.array(table["keys"].to_pylist(), np.int64)
-    sets: list[np.ndarray] = []
-    texts = table["text"]
-    for k in range(len(node)):
-        w = words_of(texts[k].as_py())
-        sets.append(np.unique(elements(word_hashes(w), np.array([len(w)], np.int64))[0]))
-    size = np.array([len(x) for x in sets])
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    shared = np.zeros((len(left), len(right)), np.uint8)
-    for b in range(keys.shape[1]):
-        shared += keys[left, b][:, None] == keys[right, b][None, :]
-    flat = np.concatenate([sets[k] for k in right] or [np.zeros(0, np.uint64)])
-    owner = np.repeat(np.arange(len(right)), size[right])
-    out = []
-    for x, a in enumerate(left):
-        fits = np.minimum(size[a], size[right]) >= SIMILARITY * np.maximum(size[a], size[right])
-        use = (shared[x] >= MIN_BANDS) & fits & (root[right] != root[a])
-        if i == j:
-            use &= right > a
-        if not use.any():
-            continue
-        mine = sets[a]
-        hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
-        both = np.bincount(owner[hit], minlength=len(right))
-        like = both / np.maximum(size[a] + size[right] - both, 1)
-        for y in np.flatnonzero(use & (like >= SIMILARITY)):
-            b = right[y]
-            if root[a] != root[b]:
-                out.append((min(node[a], node[b]), max(node[a], node[b]), like[y]))
-                root[root == root[b]] = root[a]
-    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "similarity": pa.array([x[2] for x in out], pa.float64())})
-
-
-def _blocks(left: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """left (key, node, leader, label: the members of unresolved buckets) to links found in blocks."""
-    joined = components(left.select(F.col("leader").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
-    grouped = left.select("key", "node", "label").join(joined.select("node", F.col("label").alias("comp")), "node")
-    sizes = joined.groupBy(F.col("label").alias("comp")).agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > GROUP_NODES).select("comp", F.lit(True).alias("large"))
-    group = grouped.join(sizes, "comp", "left").select(F.when(F.col("large"), F.concat(F.lit("k"), F.col("key").cast("string"))).otherwise(F.concat(F.lit("c"), F.col("comp").cast("string"))).alias("g"), "node", "label").distinct()
-    rows = materialize(group.join(members.where("rid = node").select("node", "size", "keys"), "node"), "grouped")
-    cut = rows.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_WORDS)).cast("int").alias("blocks"))
-    placed = rows.join(materialize(cut, "cut"), "g").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    wanted = rows.select(F.col("node").alias(RID)).distinct()
-    some = materialize(texts.select(RID, F.coalesce("text", F.lit("")).alias("text")).join(wanted, RID, "left_semi"), "texts")
-    pairs = placed.select("g", "node", "label", "keys", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "keys", "block")
-    full = pairs.join(some.select(F.col(RID).alias("node"), "text"), "node")
-    return materialize(full.groupBy("g", "i", "j").applyInArrow(_block_links, "a long, b long, similarity double"), "block-links")
+def _group_links(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links within unresolved buckets, as a table: left (key, node, size, leader, label) has all their members."""
+    each = left.groupBy("node").agg(F.collect_list(F.struct("key", "leader")).alias("buckets"), F.max("size").alias("size"), F.max("label").alias("label"))  # at most a bucket for each band
+    rows = materialize(each.select("node", "size", "label", "buckets", F.explode(F.array_distinct(F.transform("buckets", lambda x: x["leader"]))).alias("leader")), "rows")
+    cut = rows.groupBy("leader").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    cut = materialize(cut, "cut")
+    placed = rows.join(cut, "leader").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")).join(texts.hint("merge"), "node")
+    pairs = placed.select("leader", "node", "label", "buckets", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    links = materialize(pairs.groupBy("leader", "i", "j").applyInArrow(_block_links(similarity), "a long, b long"), "links")
+    discard(rows, cut)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): label is the smallest node of the component.
 
-    Each round takes every node to the smallest of itself and its neighbours and contracts the edges, so a round sees
-    only the edges between nodes that are still apart.
+    Each round takes every node to that of itself and its neighbours which comes first in an order of the round's own
+    (by hash) and contracts the edges, so the nodes of a component become fewer by half or so in each round, whatever
+    its shape and its ids: 1,000 nodes in a chain take about 10 rounds.
     """
     tidy = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     now = materialize(edges.select(*tidy("a", "b")).where("a <> b").distinct(), "edges")
-    labels = None
-    while labels is None or now.limit(1).count():
+    steps: list[DataFrame] = []
+    while now.limit(1).count():
         ends = now.select(F.col("a").alias("node"), F.col("b").alias("near")).unionAll(now.select(F.col("b").alias("node"), F.col("a").alias("near")))
-        step = materialize(ends.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("label")), "step")
-        if labels is None:
-            labels = step
-        else:
-            further = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-            labels = materialize(labels.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
-        left, right = step.select(F.col("node").alias("a"), F.col("label").alias("x")), step.select(F.col("node").alias("b"), F.col("label").alias("y"))
-        new = materialize(now.join(left, "a").join(right, "b").select(*tidy("x", "y")).where("a <> b").distinct(), "edges")
+        first = lambda c, turn=len(steps): F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("to"))
+        step = materialize(ends.groupBy("node").agg(F.min(first("near")).alias("near")).select("node", F.least(first("node"), "near")["to"].alias("to")), "step")
+        x, y = step.select(F.col("node").alias("a"), F.col("to").alias("x")), step.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        new = materialize(now.join(x, "a").join(y, "b").select(*tidy("x", "y")).where("a <> b").distinct(), "edges")
         discard(now)
-        now = new
+        now, steps = new, [*steps, step]
+    if not steps:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    end = steps[-1]
+    for step in steps[-2::-1]:
+        end = step.join(end.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    end = materialize(end, "ends")
+    least = materialize(end.groupBy("to").agg(F.min("node").alias("label")), "least")
+    labels = materialize(end.join(least, "to").select("node", "label"), "labels")
+    discard(now, end, least, *steps)
     return labels
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels after further links: only the links between classes are looked at."""
+    if labels is None:
+        return components(links)
+    at = lambda end, to: labels.select(F.col("node").alias(end), F.col("label").alias(to))
+    between = links.join(at("a", "x"), "a", "left").join(at("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    higher = components(between)
+    moved = higher.select(F.col("node").alias("label"), F.col("label").alias("end"))
+    kept = labels.join(moved, "label", "left").select("node", F.coalesce("end", "label").alias("label"))
+    fresh = higher.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    out = materialize(kept.unionByName(fresh), "labels")
+    discard(labels, higher)
+    return out
+
+
 def near_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(RID, doc_id, label) of each row of rows (RID, doc_id, text): label is the smallest RID of its class."""
     spark = rows.sparkSession
     ship(spark)
     signed = materialize(rows.select(RID, "doc_id", "text").mapInArrow(_sign, "rid long, doc_id long, h1 long, h2 long, size long, keys array<long>"), "signed")
     nodes = materialize(signed.where("size > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node")), "nodes")
-    members = materialize(
-        signed.where("size > 0").join(nodes, ["h1", "h2"]).select("rid", "doc_id", "node", "size", F.when(F.col("rid") == F.col("node"), F.col("keys")).alias("keys")), "members"
-    )
-    discard(nodes)
-    bands = members.where("rid = node").select("node", "size", F.explode("keys").alias("key"))
-    crowded = materialize(bands.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader"), "crowded")
-    buckets = materialize(bands.join(crowded, "key").select("key", "node", "size", "leader"), "buckets")
-    discard(crowded)
-
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested = compare(buckets.where("node <> leader").select(*pair("node", "leader")).distinct(), rows)
-    labels = components(tested.where(F.col("similarity") >= similarity))
-    linked = tested.where(F.col("similarity") >= similarity)
-    for turn in range(PIVOTS + 1):
-        named = buckets.join(labels.withColumnRenamed("label", "found"), "node", "left").select("key", "node", "size", "leader", F.coalesce("found", "node").alias("label"))
-        named = materialize(named, "named")
-        pivots = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "node", "size", "label")).alias("p"))
-        pivots = materialize(pivots.where("lo <> hi and n > 2").select("key", "p.node", "p.size", "p.label"), "pivots")  # two members have been compared
-        if turn == PIVOTS:
-            left = materialize(named.join(pivots.select("key"), "key", "left_semi"), "left")
-            if left.limit(1).count():
-                linked = linked.unionByName(_blocks(left, members, rows))
-                labels = components(linked)
+    bands = signed.select(F.col("rid").alias("node"), "size", "keys").join(nodes.select("node"), "node", "left_semi").select("node", "size", F.explode("keys").alias("key"))
+    bands = materialize(bands, "bands")
+    crowded = bands.groupBy("key").agg(F.min(F.struct("node", "size")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("first.node").alias("leader"), F.col("first.size").alias("leader_size"))
+    crowded = materialize(crowded, "crowded")  # as a table, so that adaptive execution can split the join
+    buckets = materialize(bands.join(crowded, "key").select("key", "node", "size", "leader", "leader_size"), "buckets")
+    discard(bands, crowded)
+    # Shuffled at every size: what is wanted grows with the corpus.
+    wanted = buckets.select("node").distinct().hint("merge")
+    texts = materialize(rows.select(F.col(RID).alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "node", "left_semi"), "texts")
+
+    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity
+    star = buckets.where("node <> leader").where(fits("size", "leader_size")).select("node", F.col("leader").alias("centre")).distinct()
+    labels, tables = None, [signed, nodes, texts]
+    for turn in range(PIVOTS + 2):
+        links = _star_links(star, texts, similarity) if turn <= PIVOTS else _group_links(left, texts, similarity)
+        if labels is None or links.limit(1).count():
+            labels = _merged(labels, links)
+        discard(links)
+        if turn > PIVOTS:
             break
-        fits = F.least(F.col("size"), F.col("p_size")) >= F.greatest(F.col("size"), F.col("p_size")) * similarity
-        other = pivots.select("key", F.col("node").alias("p_node"), F.col("size").alias("p_size"), F.col("label").alias("p_label"))
-        met = named.join(other, "key").where((F.col("label") != F.col("p_label")) & fits)
-        pairs = materialize(met.select(*pair("node", "p_node")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        discard(named)
-        discard(pivots)
-        got = compare(pairs, rows)
-        tested = tested.unionByName(got)
-        new = got.where(F.col("similarity") >= similarity)
-        if new.limit(1).count():
-            linked = linked.unionByName(new)
-            labels = components(linked)
-    classed = members.join(labels.withColumnRenamed("label", "found"), "node", "left").select(F.col("rid").alias(RID), "doc_id", F.coalesce("found", "node").alias("label"))
-    return classed.unionByName(signed.where("size = 0").select(F.col("rid").alias(RID), "doc_id", F.col("rid").alias("label")))
+        named = materialize(buckets.join(labels.withColumnRenamed("label", "found"), "node", "left").select("key", "node", "size", "leader", "leader_size", F.coalesce("found", "node").alias("label")), "named")
+        several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "node", "size", "label")).alias("p"))
+        several = materialize(several.where("lo <> hi and n > 2").select("key", "p.node", "p.size", "p.label"), "several")  # two members have been compared
+        left = materialize(named.join(several.select("key"), "key", "left_semi"), "buckets")
+        discard(named, buckets)
+        buckets = left
+        if not several.limit(1).count():
+            discard(several)
+            break
+        if turn < PIVOTS:
+            other = several.select("key", F.col("node").alias("centre"), F.col("size").alias("centre_size"), F.col("label").alias("centre_label"))
+            met = left.join(other, "key").where((F.col("label") != F.col("centre_label")) & fits("size", "centre_size") & (F.col("centre") != F.col("leader")))
+            star = materialize(met.select("node", "centre").distinct(), "pairs")
+            tables.append(star)
+        tables.append(several)
+    tables += [buckets, labels]
+    named = nodes.join(labels.withColumnRenamed("label", "found"), "node", "left").select("h1", "h2", F.coalesce("found", "node").alias("label"))
+    classed = signed.where("size > 0").join(named, ["h1", "h2"]).select(F.col("rid").alias(RID), "doc_id", "label")
+    out = materialize(classed.unionByName(signed.where("size = 0").select(F.col("rid").alias(RID), "doc_id", F.col("rid").alias("label"))), "classed")
+    discard(*tables)
+    return out
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the id of its class's first row), class_size, kept (that row)."""
     rows = number_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    classed = materialize(near_classes(rows, similarity), "classed")
+    classed = near_classes(rows, similarity)
     classes = materialize(classed.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"), F.max(F.when(F.col(RID) == F.col("label"), F.col("doc_id"))).alias("class_id")), "classes")
     return classed.join(classes, "label").select("doc_id", "class_id", "class_size", (F.col(RID) == F.col("label")).alias("kept"))
 

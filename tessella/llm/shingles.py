@@ -9,7 +9,7 @@ import numpy as np
 #: Words in a shingle.
 SHINGLE = 5
 #: Words whose hashes a worker keeps at most.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 #: Bytes of text that are worked on at a time (one longer text is worked on alone).
 CHUNK_BYTES = 2_000_000
 
