@@ -7,7 +7,7 @@ numbers), the second scores. A stored index of postings serves many queries (pos
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,29 +63,41 @@ def phrases(query: str, stem: bool = False) -> list[list[str]]:
     return [[porter(t) if stem else t for t in query_tokens(term)] for term in query.split()]
 
 
+def _goes_on(token: str, so_far: Column, word: Column) -> Column:
+    return so_far & F.coalesce(word == token, F.lit(False))
+
+
 def _hits(words: Column, phrase: Sequence[str]) -> Column:
-    """How often a phrase stands in an array of tokens."""
-    if len(phrase) == 1:
-        return F.size(F.filter(words, lambda w: w == phrase[0]))
-    return F.size(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: reduce(lambda a, b: a & b, [F.coalesce(F.get(words, x["i"] + k) == p, F.lit(False)) for k, p in enumerate(phrase)])))
+    """How often a phrase stands in an array of tokens: a flag for each place, and-ed with those of the shifted array."""
+    at = F.transform(words, lambda w: w == phrase[0])
+    for k, p in enumerate(phrase[1:], start=2):
+        at = F.zip_with(at, F.slice(words, k, F.size(words)), partial(_goes_on, p))
+    return F.size(F.filter(at, lambda f: f))
 
 
 def bm25_scores(rows: DataFrame, columns: Sequence[str], query: str, stem: bool = False) -> DataFrame:
-    """rows that hold every phrase of query, with bm25; all rows count for the statistics."""
+    """rows that hold every phrase of query, with bm25; all rows count for the statistics.
+
+    The tokens of a row are bound once and counted in the row that a generator makes of them, so that no filter on
+    the counts can copy the tokenisation: time is linear in the text.
+    """
     wanted = phrases(query, stem)
     if not wanted or not all(wanted):
         return rows.withColumn("bm25", F.lit(0.0)).limit(0)
-    split = {c: (stem_tokens(tokens(F.col(c).cast("string"))) if stem else tokens(F.col(c).cast("string"))) for c in columns}
-    token_cols = [f"__t_{i}" for i in range(len(columns))]
-    with_tokens = rows.withColumns(dict(zip(token_cols, split.values(), strict=True)))
-    hits = {f"__f_{k}": sum((_hits(F.col(t), p) for t in token_cols[1:]), _hits(F.col(token_cols[0]), p)) for k, p in enumerate(wanted)}
-    counted = with_tokens.withColumns({**hits, "__d": sum((F.size(t) for t in token_cols[1:]), F.size(token_cols[0]))}).drop(*token_cols)
-    stats = counted.agg(F.count(F.lit(1)).alias("__n"), F.avg("__d").alias("__avg"), *[F.count(F.when(F.col(f) > 0, 1)).alias(f"__df{f}") for f in hits])
-    both = counted.where(reduce(lambda a, b: a & b, [F.col(f) > 0 for f in hits])).crossJoin(F.broadcast(stats))  # one row
+    split = [stem_tokens(tokens(F.col(c).cast("string"))) if stem else tokens(F.col(c).cast("string")) for c in columns]
+    names = [f"t{i}" for i in range(len(columns))]
+    words = F.struct(*[t.alias(n) for n, t in zip(names, split, strict=True)])
+    total = lambda parts: reduce(lambda a, b: a + b, parts)
+    hits = [f"f{k}" for k in range(len(wanted))]
+    count = lambda t: F.struct(total([F.size(t[n]) for n in names]).alias("d"), *[total([_hits(t[n], p) for n in names]).alias(f) for f, p in zip(hits, wanted, strict=True)])
+    counted = rows.withColumn("__t", words).select(*rows.columns, F.explode(F.transform(F.array("__t"), count)).alias("__c"))
+    has = [F.col(f"__c.{f}") for f in hits]
+    stats = counted.agg(F.count(F.lit(1)).alias("__n"), F.avg("__c.d").alias("__avg"), *[F.count(F.when(h > 0, 1)).alias(f"__df_{f}") for h, f in zip(has, hits, strict=True)])
+    both = counted.where(reduce(lambda a, b: a & b, [h > 0 for h in has])).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
-    for f in hits:
-        idf = F.log((F.col("__n") - F.col(f"__df{f}") + 0.5) / (F.col(f"__df{f}") + 0.5))
-        score = score + F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * F.col(f) * (K1 + 1) / (F.col(f) + K1 * (1 - B + B * F.col("__d") / F.col("__avg")))
+    for h, f in zip(has, hits, strict=True):
+        idf = F.log((F.col("__n") - F.col(f"__df_{f}") + 0.5) / (F.col(f"__df_{f}") + 0.5))
+        score = score + F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * h * (K1 + 1) / (h + K1 * (1 - B + B * F.col("__c.d") / F.col("__avg")))
     return both.withColumn("bm25", score).select(*rows.columns, "bm25")
 
 
