@@ -6,15 +6,18 @@ the end: for each frame its compressed size, its size, and a checksum (the low 3
 content), then the number of frames, a descriptor byte and a magic number. Any zstandard decoder reads the files
 as a whole; read_documents_at() decompresses only the frames of the documents asked for.
 
-Files are written in ascending order of document id (ties: of text), one per range of ids, each under a name of
-its own attempt and then listed in a table; a task that runs twice leaves a file that nothing lists. Null texts
-count as empty; an empty text is the end id alone. No rows: no files, no result rows.
+Files are written in ascending order of document id (ties: of a hash of the text, then of the text), one per range,
+with FILE_BYTES of text or so, each under a name of its own attempt and then listed in a table; a task that runs twice
+leaves a file that nothing lists. Null texts count as empty; an empty text is the end id alone. A very long text is one
+frame. Repeated rows are frames of their own; null ids come first. Further columns of the documents are ignored,
+whatever their names. No rows: no files, no result rows.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 
@@ -32,7 +35,9 @@ END_ID = 2
 #: What stands for a null document id.
 NO_ID = -(2**63)
 #: Words whose ids a worker keeps at most.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
+#: Bytes of text that a file holds, or so.
+FILE_BYTES = 32_000_000
 
 #: Punctuation that the splitter parts from the letters before it.
 _STOPS = (b".", b",", b";", b":", b"!", b"?")
@@ -48,7 +53,8 @@ class WordEncoder(dict):
 
     That holds where the normaliser lower-cases and turns white space into spaces, and the splitter drops them and parts
     letters from punctuation, as in word_bpe_49k.json. A part is encoded once and kept as its ids, those used of late
-    first: two generations of CACHE_WORDS / 2 each.
+    first: two generations of CACHE_WORDS / 2 each. Only parts of ASCII alone are lower-cased here; all others reach the
+    tokenizer as they are, as its normaliser composes letters before it lower-cases them.
     """
 
     def __init__(self, path: str):
@@ -67,12 +73,19 @@ class WordEncoder(dict):
         """Ids of a run of lower-case letters, which normaliser and splitter leave as it is: the model alone decides."""
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
 
+    @staticmethod
+    def _stays_letters(text: str) -> bool:
+        """Whether letters alone are left of it when it is composed and lower-cased."""
+        return text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
+
     def __missing__(self, part: bytes) -> bytes:
         ids = self.older.get(part)
         if ids is None:
-            if part.isalpha():
+            if part.isascii() and (lower := part.lower()) != part:
+                ids = self[lower]
+            elif part.isalpha():
                 ids = self._letters(part.decode())
-            elif part[-1:] in _STOPS and (part[:-1].isalpha() or part[:-1].decode().isalpha()):
+            elif part[-1:] in _STOPS and (part[:-1].isalpha() or self._stays_letters(part[:-1].decode())):
                 ids = self[part[:-1]] + self[part[-1:]]
             elif (text := part.decode()).isalpha() and max(text) < _LATIN_END and text.lower().isalpha():
                 ids = self._letters(text.lower().encode().decode("latin-1").translate(self.byte_names))
@@ -87,7 +100,7 @@ class WordEncoder(dict):
         if len(self) > CACHE_WORDS // 2:
             self.older = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, text.encode().lower().split()))  # A-Z and ASCII white space alone
+        return b"".join(map(self.__getitem__, text.encode().split()))  # at ASCII white space
 
 
 def encoder(path: str) -> WordEncoder:
@@ -192,8 +205,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, end_id
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([n], pa.int64())})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange("doc_id")
-    rows = rows.sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = ["doc_id", F.xxhash64("text")]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange(max(1, -(-size // FILE_BYTES)), *order)
+    rows = rows.sortWithinPartitions(*order, "text")
     return materialize(rows.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "token-files")
 
 

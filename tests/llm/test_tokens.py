@@ -69,3 +69,20 @@ def test_damaged_frame_is_found(spark, tmp_path):
     w.finish()
     with pytest.raises(ValueError):
         token_files.FrameReader(bad).frame(0)
+
+
+def test_word_encoder_equals_the_library():
+    """50,000 strings of capitals, combining marks, composed and decomposed letters, punctuation and white space."""
+    import random
+    import struct
+
+    import public_tokenizers
+
+    from tessella.llm.token_files import WordEncoder
+
+    encoder, rng = WordEncoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(11)
+    pool = "YHTWJyhtwjaeiouAEIOUS\u0130\u0131\u00df\u1e9e\u00c5\u212b\u03a3\u03c3\u03c2\ufb01\u01c5\u0390\u0958\u4e2d\ud55c\u1100\u1161\u11a8" + ",.!? \t\n'-\u00a0\u3000\u0085012"
+    pool += "\u0327\u0331\u0323\u030a\u0308\u0300\u0345" * 2
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(50_000)] + ["Y\u030a", "H\u0331", "T\u0308", "W\u030a", "J\u030c", "\u0130.", "\u0958?"]
+    for text, want in zip(texts, encoder.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encoder.encode(text) == struct.pack(f"<{len(want.ids)}I", *want.ids), ascii(text)
