@@ -11,8 +11,8 @@ whenever a stage runs again, so a lost executor cannot change names half-way.
 Blocks that occur very often would fill one task of the sort-merge join. There are at most HOT_BLOCKS of them
 by the way the threshold is chosen, whatever the input, so they are broadcast instead.
 
-Nulls count as empty texts; an empty text is one empty block. Repeated rows are rows of their own: one of them
-stays. Repeated or null ids are allowed.
+Nulls count as empty texts; an empty text is one empty block. A very long text is many blocks, one row each. Repeated
+rows are rows of their own: one of them stays. Repeated or null ids are allowed. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -51,14 +51,18 @@ def _name_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     blocks = _blocks(rows, block_bytes)
     names = blocks.groupBy("block").agg(F.min(_position(F.col(RID), F.col("idx"))).alias("name"), F.count(F.lit(1)).alias("times"))
     hot = names.where(F.col("times") > often).select(F.col("block").alias("hot_block"), F.col("name").alias("hot_name"))
-    # A row whose block is hot has its name already: it carries no block on, and a key of its own spreads it over the tasks and matches nothing.
+    # A row whose block is hot has its name already: it carries no block on, and a second key of its own spreads it over
+    # the tasks and matches nothing.
     apart = F.when(F.col("hot_name").isNull(), F.lit("")).otherwise(F.concat(F.col(RID).cast("string"), F.lit(":"), F.col("idx").cast("string")))
     left = blocks.join(F.broadcast(hot), F.col("block") == F.col("hot_block"), "left").select(
         RID, "doc_id", "sha", "n", "idx", "hot_name", F.when(F.col("hot_name").isNull(), F.col("block")).otherwise(F.lit(b"")).alias("key"), apart.alias("apart")
     )
-    # The condition always holds; with it, both uses of names need the same columns and share one exchange.
-    right = names.where(F.col("times") > 0).select(F.col("block").alias("key"), F.lit("").alias("apart"), "name")
-    return left.join(right, ["key", "apart"], "left").select(RID, "doc_id", "sha", "n", "idx", F.coalesce("hot_name", "name").alias("name"))
+    # Of names, only those of repeated blocks move on: a block that occurs once is named by its own position. The second key
+    # is always empty here but no constant to the optimiser, so both keys deal the rows out, and as names is dealt anew by
+    # them, adaptive execution can split what is left of skew.
+    right = names.where(F.col("times") > 1).select(F.col("block").alias("key"), F.when(F.col("times") > 0, F.lit("")).otherwise(F.lit("-")).alias("apart"), "name")
+    own = _position(F.col(RID), F.col("idx"))
+    return left.join(right, ["key", "apart"], "left").select(RID, "doc_id", "sha", "n", "idx", F.coalesce("hot_name", "name", own).alias("name"))
 
 
 def identities(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
