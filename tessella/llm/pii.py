@@ -3,8 +3,8 @@
 Each kind has a pattern, a check of the matched text, a starting score, and words that raise the score when they
 stand within NEAR characters of the span. Matches are leftmost and do not overlap within a kind; a match that
 fails its check is dropped and not tried again shorter. The four base kinds stay whatever their score. The
-further kinds are kept from SCORE_KEPT on: iban (mod-97) needs no word, secret (32 or more hexadecimal digits)
-does.
+further kinds are kept from SCORE_KEPT on: iban (mod-97; its country says how long it is, so words that follow it are
+no part of it) needs no word, secret (32 or more hexadecimal digits) does.
 
 The patterns are written so that a start inside a run of the same characters is never tried, and so that repeated
 groups do not nest calls: time is linear in the text, whatever its length. Spans are code points, end exclusive.
@@ -25,6 +25,24 @@ SCORE_KEPT = 0.5
 #: What a word nearby adds.
 WORD_ADDS = 0.4
 _CHUNK = 256
+#: Characters of an account number of the international format (ISO 13616), by country code.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _iban_pattern() -> str:
+    """Country codes by length, then groups of four as long as the country has them: words that follow are left out."""
+    by: dict[int, list[str]] = {}
+    for code, n in IBAN_LENGTHS.items():
+        by.setdefault(n, []).append(code)
+    body = lambda n: rf"(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    return r"\b(?:" + "|".join(f"(?:{'|'.join(codes)})[0-9]{{2}}{body(n)}" for n, codes in by.items()) + r")\b"
 
 
 @dataclass(frozen=True)
@@ -42,7 +60,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.5, "ip|address|server|host", True, "."),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+", 0.7, "card|visa|credit|payment", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|fax", True, "+"),
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?\b", 0.8, "iban|bank|account", False),
+    Kind("iban", _iban_pattern(), 0.8, "iban|bank|account", False),
     Kind("secret", r"\b[0-9a-fA-F]{32,}+\b", 0.2, "token|secret|key|password", False),
 )
 
@@ -79,7 +97,7 @@ def _valid(kind: str, m: Column) -> Column:
         return F.length(_digits(m)).between(9, 15)
     if kind == "iban":
         code = F.replace(m, F.lit(" "), F.lit(""))
-        return F.length(code).between(15, 34) & mod97(code)
+        return mod97(code)
     return F.lit(True)
 
 
@@ -161,7 +179,7 @@ def _kind_sql(k: Kind) -> str:
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
         "card": r"[0-9](?:[\x20-]?[0-9])+",
-        "iban": k.pattern.replace("}+", "}"),
+        "iban": r"\b(?:" + "|".join(rf"{code}\d\d(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}(?: ?[A-Z0-9]{{{n % 4}}}){{{int(n % 4 > 0)}}}" for code, n in sorted(IBAN_LENGTHS.items())) + r")\b",
         "secret": k.pattern.replace("}+", "}"),
     }.get(k.name, k.pattern)
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
@@ -169,7 +187,7 @@ def _kind_sql(k: Kind) -> str:
         "ip": "len(list_filter(string_split(m, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0",
         "card": f"length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse({digits}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) WHEN CAST(c AS INT) > 4 THEN CAST(c AS INT) * 2 - 9 ELSE CAST(c AS INT) * 2 END)) % 10 = 0",
         "phone": f"length({digits}) BETWEEN 9 AND 15",
-        "iban": "length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, b: (a * (CASE WHEN b > 9 THEN 100 ELSE 10 END) + b) % 97) = 1",
+        "iban": "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, b: (a * (CASE WHEN b > 9 THEN 100 ELSE 10 END) + b) % 97) = 1",
     }.get(k.name, "true")
     score = f"least({k.score} + CASE WHEN regexp_matches(lower(right(p, {NEAR}) || ' ' || left(q, {NEAR})), '\\b(?:{k.words})') THEN {WORD_ADDS} ELSE 0.0 END, 1.0)"
     return f"""
