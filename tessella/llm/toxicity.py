@@ -6,7 +6,9 @@ predictions (FOLDS folds by a hash of the id), so a later model learns from prob
 texts nobody has labelled. A category's cutoff is the one of best F1 on its out-of-fold predictions.
 
 The labels have one category, toxic. The second, severe, is derived from them: toxic, with SEVERE_WORDS or more
-different words that are significant for toxic texts in the training sample.
+different words that are significant for toxic texts among CUE_PART of the labelled documents. Those documents serve for
+that alone: no model of the chain is fitted to them, so the derived label does not come from a model's own features, and
+the out-of-fold predictions are of documents that neither the fold's models nor the words of the label have seen.
 
 Training uses a sample of at most SAMPLE labelled documents (those whose ids hash lowest), a documented bound
 that keeps the driver's share the same at every size; every document is scored, on its whole text. Words that
@@ -34,11 +36,13 @@ FOLDS = 5
 #: Significance that a word needs, and words that a model has at most.
 MIN_Z, MAX_WORDS = 5.0, 300
 SEVERE_WORDS = 3
+#: One in so many labelled documents (by a hash of the id) gives the words that the second category is derived from.
+CUE_PART = 4
 CATEGORIES = ("toxic", "severe")
 #: Hashed words.
 SPACE_BITS = 22
 _STRIP = b".,;:!?\"'()[]{}|*#$%&<>-_/"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 
 class _Features(dict):
@@ -117,6 +121,14 @@ def _best_cutoff(p: np.ndarray, y: np.ndarray) -> float:
 
 def fit_chain(ids: np.ndarray, flat: np.ndarray, lengths: np.ndarray, toxic: np.ndarray) -> list[dict]:
     """Models of CATEGORIES, each with words, weights of earlier categories, bias and cutoff."""
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    some = lambda use: np.concatenate([flat[starts[i] : starts[i + 1]] for i in np.flatnonzero(use)] or [flat[:0]])
+    cue = np.array([zlib.crc32(f"cue:{i}".encode()) % CUE_PART == 0 for i in ids], bool)
+    cues = np.zeros(0, np.int64)
+    if 0 < toxic[cue].sum() < cue.sum():
+        cues = LinearModel(some(cue), lengths[cue], np.zeros((cue.sum(), 0)), toxic[cue]).positive
+    if not cue.all():
+        ids, flat, lengths, toxic = ids[~cue], some(~cue), lengths[~cue], toxic[~cue]
     n = len(toxic)
     if not 0 < toxic.sum() < n:
         return [_constant(float(toxic.mean()) if n else 0.0)] + [{**_constant(0.0), "extra": [0.0] * k} for k in range(1, len(CATEGORIES))]
@@ -126,7 +138,6 @@ def fit_chain(ids: np.ndarray, flat: np.ndarray, lengths: np.ndarray, toxic: np.
     earlier, models, y = np.zeros((n, 0)), [], toxic
     for k, _ in enumerate(CATEGORIES):
         if k:
-            cues = models[0]["model"].positive
             y = toxic & (np.bincount(np.repeat(np.arange(n), lengths), weights=np.isin(flat, cues), minlength=n) >= SEVERE_WORDS)
         if not 0 < y.sum() < n:
             models.append({**_constant(float(y.mean())), "extra": [0.0] * k})
@@ -138,9 +149,9 @@ def fit_chain(ids: np.ndarray, flat: np.ndarray, lengths: np.ndarray, toxic: np.
             if 0 < y[use].sum() < use.sum() and (~use).any():
                 out[~use] = LinearModel(*part(use), earlier[use], y[use]).predict(*part(~use), earlier[~use])
         whole = LinearModel(flat, lengths, earlier, y)
-        models.append({"model": whole, "words": dict(zip(whole.words.tolist(), whole.w.tolist(), strict=True)), "extra": whole.extra.tolist(), "bias": float(whole.bias), "cutoff": _best_cutoff(out, y)})
+        models.append({"words": dict(zip(whole.words.tolist(), whole.w.tolist(), strict=True)), "extra": whole.extra.tolist(), "bias": float(whole.bias), "cutoff": _best_cutoff(out, y)})
         earlier = np.hstack([earlier, _logit(out)[:, None]])
-    return [{k: v for k, v in m.items() if k != "model"} for m in models]
+    return models
 
 
 def _collect_features(batches):

@@ -244,6 +244,12 @@ def test_pii(spark, odd):
     assert got[1]["phone"][1]["score"] > 0.9 and pii.find_spans(odd).count() == len(ODD)
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = ["BE68539007547034.", "BE68539007547034 EUR 100", "AT611904300234573201 BANK", "ES9121000418450200051332 5", "pay GB82 WEST 1234 5698 7654 32 NOW", "BE68539007547035 EUR", "XX68539007547034", "NO9386011117947X"]
+    found = {r.doc_id: [(x.start, x.end) for x in r.iban] for r in pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {0: [(0, 16)], 1: [(0, 16)], 2: [(0, 20)], 3: [(0, 24)], 4: [(4, 31)], 5: [], 6: [], 7: []}
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.ORG/es/1", "https://example.org/en/17?x", "https://x.org/", "http://org", "http://com/fr/a#b", "http://a.com/de/", "http://badexample.org/es/", "http://notcom/fr/", "x://y://z.com/fr/", "http://com/FR/", "http://a.b.example.org/en/2", "http://host.com?/fr/"] * 2
     pages = spark.createDataFrame([(i, u, "h", "k") for i, u in enumerate(urls)], "page_id long, url string, host string, key string")
@@ -304,6 +310,29 @@ def test_mixing_beyond_the_driver(spark, monkeypatch):
     assert set(many) == set(few) and all(many[i] == pytest.approx(few[i], rel=1e-8) for i in few)
 
 
+def test_raking_is_the_same_at_both_sizes(spark, monkeypatch):
+    """Targets of values that do not occur, and values without a target, on the driver and as a table."""
+    rows = [row(i, prose(30 + 7 * (i % 13)), "en" if i % 3 else "fr", f"s{i % 4}") for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    targets = {"source": {"s0": 0.5, "s1": 0.2, "s2": 0.1, "gone": 0.2}, "lang": {"en": 0.4, "fr": 0.3, "xx": 0.3}, "topic": {"note": 1.0}}
+    got = []
+    for cells in (mixing.MAX_CELLS, 1):
+        monkeypatch.setattr(mixing, "MAX_CELLS", cells)
+        got.append({r.doc_id: (round(r["__mix_weight"], 8), round(r["__mix_p"], 8), r["__mix_kept"]) for r in mixing.mix(df, targets).collect()})
+    assert got[0] == got[1] and all(w == 0 for i, (w, _, _) in got[0].items() if i % 4 == 3)
+
+
+def test_components_of_a_chain(spark):
+    """Rising ids in a chain settle in a number of rounds that grows with the logarithm of its length."""
+    written = []
+    plain = near_dedup.materialize
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(near_dedup, "materialize", lambda df, label: written.append(label) or plain(df, label))
+        got = near_dedup.components(spark.createDataFrame([(i, i + 1) for i in range(1000)] + [(5000, 5001)], "a long, b long")).collect()
+    assert len(got) == 1003 and all(r.label == (0 if r.node <= 1000 else 5000) for r in got)
+    assert written.count("step") <= 20
+
+
 def test_raking_as_a_table_to_the_end(spark):
     cells = [("a", "x", "t", 9000), ("a", "y", "t", 100), ("b", "x", "t", 100), ("b", "y", "t", 9000), ("b", "z", "t", 5)]
     targets = {"source": {"a": 0.6, "b": 0.4}, "lang": {"x": 0.4, "y": 0.5, "gone": 0.1}, "topic": {"t": 1.0}}
