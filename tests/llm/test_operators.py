@@ -216,6 +216,60 @@ def test_lm_scores(spark, docs, odd, monkeypatch):
     assert lm_score.score(docs.limit(0)).count() == 0
 
 
+def brute_scores(rows):
+    """doc_id to score, by the method's definition on plain dicts; weights from tokens whose own occurrence is deleted."""
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7
+    tok = lambda t: (t or "").encode().lower().split() + [b" end"]
+    pairs = lambda t: list(zip([b" end", *tok(t)], tok(t)))  # noqa: B905, E731
+    c, two = collections.Counter(), collections.Counter()
+    for i, t, *_ in rows:
+        if fold(i) != 2:
+            c.update(tok(t))
+            two.update(pairs(t))
+    n, kinds = sum(c.values()), len(c)
+    bucket = lambda h: min(int(math.log2(h + 1)), 23)
+    binned = lambda p: 2.0 ** (-round(-math.log2(p) * 8) / 8) if p > 0 else 0.0
+    seen = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        if fold(i) == 3:
+            for a, b in pairs(t):
+                h = c[a] - 1
+                seen[bucket(h)].append((binned((two[a, b] - 1) / max(h, 1)), binned((c[b] - 1) / (n - 1)), 1 / (kinds + 1)))
+
+    def learn(data, w):
+        for _ in range(60):
+            shares = [0.0] * 3
+            for p in data:
+                s = sum(x * y for x, y in zip(w, p, strict=True))
+                for k in range(3):
+                    shares[k] += w[k] * p[k] / s
+            w = [max(x / len(data), 1e-9) for x in shares]
+            w = [x / sum(w) for x in w]
+        return w
+
+    pooled = learn([p for d in seen.values() for p in d], [0.4, 0.5, 0.1])
+    weights = {b: learn(d, pooled) for b, d in seen.items()}
+    total = collections.Counter()
+    for i, t, *_ in rows:
+        s = 0.0
+        for a, b in pairs(t):
+            w = weights.get(bucket(c[a]), pooled)
+            s += math.log10(w[0] * two[a, b] / max(c[a], 1) + w[1] * c[b] / max(n, 1) + w[2] / (kinds + 1))
+        total[i, round(s, 5)] += 1
+    return total
+
+
+@pytest.mark.parametrize("fanout", [256, 3])
+def test_lm_scores_by_brute_force(spark, monkeypatch, fanout):
+    """All of the method on one level of ranges and on three of them."""
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 3_000)
+    monkeypatch.setattr(lm_score, "RANGE_BYTES", 2_000)
+    monkeypatch.setattr(lm_score, "FANOUT", fanout)
+    rows = [row(i, prose(5 + i % 40)) for i in range(150)] + [row(7, None), row(None, "a b A"), row(None, "")]
+    got = lm_score.score(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert collections.Counter((r.doc_id, round(r.score, 5)) for r in got) == brute_scores(rows)
+
+
 def test_lm_weights_sum_to_a_distribution():
     w = lm_score.mixture_weights([(3, 16, 40, 100), (3, 9999, 40, 50), (0, 9999, 9999, 10)], 1000)
     assert w.shape == (lm_score.BUCKETS, 3) and abs(w.sum(axis=1) - 1).max() < 1e-9 and w[0, 2] > 0.9
