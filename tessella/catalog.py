@@ -69,17 +69,17 @@ _BOOST = "CASE WHEN lower(name) = '{q}' THEN 3.0 WHEN starts_with(lower(name), '
 
 
 @query(
-    f"WITH {_PARTS}, f AS (SELECT * FROM p WHERE contains(lower(name), 'part') AND (contains(lower(name), '1') OR contains(lower(qualified_name), '1')) ORDER BY {_TIER.format(q='part 1')}, qualified_name LIMIT 60) "
-    f"SELECT name, qualified_name, CAST(1.0 + {_BOOST.format(q='part 1')} + CASE WHEN file_path = 'Brand#1' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score FROM f ORDER BY score DESC, qualified_name LIMIT 20"
+    f"WITH {_PARTS}, f AS (SELECT * FROM p WHERE contains(lower(name), 'red') AND contains(lower(name), 'ring') ORDER BY {_TIER.format(q='red ring')}, qualified_name LIMIT 60) "
+    f"SELECT name, qualified_name, CAST(1.0 + {_BOOST.format(q='red ring')} + CASE WHEN file_path = 'Brand#1' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score FROM f ORDER BY score DESC, qualified_name LIMIT 20"
 )
 def keyword_search(spark, sf_dir):
-    return search.keyword_search(_parts(spark, sf_dir), "part 1", 20, context=["Brand#1"]).select("name", "qualified_name", "score")
+    return search.keyword_search(_parts(spark, sf_dir), "red ring", 20, context=["Brand#1"]).select("name", "qualified_name", "score")
 
 
-@query(f"WITH {_PARTS} SELECT {_TIER.format(q='part#1')} AS tier, CAST({_BOOST.format(q='part#1')} AS DOUBLE) AS boost, count(*) AS parts FROM p GROUP BY ALL")
+@query(f"WITH {_PARTS} SELECT {_TIER.format(q='red')} AS tier, CAST({_BOOST.format(q='red')} AS DOUBLE) AS boost, count(*) AS parts FROM p GROUP BY ALL")
 def exact_prefix_boost(spark, sf_dir):
     """How many parts each tier has for a query."""
-    boost = search.ranking_boost("part#1")
+    boost = search.ranking_boost("red")
     return _parts(spark, sf_dir).groupBy(F.when(boost == 3, 0).when(boost == 2, 1).otherwise(2).alias("tier"), boost.alias("boost")).agg(F.count(F.lit(1)).alias("parts"))
 
 
@@ -355,6 +355,68 @@ def stale_updates(spark, sf_dir):
     return scheduler.fence(updates, x, _current(spark, sf_dir)).groupBy("event_type").agg(F.count(F.lit(1)).alias("updates"))
 
 
+_OPERATIONS = ", ".join(f"('{o}')" for o in scheduler.TRANSITIONS)
+_RECORDED = """(VALUES ('load_card', 0, 'card.load_started'), ('start', 0, 'card.loaded'), ('start', 1, 'execution.started'), ('heartbeat', 0, 'execution.heartbeat'),
+('complete', 0, 'execution.completed'), ('complete', 1, 'card.unload_started'), ('fail', 0, 'execution.failed'), ('fail', 1, 'card.unload_started'), ('fail', 2, 'execution.retried'), ('fail', 3, 'task_available'),
+('fail_card', 0, 'card.load_failed'), ('fail_card', 1, 'execution.failed'), ('fail_card', 2, 'card.unload_started'), ('fail_card', 3, 'execution.retried'), ('fail_card', 4, 'task_available'),
+('cancel', 0, 'execution.cancelled'), ('cancel', 1, 'card.unload_started')) r(operation, place, event_type)"""
+
+
+@query(
+    f"""WITH {star.EXECUTIONS_SQL}, {_CURRENT}, u AS (
+SELECT e.task_id, e.execution_id, e.attempt, CASE WHEN e.event_type = 'click' THEN 'claimed' ELSE e.status END AS was, c.task_id IS NOT NULL AS now, operation
+FROM executions e LEFT JOIN cur c USING (task_id, execution_id, attempt), (VALUES {_OPERATIONS}) o(operation)),
+s AS (SELECT *, now AND was IN ('claimed', 'running') AS active FROM u),
+x AS (SELECT execution_id, s.operation, r.place, r.event_type FROM s JOIN {_RECORDED} ON r.operation = s.operation
+  WHERE active AND (s.operation <> 'start' OR was = 'claimed') AND (r.event_type NOT IN ('execution.retried', 'task_available') OR attempt < 2)
+  UNION ALL SELECT execution_id, operation, 0, 'execution.stale_update_rejected' FROM s WHERE NOT active)
+SELECT execution_id, operation, CAST(place AS BIGINT) AS place, event_type FROM x"""
+)
+def transition_events(spark, sf_dir):
+    """Every operation sent for every attempt, and all that is recorded of it, in order."""
+    x = star.executions(spark, sf_dir).withColumn("status", F.when(F.col("event_type") == "click", "claimed").otherwise(F.col("status")))
+    updates = x.select("task_id", "execution_id", "attempt", "runtime_id", F.explode(F.array(*map(F.lit, scheduler.TRANSITIONS))).alias("operation"))
+    return scheduler.transition_events(scheduler.fence(updates, x, _current(spark, sf_dir))).select("execution_id", "operation", *_long("place"), "event_type")
+
+
+@query(
+    f"WITH {star.EXECUTIONS_SQL} SELECT execution_id, CASE WHEN status IN ('completed', 'failed') THEN CASE WHEN sequence_no % 5 = 0 THEN 'card.unload_failed' WHEN sequence_no % 2 = 0 THEN 'card.unloaded' END END AS event_type FROM executions"
+)
+def unload_events(spark, sf_dir):
+    """A request to end the unloading for every attempt; every second one has a runtime that unloads it."""
+    x = star.executions(spark, sf_dir).withColumn("runtime_id", F.concat("runtime_id", F.lit(":"), "execution_id"))
+    held = x.where("sequence_no % 2 = 0").select("runtime_id", F.lit("unloading").alias("status"), F.col("execution_id").alias("current_execution_id"), F.col("attempt").alias("current_attempt"))
+    requests = x.select("task_id", "execution_id", "attempt", "runtime_id", F.when(F.col("sequence_no") % 5 == 0, "stuck").alias("error"))
+    return scheduler.unload_events(requests, x, held).select("execution_id", "event_type")
+
+
+@query(f"WITH {star.EXECUTIONS_SQL}, {_CURRENT} SELECT task_id AS id, status, CASE status WHEN 'completed' THEN 'well done' END AS summary, CASE status WHEN 'cancelled' THEN 'enough' END AS cancel_reason FROM (SELECT task_id, CASE status WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'cancelled' END AS status FROM cur) WHERE status IS NOT NULL")
+def task_after_end(spark, sf_dir):
+    """Current attempts that are completed or cancelled (here: the failed ones), and their tasks afterwards."""
+    now = _current(spark, sf_dir)
+    to = F.when(F.col("status") == "completed", "completed").when(F.col("status") == "failed", "cancelled")
+    ended = now.select(F.col("id").alias("task_id"), F.col("current_execution_id").alias("execution_id"), F.col("current_attempt").alias("attempt"), to.alias("status"), F.lit("well done").alias("summary"), F.lit(None).cast("string").alias("result_path"), F.lit("enough").alias("reason"))
+    out = scheduler.task_after_end(now, ended.where("status is not null"), star.as_of())
+    return out.select("id", "status", F.get_json_object("metadata", "$.summary").alias("summary"), F.get_json_object("metadata", "$.cancel_reason").alias("cancel_reason"))
+
+
+@query(
+    f"WITH s AS (SELECT 'r' || (user_id % 40) AS runtime_id, max(ts) FILTER (WHERE event_type = 'signup') AS reg, max(ts) FILTER (WHERE event_type = 'error') AS stop, max(ts) FILTER (WHERE event_type NOT IN ('signup', 'error')) AS beat FROM events GROUP BY 1) "
+    f"SELECT runtime_id, CASE WHEN coalesce(stop >= reg, false) THEN 'stopped' ELSE 'idle' END AS status, NOT coalesce(stop >= reg, false) AND greatest(reg, beat) + INTERVAL 60 SECONDS >= {_T} AS alive FROM s WHERE reg IS NOT NULL"
+)
+def runtime_states(spark, sf_dir):
+    """Users modulo 40 as runtimes: signup registers, error stops, anything else is a heartbeat."""
+    e = star.table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "signup", "register").when(F.col("event_type") == "error", "stop").otherwise("heartbeat")
+    log = e.select(F.concat(F.lit("r"), F.pmod("user_id", F.lit(40)).cast("string")).alias("runtime_id"), F.col("ts").alias("at"), action.alias("action"))
+    return scheduler.runtime_state(log, star.as_of()).select("runtime_id", "status", "alive")
+
+
+@query("SELECT event_id AS sequence_no, 'x' || event_id AS execution_id, CAST(event_id % 3 + 1 AS BIGINT) AS attempt FROM events WHERE user_id = 7 ORDER BY ts, attempt")
+def execution_history(spark, sf_dir):
+    return scheduler.history(star.executions(spark, sf_dir), "task-7").select("sequence_no", "execution_id", *_long("attempt"))
+
+
 @query("SELECT event_id AS sequence_no, row_number() OVER w AS place, lag(event_type) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def event_sequence(spark, sf_dir):
     e = star.executions(spark, sf_dir).withColumn("execution_id", F.col("task_id")).withColumn("attempt", F.lit(1))
@@ -411,7 +473,7 @@ def inbox_dedup(spark, sf_dir):
     return messaging.first_deliveries(d)
 
 
-@query(f"WITH {star.ENVELOPES_SQL}, {_OUTBOX} SELECT CASE WHEN retry_count % 2 = 0 THEN 'published' ELSE 'retry' END AS delivery_status, count(*) AS attempts, CAST(sum(retry_count) AS BIGINT) AS retries FROM outbox GROUP BY 1")
+@query(f"WITH {star.ENVELOPES_SQL}, {_OUTBOX} SELECT CASE WHEN retry_count % 2 = 0 THEN 'published' WHEN retry_count + 1 >= 12 THEN 'failed' ELSE 'retry_scheduled' END AS delivery_status, count(*) AS attempts, CAST(sum(retry_count + retry_count % 2) AS BIGINT) AS retries FROM outbox GROUP BY 1")
 def delivery_audit(spark, sf_dir):
     tried = _outbox(spark, sf_dir).withColumn("error", F.when(F.pmod(F.col("retry_count"), F.lit(2)) == 1, "down"))
     return messaging.delivery_audit(tried, star.as_of()).groupBy("delivery_status").agg(F.count(F.lit(1)).alias("attempts"), F.sum("retry_count").cast("long").alias("retries"))
@@ -422,6 +484,35 @@ def subscription_filter(spark, sf_dir):
     return messaging.route(star.envelopes(spark, sf_dir)).where(messaging.accepts("note || task.published") & messaging.addressed_to("runtime-2", True)).select("event_id")
 
 
+_SUBSCRIPTIONS = [("all", "agent-message", "*", "runtime-2", True), ("tasks", "task-event", "task.published || task.failed", "runtime-4", True), ("own", "agent-command", "execution_cancel", "runtime-6", False), ("none", "agent-command", "note", "runtime-6", True)]
+
+
+@query(f"""WITH {star.ENVELOPES_SQL}, s AS (SELECT * FROM (VALUES ('all', 'note', 'runtime-2', true), ('tasks', 'task.published', 'runtime-4', true), ('own', 'execution_cancel', 'runtime-6', false)) s(consumer_name, event_type, target, everyone))
+SELECT s.consumer_name, e.event_id FROM envelopes e JOIN s ON s.event_type = e.event_type AND (e.target = s.target OR (s.everyone AND e.target IS NULL)) WHERE NOT (s.consumer_name = 'all' AND e.retry_count % 2 = 0)""")
+def received_messages(spark, sf_dir):
+    """Messages as subscriptions receive them; one consumer has consumed those of even retry counts already."""
+    m = messaging.route(star.envelopes(spark, sf_dir))
+    subscriptions = spark.createDataFrame(_SUBSCRIPTIONS, "consumer_name string, topic string, tags string, target string, broadcast boolean")
+    inbox = m.where("retry_count % 2 = 0").select(F.lit("all").alias("consumer_name"), "event_id", F.lit("consumed").alias("result"))
+    return messaging.receive(m, subscriptions, inbox).select("consumer_name", "event_id")
+
+
+@query("""SELECT 'u' || user_id AS consumer_name, 'k' || CAST(json_extract_string(props, '$.k') AS INTEGER) AS event_id,
+CASE arg_max(event_type, event_id) WHEN 'purchase' THEN 'consumed' WHEN 'error' THEN NULL ELSE 'processing' END AS result, count(*) FILTER (WHERE event_type = 'error') AS retries FROM events GROUP BY 1, 2""")
+def inbox_states(spark, sf_dir):
+    """Events as an inbox log: purchase acknowledges, error asks for redelivery, anything else receives."""
+    e = star.table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "purchase", "ack").when(F.col("event_type") == "error", "retry").otherwise("receive")
+    log = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("consumer_name"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("event_id"), F.col("event_id").alias("at"), action.alias("action"))
+    return messaging.inbox_state(log).select("consumer_name", "event_id", "result", "retries")
+
+
+@query(f"WITH {star.ENVELOPES_SQL} SELECT CASE retry_count % 3 WHEN 0 THEN 'published' WHEN 1 THEN 'pending' ELSE 'failed' END AS status, count(*) AS rows FROM envelopes GROUP BY 1")
+def outbox_status(spark, sf_dir):
+    e = star.envelopes(spark, sf_dir)
+    return messaging.outbox_status(e.withColumn("status", F.element_at(F.array(*map(F.lit, ("published", "pending", "failed"))), F.col("retry_count") % 3 + 1)))
+
+
 @query(f"SELECT 'r' || event_id AS request_id, CASE WHEN event_type = 'purchase' THEN 'approved' WHEN ts + INTERVAL 300 SECONDS < {_T} THEN 'rejected' ELSE 'pending' END AS decision FROM events")
 def permission_states(spark, sf_dir):
     e = star.table(spark, sf_dir, "events")

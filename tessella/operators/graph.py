@@ -40,7 +40,7 @@ def related(nodes: DataFrame, edges: DataFrame, relation: str, qualified: str, l
     if relation == "tests_for":
         found = found.join(nodes.where("is_test").select("qualified_name"), "qualified_name", "left_semi")
     few = found.distinct().orderBy("qualified_name").limit(limit)
-    return nodes.join(F.broadcast(few), "qualified_name", "left_semi")  # limit names at most
+    return nodes.join(F.broadcast(few), "qualified_name", "left_semi").orderBy("qualified_name")  # limit names at most
 
 
 def indegree(nodes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:

@@ -59,10 +59,9 @@ def due(outbox: DataFrame, as_of: Column, batch: int | None = BATCH) -> DataFram
 def after_dispatch(tried: DataFrame, as_of: Column, base: float = 1.0, most: int = MOST_RETRIES) -> DataFrame:
     """tried outbox rows with error (null: published) as they are afterwards."""
     failed = F.col("error").isNotNull()
-    count = F.when(failed, F.col("retry_count") + 1).otherwise(F.col("retry_count"))
-    over = failed & (count >= most)
+    out = tried.withColumn("retry_count", F.when(failed, F.col("retry_count") + 1).otherwise(F.col("retry_count")))
+    over = failed & (F.col("retry_count") >= most)
     delay = backoff_seconds(F.col("retry_count"), base)
-    out = tried.withColumn("retry_count", count)
     return out.withColumns({
         "status": F.when(over, "failed").when(failed, "pending").otherwise("published"),
         "next_retry_at": F.when(failed & ~over, after_seconds(as_of, delay)).otherwise(F.lit(None).cast("timestamp")),
@@ -70,9 +69,12 @@ def after_dispatch(tried: DataFrame, as_of: Column, base: float = 1.0, most: int
     }).drop("error")
 
 
-def delivery_audit(tried: DataFrame, as_of: Column) -> DataFrame:
-    """One audit row for each attempt to publish."""
-    return tried.select("event_id", F.when(F.col("error").isNull(), "published").otherwise("retry").alias("delivery_status"), "retry_count", F.col("error").alias("error_message"), as_of.alias("delivered_at"))
+def delivery_audit(tried: DataFrame, as_of: Column, most: int = MOST_RETRIES) -> DataFrame:
+    """One audit row for each attempt to publish; a failed attempt counts."""
+    failed = F.col("error").isNotNull()
+    count = F.when(failed, F.col("retry_count") + 1).otherwise(F.col("retry_count"))
+    status = F.when(~failed, "published").when(count >= most, "failed").otherwise("retry_scheduled")
+    return tried.select("event_id", status.alias("delivery_status"), count.alias("retry_count"), F.substring("error", 1, 4000).alias("error_message"), as_of.alias("delivered_at"))
 
 
 def first_deliveries(deliveries: DataFrame, inbox: DataFrame | None = None) -> DataFrame:
@@ -94,6 +96,32 @@ def accepts(tags: str) -> Column:
     return F.lit(True) if "*" in names else F.col("tag").isin(*names)
 
 
+def receive(messages: DataFrame, subscriptions: DataFrame, inbox: DataFrame | None = None) -> DataFrame:
+    """Deliveries (consumer_name and the message) to subscriptions (consumer_name, topic, tags, target, broadcast).
+
+    A message goes to the subscriptions of its topic whose tags take it and which it is addressed to (a null target: to
+    those with broadcast), but not where the inbox (inbox_state()) has it consumed or in work.
+    """
+    s = subscriptions.select("consumer_name", "topic", F.split("tags", r"\s*\|\|\s*").alias("__tags"), F.col("target").alias("__target"), F.coalesce("broadcast", F.lit(False)).alias("__all"))
+    met = messages.join(s, "topic")
+    takes = F.array_contains("__tags", "*") | F.array_contains("__tags", F.col("tag"))
+    mine = F.coalesce(F.col("target") == F.col("__target"), F.col("__all") & F.col("target").isNull())
+    out = met.where(takes & mine).select("consumer_name", *messages.columns)
+    if inbox is None:
+        return out
+    return out.join(inbox.where("result is not null").select("consumer_name", "event_id"), ["consumer_name", "event_id"], "left_anti").select("consumer_name", *messages.columns)
+
+
+def outbox_status(outbox: DataFrame) -> DataFrame:
+    """Outbox rows by status."""
+    return outbox.groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def undelivered(outbox: DataFrame, inbox: DataFrame) -> DataFrame:
+    """Published events that no consumer has in its inbox."""
+    return outbox.where("status = 'published'").join(inbox.select("event_id").distinct(), "event_id", "left_anti")
+
+
 def addressed_to(target: str, broadcast: bool = False) -> Column:
     return (F.col("target") == target) | (F.lit(broadcast) & F.col("target").isNull())
 

@@ -15,8 +15,21 @@ LEASE_SECONDS, MOST_ATTEMPTS, DEFAULT_PRIORITY = 60, 2, 5
 ACTIVE = ("claimed", "running")
 #: The events of a run that goes well, in order.
 GOOD_RUN = ("execution.claimed", "card.resolved", "card.load_started", "card.loaded", "execution.started", "execution.heartbeat", "execution.completed", "card.unload_started", "card.unloaded")
-#: Statuses from which an operation may move an execution, and where to.
-TRANSITIONS = {"start": (("claimed",), "running"), "heartbeat": (ACTIVE, None), "complete": (("running",), "completed"), "fail": (ACTIVE, "failed"), "cancel": (ACTIVE, "cancelled"), "expire": (ACTIVE, "expired")}
+#: For each operation on the current attempt: the statuses it may start from, the status it leads to (None: stays), and
+#: what is recorded, in order. A failure that leaves a further attempt records RETRIED as well.
+TRANSITIONS = {
+    "load_card": (ACTIVE, None, ("card.load_started",)),
+    "start": (("claimed",), "running", ("card.loaded", "execution.started")),
+    "heartbeat": (ACTIVE, None, ("execution.heartbeat",)),
+    "complete": (ACTIVE, "completed", ("execution.completed", "card.unload_started")),
+    "fail": (ACTIVE, "failed", ("execution.failed", "card.unload_started")),
+    "fail_card": (ACTIVE, "failed", ("card.load_failed", "execution.failed", "card.unload_started")),
+    "cancel": (ACTIVE, "cancelled", ("execution.cancelled", "card.unload_started")),
+}
+RETRIED = ("execution.retried", "task_available")
+STALE = "execution.stale_update_rejected"
+#: The statuses of an attempt that is over.
+OVER = ("completed", "failed", "expired", "cancelled")
 NOT_PUBLISHED = ("execution.heartbeat", "execution.stale_update_rejected")
 
 
@@ -68,14 +81,54 @@ def claim(tasks: DataFrame, runtimes: DataFrame, as_of: Column, lease: int = LEA
 
 
 def fence(updates: DataFrame, executions: DataFrame, tasks: DataFrame) -> DataFrame:
-    """updates (task_id, execution_id, attempt, runtime_id, operation) with accepted, and the status that results."""
+    """updates (task_id, execution_id, attempt, runtime_id, operation) with accepted, the status that results, and event_type.
+
+    What does not come from the current attempt while that is active is stale; an operation that the current attempt's
+    status does not allow (a second start) does nothing and has no event.
+    """
     current = executions.select("task_id", "execution_id", "attempt", "runtime_id", F.col("status").alias("was")).join(
         tasks.select(F.col("id").alias("task_id"), F.col("current_execution_id").alias("execution_id"), F.col("current_attempt").alias("attempt")), ["task_id", "execution_id", "attempt"]
     )
     met = updates.join(current, ["task_id", "execution_id", "attempt", "runtime_id"], "left")
-    allowed = F.coalesce(*[F.when((F.col("operation") == op) & F.col("was").isin(*states), F.lit(True)) for op, (states, _) in TRANSITIONS.items()], F.lit(False))
-    to = F.coalesce(*[F.when(F.col("operation") == op, F.lit(new)) for op, (_, new) in TRANSITIONS.items() if new], F.col("was"))
-    return met.withColumn("accepted", allowed).withColumn("status", F.when(F.col("accepted"), to)).withColumn("event_type", F.when(F.col("accepted"), F.concat(F.lit("execution."), F.coalesce("status", "operation"))).otherwise("execution.stale_update_rejected")).drop("was")
+    is_op = lambda op: F.col("operation") == op
+    allowed = F.coalesce(*[F.when(is_op(op) & F.col("was").isin(*states), F.lit(True)) for op, (states, _, _) in TRANSITIONS.items()], F.lit(False))
+    to = F.coalesce(*[F.when(is_op(op), F.lit(new)) for op, (_, new, _) in TRANSITIONS.items() if new], F.col("was"))
+    main = F.coalesce(*[F.when(is_op(op), F.lit(next((e for e in events if e.startswith("execution.")), events[0]))) for op, (_, _, events) in TRANSITIONS.items()])
+    active = F.coalesce(F.col("was").isin(*ACTIVE), F.lit(False))
+    event = F.when(F.col("accepted"), main).when(~active, F.lit(STALE))
+    return met.withColumn("accepted", allowed).withColumn("status", F.when(F.col("accepted"), to)).withColumn("event_type", event).drop("was")
+
+
+def transition_events(fenced: DataFrame, most: int = MOST_ATTEMPTS) -> DataFrame:
+    """All that the updates of fence() record: place (from 0) and event_type for each, in order."""
+    texts = lambda names: F.array(*map(F.lit, names))
+    kinds = F.coalesce(*[F.when(F.col("operation") == op, texts(events)) for op, (_, _, events) in TRANSITIONS.items()])
+    again = (F.col("status") == "failed") & retry(F.col("attempt"), most)
+    every = F.when(F.col("accepted"), F.when(again, F.concat(kinds, texts(RETRIED))).otherwise(kinds)).when(F.col("event_type") == STALE, texts((STALE,)))
+    return fenced.select("task_id", "execution_id", "attempt", "runtime_id", "operation", F.posexplode(every).alias("place", "event_type"))
+
+
+def task_after_end(tasks: DataFrame, ended: DataFrame, as_of: Column) -> DataFrame:
+    """tasks whose current attempt was completed or cancelled: ended (task_id, execution_id, attempt, status, summary, result_path, reason)."""
+    over = ended.select(F.col("task_id").alias("id"), F.col("execution_id").alias("current_execution_id"), F.col("attempt").alias("current_attempt"), F.col("status").alias("__to"), "summary", "result_path", "reason")
+    met = tasks.join(over, ["id", "current_execution_id", "current_attempt"])
+    none = F.lit(None)
+    done = json_merge(F.col("metadata"), {"summary": F.substring("summary", 1, 1000), "result_path": F.col("result_path")})
+    stopped = json_merge(F.col("metadata"), {"cancel_reason": F.substring("reason", 1, 4000)})
+    changed = {"status": F.col("__to"), "owner": none.cast("string"), "claimed_at": none.cast("timestamp"), "lease_expires_at": none.cast("timestamp"), "updated_at": as_of, "metadata": F.when(F.col("__to") == "completed", done).otherwise(stopped)}
+    return met.withColumns(changed).select(*tasks.columns)
+
+
+def unload_events(requests: DataFrame, executions: DataFrame, runtimes: DataFrame) -> DataFrame:
+    """requests (task_id, execution_id, attempt, runtime_id, error) of runtimes that have discarded a card, with event_type.
+
+    Null while the attempt is not over, or if its runtime does not unload it; with an error the runtime stays as it is.
+    """
+    over = executions.where(F.col("status").isin(*OVER)).select("task_id", "execution_id", "attempt", "runtime_id", F.lit(True).alias("__over"))
+    held = runtimes.where("status = 'unloading'").select("runtime_id", F.col("current_execution_id").alias("execution_id"), F.col("current_attempt").alias("attempt"), F.lit(True).alias("__held"))
+    met = requests.join(over, ["task_id", "execution_id", "attempt", "runtime_id"], "left").join(held, ["runtime_id", "execution_id", "attempt"], "left")
+    event = F.when(F.col("__over"), F.when(F.col("error").isNotNull(), "card.unload_failed").when(F.col("__held"), "card.unloaded"))
+    return met.select(*requests.columns, event.alias("event_type"))
 
 
 def retry(attempt: Column, most: int = MOST_ATTEMPTS) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import messaging, scheduler
@@ -29,18 +29,55 @@ def event_counts(events: DataFrame, time: str = "ts", late: str = "10 minutes",
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("start"), "event_type", "events")
 
 
-def dispatch(outbox_stream: DataFrame, state_path: str, publish: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Publishes each micro-batch of due rows and appends their new state; publish returns the rows with error.
+def _exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    A batch that runs again writes its folder again, so nothing is recorded twice.
+
+def _delete(spark, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dispatch(outbox_stream: DataFrame, state_path: str, publish: Callable[[DataFrame], DataFrame], checkpoint: str, every: str | None = None, clock: Callable[[], Column] = F.current_timestamp):
+    """Publishes outbox rows when they are due, again after a failure, until they are published or failed for good.
+
+    Each micro-batch takes the rows that its predecessor left pending and the new ones. Those that are due go to publish,
+    which returns them with error (null: published); what is over is written to done/batch=N, all others, due later or to be
+    tried again, to pending/batch=N, which the next batch reads. A batch that runs again reads the same predecessor and
+    writes its own folders again, so nothing is lost or recorded twice (rows may be published twice; consumers take each
+    event once). With `every`, an interval such as "1 second", a clock stream makes a batch even when no new rows come.
     """
+    spark = outbox_stream.sparkSession
+    fields = outbox_stream.schema
+    if every is not None:
+        ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        outbox_stream = outbox_stream.unionByName(ticks.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]))
 
     def one(batch: DataFrame, number: int) -> None:
-        now = F.current_timestamp()
-        tried = publish(messaging.due(batch, now, None))
-        messaging.after_dispatch(tried, now).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
-
-    return outbox_stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
+        session = batch.sparkSession
+        rows, before = batch.where("event_id is not null and status = 'pending'"), f"{state_path}/pending/batch={number - 1}"
+        if _exists(session, before):
+            rows = session.read.schema(fields).parquet(before).unionByName(rows)
+        now = F.lit(session.range(1).select(clock()).first()[0])
+        held = rows.persist()
+        due = messaging.due(held, now, None)
+        after = messaging.after_dispatch(publish(due), now).persist()
+        later = held.join(due.select("event_id"), "event_id", "left_anti").select(*fields.names)
+        later.unionByName(after.where("status = 'pending'").select(*fields.names)).write.mode("overwrite").parquet(f"{state_path}/pending/batch={number}")
+        after.where("status <> 'pending'").write.mode("overwrite").parquet(f"{state_path}/done/batch={number}")
+        after.unpersist()
+        held.unpersist()
+        _delete(session, f"{state_path}/pending/batch={number - 2}")
+
+    writer = outbox_stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer).start()
+
+
+def mailbox(messages: DataFrame, subscriptions: DataFrame, remember: str = "1 hour", time: str = "created_at") -> DataFrame:
+    """Routed messages of a stream as deliveries to a table of subscriptions, each once per consumer within the watermark."""
+    got = messaging.receive(messages, subscriptions)
+    return got.withWatermark(time, remember).dropDuplicatesWithinWatermark(["consumer_name", "event_id"])
 
 
 LEASE_OUT = "execution_id string, attempt int, event_type string, at timestamp"

@@ -382,3 +382,20 @@ def test_envelope_and_links(spark):
     rows = spark.createDataFrame([("s/references/a.md",), ("s/x.md",), ("t/references/b.md",)], "path string")
     assert [tuple(r) for r in skills.linked_files(rows, "s").collect()] == [("references", ["references/a.md"])]
     assert '"data": [{"path": ' in search.envelope(rows, "search") and '"ok": false' in search.envelope(rows, "search", error="graph_busy")
+
+
+def test_transitions_record_a_good_run_in_order(spark):
+    from tessella.operators import scheduler
+
+    key = "task_id string, execution_id string, attempt int, runtime_id string"
+    tasks = spark.createDataFrame([("t", "x", 1)], "id string, current_execution_id string, current_attempt int")
+    got = ["execution.claimed", "card.resolved"]
+    for op, was in (("load_card", "claimed"), ("start", "claimed"), ("heartbeat", "running"), ("complete", "running")):
+        runs = spark.createDataFrame([("t", "x", 1, "r", was)], key + ", status string")
+        fenced = scheduler.fence(spark.createDataFrame([("t", "x", 1, "r", op)], key + ", operation string"), runs, tasks)
+        got += [r.event_type for r in scheduler.transition_events(fenced).orderBy("place").collect()]
+    assert got == list(scheduler.GOOD_RUN[:-1])
+    runs = spark.createDataFrame([("t", "x", 1, "r", "running")], key + ", status string")
+    again = scheduler.fence(spark.createDataFrame([("t", "x", 1, "r", "start"), ("t", "x", 1, "r", "fail_card")], key + ", operation string"), runs, tasks)
+    assert {r.operation: r.event_type for r in again.collect()} == {"start": None, "fail_card": "execution.failed"}
+    assert [r.event_type for r in scheduler.transition_events(again).orderBy("place").collect()] == ["card.load_failed", "execution.failed", "card.unload_started", "execution.retried", "task_available"]

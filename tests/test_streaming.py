@@ -36,11 +36,28 @@ def test_leases_run_out(spark, tmp_path):
     assert [(r.execution_id, r.event_type) for r in out] == [("x", "execution.expired")]
 
 
-def test_dispatch_writes_state(spark, tmp_path):
+def test_dispatch_keeps_what_is_not_over(spark, tmp_path):
+    """A row that is due later, one that fails and then succeeds, one that fails for good: none is lost."""
+    d = __import__("datetime")
     schema = "event_id string, status string, retry_count int, next_retry_at timestamp, created_at timestamp"
-    stream = feed(spark, f"{tmp_path}/box", [("a", "pending", 0, None, None), ("b", "published", 0, None, None)], schema)
-    q = pipelines.dispatch(stream, f"{tmp_path}/state", lambda due: due.withColumn("error", F.lit("down")), f"{tmp_path}/cp")
-    q.processAllAvailable()
-    q.stop()
-    got = spark.read.parquet(f"{tmp_path}/state").collect()
-    assert [(r.event_id, r.status, r.retry_count) for r in got] == [("a", "pending", 1)]
+    t = lambda s: d.datetime(2024, 1, 1) + d.timedelta(seconds=s)
+    path, turn = f"{tmp_path}/box", []
+    feed(spark, path, [("ok", "pending", 0, None, t(0)), ("later", "pending", 0, t(3600), t(0)), ("flaky", "pending", 0, None, t(0)), ("bad", "pending", 10, None, t(0)), ("old", "published", 0, None, t(0))], schema)
+
+    def publish(due):
+        bad = F.col("event_id").isin("bad", *(["flaky"] if len(turn) == 1 else []))
+        return due.withColumn("error", F.when(bad, F.lit("down")))
+
+    def clock():
+        turn.append(1)
+        return F.lit(t(10_000 * len(turn) - 8_000))
+
+    q = None
+    for k in range(3):  # each new file makes a batch
+        stream = feed(spark, path, [(f"new{k}", "pending", 0, None, t(0))], schema) if k else spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        q = pipelines.dispatch(stream, f"{tmp_path}/state", publish, f"{tmp_path}/cp", clock=clock)
+        q.processAllAvailable()
+        q.stop()
+    done = {r.event_id: (r.status, r.retry_count) for r in spark.read.parquet(f"{tmp_path}/state/done").collect()}
+    assert done == {"ok": ("published", 0), "flaky": ("published", 1), "bad": ("failed", 12), "later": ("published", 0), "new1": ("published", 0), "new2": ("published", 0)}
+    assert spark.read.schema(schema).parquet(f"{tmp_path}/state/pending/batch=2").count() == 0
