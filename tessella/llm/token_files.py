@@ -35,7 +35,7 @@ END_ID = 2
 #: What stands for a null document id.
 NO_ID = -(2**63)
 #: Words whose ids a worker keeps at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 #: Bytes of text that a file holds, or so.
 FILE_BYTES = 32_000_000
 
@@ -53,8 +53,8 @@ class WordEncoder(dict):
 
     That holds where the normaliser lower-cases and turns white space into spaces, and the splitter drops them and parts
     letters from punctuation, as in word_bpe_49k.json. A part is encoded once and kept as its ids, those used of late
-    first: two generations of CACHE_WORDS / 2 each. Only parts of ASCII alone are lower-cased here; all others reach the
-    tokenizer as they are, as its normaliser composes letters before it lower-cases them.
+    first: two generations of CACHE_WORDS / 2 each. A-Z are lower-cased before that, but not in parts with other letters of
+    a text with combining marks (U+0300 to U+037F, the only ones that compose with A-Z): the tokenizer composes first.
     """
 
     def __init__(self, path: str):
@@ -81,9 +81,7 @@ class WordEncoder(dict):
     def __missing__(self, part: bytes) -> bytes:
         ids = self.older.get(part)
         if ids is None:
-            if part.isascii() and (lower := part.lower()) != part:
-                ids = self[lower]
-            elif part.isalpha():
+            if part.isalpha():
                 ids = self._letters(part.decode())
             elif part[-1:] in _STOPS and (part[:-1].isalpha() or self._stays_letters(part[:-1].decode())):
                 ids = self[part[:-1]] + self[part[-1:]]
@@ -100,7 +98,12 @@ class WordEncoder(dict):
         if len(self) > CACHE_WORDS // 2:
             self.older = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, text.encode().split()))  # at ASCII white space
+        raw = text.encode()
+        if b"\xcc" in raw or b"\xcd" in raw:  # the first bytes of those marks
+            parts = [p.lower() if p.isascii() else p for p in raw.split()]
+        else:
+            parts = raw.lower().split()  # A-Z and ASCII white space alone
+        return b"".join(map(self.__getitem__, parts))
 
 
 def encoder(path: str) -> WordEncoder:
