@@ -11,6 +11,21 @@ CANDIDATES, RECALLED, EXTRACTED = 100, 5, 20
 LONGEST = {"description": 500, "content": 16_000, "source": 2_000}
 
 
+def valid_id(ident: Column) -> Column:
+    """Whether an id is a UUID of versions 1 to 8, in lower case."""
+    return F.coalesce(ident.rlike(r"\A[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"), F.lit(False))
+
+
+def get(records: DataFrame, scope: str, ident: str) -> DataFrame:
+    """The record of an id in a scope; a LookupError if that scope has none."""
+    if scope not in SCOPES:
+        raise ValueError(f"unknown scope: {scope}")
+    hit = records.where((F.col("scope") == scope) & (F.col("id") == ident))
+    if not hit.limit(1).count():
+        raise LookupError("no such memory in this scope")
+    return hit
+
+
 def listed(records: DataFrame, scope: str | None = None, kind: str | None = None) -> DataFrame:
     rows = records if scope is None else records.where(F.col("scope") == scope)
     return rows if kind is None else rows.where(F.col("type") == kind)
@@ -66,6 +81,19 @@ def extracted(items: DataFrame, known: DataFrame) -> DataFrame:
     return updates.unionByName(new)
 
 
+#: Tokens of a recalled text at most, and the characters that stand for one (as in the conversation's estimates).
+RECALL_TOKENS, TOKEN_CHARS = 2_000, 4
+
+
+def recall_text(few: DataFrame, keys: list[int], tokens: int = RECALL_TOKENS) -> DataFrame:
+    """(text): the chosen of candidates() (RECALLED at most, in the order of keys) as one text of bounded length."""
+    chosen = list(dict.fromkeys(keys))[:RECALLED]
+    order = F.array_position(F.array(*map(F.lit, chosen)), F.col("key")) if chosen else F.lit(0)
+    rows = few.where(F.col("key").isin(chosen)).select(order.alias("o"), F.to_json(F.struct("id", "type", "scope", "description", "content")).alias("j"))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "j"))), lambda x: x["j"]), ", ")  # RECALLED rows at most
+    return rows.agg(F.substring(F.concat(F.lit("Memories, for reference; what the user says now comes first: ["), lines, F.lit("]")), 1, tokens * TOKEN_CHARS).alias("text"))
+
+
 def recalled(selected: Column, known: Column, most: int = RECALLED) -> Column:
     """The first selected keys that exist, each once."""
     return F.slice(F.array_intersect(F.array_distinct(selected), known), 1, most)

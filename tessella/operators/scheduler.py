@@ -74,7 +74,9 @@ def claim(tasks: DataFrame, runtimes: DataFrame, as_of: Column, lease: int = LEA
     """One task for each idle runtime (runtime_id, status, thread_id, task_type, work_shard): the n-th in line for the n-th runtime."""
     per = ["thread_id", "task_type", "work_shard"]
     idle = runtimes.where("status = 'idle'").withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy("runtime_id")))
-    won = claim_order(tasks).join(idle.select(*per, "place", "runtime_id"), [*per, "place"])
+    # Of each line, only as many as there are runtimes: the limit goes below the exchange of the window.
+    most = idle.agg(F.max("place")).first()[0] or 0
+    won = claim_order(tasks).where(F.col("place") <= most).join(idle.select(*per, "place", "runtime_id"), [*per, "place"])
     attempt = F.coalesce(F.col("current_attempt"), F.lit(0)) + 1
     execution = F.coalesce(F.col("current_execution_id"), F.sha2(F.concat_ws(":", F.col("id"), as_of.cast("string")), 256))
     return won.select("id", "runtime_id", execution.alias("execution_id"), attempt.alias("attempt"), F.lit("claimed").alias("status"), as_of.alias("claimed_at"), after_seconds(as_of, F.lit(lease)).alias("lease_expires_at"), "place")

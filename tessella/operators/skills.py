@@ -73,6 +73,25 @@ def apply_changes(skills: DataFrame, changes: DataFrame) -> DataFrame:
     return met.withColumn("content", content).drop("action", "new").where(F.col("content").isNotNull())
 
 
+#: Folders beside a skill whose files can be written.
+FILE_FOLDERS = ("references", "templates", "scripts", "assets")
+
+
+def apply_file_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """files (source, name, path, content) after the last change (at, action: write_file, patch, remove_file, content, old,
+    new, replace_all) of each. Paths outside FILE_FOLDERS, removals and patches of what is not there, and patches that do
+    not fit (patch()) are left out."""
+    key = ["source", "name", "path"]
+    inside = F.split("path", "/")[0].isin(*FILE_FOLDERS) & ~F.col("path").rlike(r"(^|/)\.\.?(/|$)|//|^/|/$")
+    rest = ["action", F.col("content").alias("text"), "old", "new", "replace_all"]
+    last = changes.where(inside).groupBy(*key).agg(F.max_by(F.struct(*rest), "at").alias("c")).select(*key, "c.*")
+    met = files.join(last, key, "full_outer")
+    there = F.col("content").isNotNull()
+    patched = F.coalesce(patch(F.col("content"), F.col("old"), F.col("new"), F.coalesce("replace_all", F.lit(False))), F.col("content"))
+    content = F.when(F.col("action") == "write_file", F.col("text")).when(there & (F.col("action") == "patch"), patched).when(F.col("action") == "remove_file", F.lit(None)).otherwise(F.col("content"))
+    return met.select(*key, content.alias("content")).where(F.col("content").isNotNull())
+
+
 def may_write(read_digest: Column, current: Column, owner: Column, agent: str = "agent") -> Column:
     """A background writer owns the file and has read it as it is."""
     return (owner == agent) & (read_digest == F.sha2(current, 256))

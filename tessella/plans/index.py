@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from tessella.operators.graph import resolve_edges, resolve_imports
 from tessella.sources.files import symbols
 
 EMBED_BATCH = 20
+#: The mark of a version that is whole.
+COMMITTED = "_COMMITTED"
 
 
 def diff(stored: DataFrame, current: DataFrame) -> DataFrame:
@@ -32,10 +35,29 @@ def read(spark: SparkSession, root: str, version: int, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/v{version}/{table}")
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write(root: str, version: int, **tables: DataFrame) -> None:
-    """A new version beside the old ones: readers of the old see no change."""
+    """A new version beside the old ones: readers of the old see no change. The mark COMMITTED comes last; a version without
+    it is not there (latest_version()), and the next run writes it again."""
     for name, df in tables.items():
+        spark = df.sparkSession
         df.write.mode("overwrite").parquet(f"{root}/v{version}/{name}")
+    path, fs = _folder(spark, f"{root}/v{version}/{COMMITTED}")
+    fs.create(path, True).close()
+
+
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    """The newest version that was written to its end."""
+    path, fs = _folder(spark, root)
+    if not fs.exists(path):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    whole = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(_folder(spark, f"{root}/{n}/{COMMITTED}")[0])]
+    return max(whole, default=None)
 
 
 def link(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -57,12 +79,17 @@ def refresh(spark: SparkSession, root: str, classified: DataFrame, version: int
         nodes, edges = symbols(use)
         nodes = nodes.persist()
         write(root, 1, files=current, nodes=nodes, edges=link(nodes, edges, current), old_nodes=nodes.limit(0), old_edges=link(nodes, edges, current).limit(0))
-        return {"mode": "full", "version": 1, "updated_files": current.count(), "deleted_files": 0, "skipped_files": skipped}
+        done = {"mode": "full", "version": 1, "updated_files": current.count(), "deleted_files": 0, "skipped_files": skipped}
+        nodes.unpersist()
+        use.unpersist()
+        return done
     states = diff(read(spark, root, version, "files"), current).persist()
     counts = {r.state: r["count"] for r in states.groupBy("state").count().collect()}
     changed, deleted = counts.get("added", 0) + counts.get("changed", 0), counts.get("deleted", 0)
     mode = refresh_mode(False, changed, deleted)
     if mode == "unchanged":
+        states.unpersist()
+        use.unpersist()
         return {"mode": mode, "version": version, "updated_files": 0, "deleted_files": 0, "skipped_files": skipped}
     touched = states.where("state <> 'unchanged'").select(F.col("path").alias("file_path"))
     old_nodes, old_edges = read(spark, root, version, "nodes"), read(spark, root, version, "edges")
@@ -74,6 +101,8 @@ def refresh(spark: SparkSession, root: str, classified: DataFrame, version: int
     kept_nodes = read(spark, root, version, "old_nodes").unionByName(gone).dropDuplicates(["qualified_name"])
     kept_edges = read(spark, root, version, "old_edges").unionByName(incoming.select(*old_edges.columns)).dropDuplicates(["source_qualified", "target_qualified", "kind", "line"])
     write(root, version + 1, files=current, nodes=nodes, edges=link(nodes, edges, current), old_nodes=kept_nodes, old_edges=kept_edges)
+    for kept in (nodes, states, use):
+        kept.unpersist()
     return {"mode": mode, "version": version + 1, "updated_files": changed, "deleted_files": deleted, "skipped_files": skipped}
 
 
@@ -119,6 +148,22 @@ def refresh_embeddings(nodes: DataFrame, files: DataFrame, cached: DataFrame, em
     return hits.select(*columns).unionByName(new.select(*columns))
 
 
+def vectors_of(embeddings: DataFrame, nodes: DataFrame, identity: str, kind: str | None = None) -> DataFrame:
+    """Nodes (of a kind) with their vectors of one provider, for semantic search."""
+    mine = embeddings.where(F.col("provider_identity") == identity).select("qualified_name", "vector", "dimension")
+    return (nodes if kind is None else nodes.where(F.col("kind") == kind)).join(mine, "qualified_name")
+
+
+def checked_query(vectors: DataFrame, query: Sequence[float]) -> Sequence[float]:
+    """query, if the stored vectors have its length and its values are finite numbers."""
+    stored = vectors.select("dimension").limit(1).collect()
+    if stored and stored[0][0] != len(query):
+        raise ValueError(f"the query has {len(query)} dimensions, the index {stored[0][0]}")
+    if not all(math.isfinite(x) for x in query):
+        raise ValueError("the query has values that are no finite numbers")
+    return query
+
+
 def live_embeddings(embeddings: DataFrame, nodes: DataFrame) -> DataFrame:
     """Embeddings whose node exists."""
     return embeddings.join(nodes.select("qualified_name"), "qualified_name", "left_semi")

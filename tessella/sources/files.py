@@ -42,17 +42,27 @@ def classify(files: DataFrame) -> DataFrame:
 
     Files of other languages have no reason: they are not counted as skipped, and language is null.
     """
-    rows = files.withColumn("language", language(F.col("path"))).withColumn("size", F.length("content").cast("long"))
+    rows = files.withColumn("language", language(F.col("path")))
+    rows = rows if "size" in files.columns else rows.withColumn("size", F.length("content").cast("long"))
     pairs = F.regexp_count(F.hex(F.substring("content", 1, LOOKED_AT)), F.lit("^(?:[0-9A-F]{2})*?00"))
     skip = F.when(in_ignored(F.col("path")), "ignored folder").when(F.col("language").isNotNull() & (F.col("size") > MOST_BYTES), "too large").when(F.col("language").isNotNull() & (pairs > 0), "binary")
     return rows.withColumn("content_hash", F.sha2("content", 256)).withColumn("skip", skip)
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """classify() of all files below a folder, with paths relative to it."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace(F.col("path"), "^(?:file:)?/*" + root.replace("file:", "").strip("/").replace(".", r"\.") + "/", "")
-    return classify(raw.select(path.alias("path"), "content", (F.unix_millis("modificationTime") * 1_000_000).alias("mtime_ns")))
+    """classify() of the source files below a folder, with paths relative to it.
+
+    Names are chosen when the files are listed and lengths before their content is read: files of other languages and those
+    above MOST_BYTES are not opened (the latter are rows without content and hash).
+    """
+    either = lambda suffix: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    names = "*{" + ",".join(map(either, EXTENSIONS)) + "}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
+    path = F.regexp_replace(F.col("path"), "^(?:file:)?/*\\Q" + root.replace("file:", "").strip("/") + "\\E/", "")
+    columns = [path.alias("path"), F.col("length").alias("size"), (F.unix_millis("modificationTime") * 1_000_000).alias("mtime_ns")]
+    small = raw.where(F.col("length") <= MOST_BYTES).select(*columns, "content")
+    large = raw.where(F.col("length") > MOST_BYTES).select(*columns, F.lit(None).cast("binary").alias("content"))
+    return classify(small.unionByName(large))
 
 
 class _Symbols(ast.NodeVisitor):

@@ -399,3 +399,61 @@ def test_transitions_record_a_good_run_in_order(spark):
     again = scheduler.fence(spark.createDataFrame([("t", "x", 1, "r", "start"), ("t", "x", 1, "r", "fail_card")], key + ", operation string"), runs, tasks)
     assert {r.operation: r.event_type for r in again.collect()} == {"start": None, "fail_card": "execution.failed"}
     assert [r.event_type for r in scheduler.transition_events(again).orderBy("place").collect()] == ["card.load_failed", "execution.failed", "card.unload_started", "execution.retried", "task_available"]
+
+
+def test_code_graph_call(spark, tmp_path):
+    import json
+
+    from tessella.plans import index, tool
+
+    root = f"{tmp_path}/graph"
+    first = {"core.py": b"def calc():\n    return 1\n", "feature.py": b"from core import calc\n\ndef feature():\n    return calc()\n"}
+    assert index.latest_version(spark, root) is None
+    index.refresh(spark, root, tree(spark, first), None)
+    assert index.latest_version(spark, root) == 1
+    call = lambda **request: json.loads(tool.code_graph(spark, root, 1, request, "/p"))
+    codes = {
+        "invalid_action": {"action": "x"}, "invalid_max_results": {"action": "overview", "max_results": True}, "missing_query": {"action": "search", "query": " "}, "invalid_search_mode": {"action": "search", "query": "q", "mode": "x"},
+        "invalid_kind": {"action": "search", "query": "q", "kind": "x"}, "invalid_context_path": {"action": "search", "query": "q", "context_files": ["../../x"]}, "invalid_query": {"action": "query", "target": "calc", "relation": "x"},
+        "invalid_changed_files": {"action": "impact", "changed_files": ["/etc/x"]}, "target_not_found": {"action": "query", "target": "zzz", "relation": "callers_of"}, "embedding_consent_required": {"action": "search", "query": "q", "mode": "semantic"},
+    }
+    for code, request in codes.items():
+        assert call(**request)["error"]["code"] == code
+    assert [r["qualified_name"] for r in call(action="query", target="calc", relation="callers_of")["results"]] == ["feature.py::feature"]
+    assert call(action="search", query="feature", kind="function")["results"][0]["qualified_name"] == "feature.py::feature"
+    hit = call(action="impact", changed_files=["core.py"])
+    assert hit["changed_files"] == ["core.py"] and "feature.py::feature" in [r["qualified_name"] for r in hit["results"]]
+    assert call(action="overview")["ok"]
+
+
+def test_scan_opens_source_files_alone(spark, tmp_path):
+    from tessella.sources import files as source_files
+
+    top = tmp_path / "a+b (x).d"
+    for name, body in {"m.py": b"x = 1\n", "n.PY": b"y = 2\n", "notes.txt": b"text", "big.c": b"x" * (source_files.MOST_BYTES + 1), "sub/node_modules/h.py": b"z = 1\n", "nul.h": b"a\0b"}.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(body)
+    got = {r.path.rsplit("/", 1)[-1]: (r.skip, r.content is None) for r in source_files.scan(spark, str(top)).collect()}
+    assert got == {"m.py": (None, False), "n.PY": (None, False), "big.c": ("too large", True), "h.py": ("ignored folder", False), "nul.h": ("binary", False)}
+
+
+def test_memory_get_and_recall(spark):
+    from tessella.operators import memory
+
+    rows = [(f"{i:08x}-0000-4000-8000-000000000000", "project", "project", f"d{i}", "c" * 3000, "s", "t", f"u{i}") for i in range(7)]
+    records = spark.createDataFrame(rows, "id string, type string, scope string, description string, content string, source string, created_at string, updated_at string")
+    assert records.where(memory.valid_id(F.col("id"))).count() == 7 and memory.get(records, "project", rows[0][0]).count() == 1
+    with pytest.raises(LookupError):
+        memory.get(records, "user", rows[0][0])
+    text = memory.recall_text(memory.candidates(records), [3, 1, 3, 99, 2, 4, 5]).first().text
+    assert len(text) == 8000 and text.index("d4") < text.index("d6")
+
+
+def test_skill_files(spark):
+    from tessella.operators import skills
+
+    files = spark.createDataFrame([("user", "s", "scripts/a.sh", "one two"), ("user", "s", "scripts/b.sh", "x")], "source string, name string, path string, content string")
+    change = "source string, name string, path string, action string, content string, old string, new string, replace_all boolean, at int"
+    changes = [("user", "s", "scripts/a.sh", "patch", None, "two", "2", False, 1), ("user", "s", "scripts/b.sh", "remove_file", None, None, None, None, 1), ("user", "s", "assets/c", "write_file", "new", None, None, None, 1), ("user", "s", "assets/../c", "write_file", "out", None, None, None, 1), ("user", "s", "c", "write_file", "out", None, None, None, 1)]
+    got = {r.path: r.content for r in skills.apply_file_changes(files, spark.createDataFrame(changes, change)).collect()}
+    assert got == {"scripts/a.sh": "one 2", "assets/c": "new"}
