@@ -1,6 +1,8 @@
 """A training corpus from documents: quality rules, exact and near duplicates, mixing, tokens.
 
-Each stage reads what its predecessor kept; run() applies all of them.
+Each stage reads what its predecessor kept; run() applies all of them. Null texts count as empty and go with the quality
+rules, null ids, languages and sources are values of their own, repeated rows are exact copies (one stays), very long texts
+are worked on whole, and an empty table gives no rows.
 """
 
 from __future__ import annotations
