@@ -684,3 +684,274 @@ def dag_replies(spark, sf_dir):
     """Replies of a planner, parsed and checked."""
     replies = [('```json\n{"plan_summary": "p", "tasks": [{"id": "a", "subject": "s", "description": "d", "blockedBy": []}]}\n```',), ('{"tasks": []}',), ("no json",)]
     return source_records.parse_dags(spark.createDataFrame(replies, "reply string")).select(F.col("dag.plan_summary").alias("plan_summary"), F.array_join("errors", "; ").alias("errors"))
+
+
+# --- two-step search, impact of removed edges, imports ---
+
+_PART_WORDS = "regexp_extract_all(strip_accents(lower(name || ' ' || qualified_name || ' ' || file_path || ' ' || kind)), '[\\p{L}\\p{N}]+')"
+_IDF = "CASE WHEN ln((n - n{k} + 0.5) / (n{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{k} + 0.5) / (n{k} + 0.5)) END * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * d / avgdl))"
+
+
+@query(
+    f"""WITH {_PARTS}, w AS (SELECT *, {_PART_WORDS} AS w FROM p), c AS (SELECT *, len(w) AS d, len(list_filter(w, lambda x: x = 'red')) AS f0, len(list_filter(w, lambda x: x = 'ring')) AS f1 FROM w),
+s AS (SELECT count(*) AS n, avg(d) AS avgdl, count(*) FILTER (WHERE f0 > 0) AS n0, count(*) FILTER (WHERE f1 > 0) AS n1 FROM c),
+b AS (SELECT c.*, {_IDF.format(k=0)} + {_IDF.format(k=1)} AS bm25 FROM c, s WHERE f0 > 0 AND f1 > 0),
+f AS (SELECT * FROM b ORDER BY {_TIER.format(q='red ring')}, bm25 DESC, qualified_name LIMIT 60),
+r AS (SELECT name, qualified_name, greatest(0, bm25) + {_BOOST.format(q='red ring')} + CASE WHEN file_path = 'Brand#1' THEN 1.0 ELSE 0.0 END AS score FROM f)
+SELECT name, qualified_name, round(score, 6) AS score FROM r ORDER BY r.score DESC, qualified_name LIMIT 20"""
+)
+def bm25_two_step(spark, sf_dir):
+    """The first 60 by tier and BM25, the first 20 of those by score with boost."""
+    rows = search.bm25_search(_parts(spark, sf_dir), "red ring", 20, context=["Brand#1"], stem=False)
+    return rows.select("name", "qualified_name", F.round("score", 6).alias("score"))
+
+
+@query(ORACLE_SQL["impact_two_hop"])
+def impact_of_snapshot(spark, sf_dir):
+    """The same as impact_two_hop where all imports are gone and only the snapshot still has them."""
+    every, seeds = star.edges(spark, sf_dir), spark.createDataFrame([("R:0",)], "qualified_name string")
+    rows = graph.impact(star.nodes(spark, sf_dir), every.where("kind <> 'IMPORTS'"), seeds, snapshot_edges=every.where("kind = 'IMPORTS'"))
+    return rows.select("qualified_name", *_long("depth"), "via_relation", "via_target", F.array_join("path", " > ").alias("path"))
+
+
+@query(
+    f"WITH {star.NODES_SQL} SELECT qualified_name, kind, starts_with(qualified_name, 'C:') AND CAST(substr(qualified_name, 3) AS BIGINT) % 10 = 0 AS deleted FROM nodes WHERE file_path IN (SELECT 'N:' || n_nationkey FROM nation WHERE n_regionkey = 1)"
+)
+def changed_nodes(spark, sf_dir):
+    """Nodes of the nations of a region after every tenth customer was removed."""
+    before = star.nodes(spark, sf_dir)
+    gone = F.col("qualified_name").startswith("C:") & (F.pmod(F.regexp_extract("qualified_name", "([0-9]+)$", 1).cast("long"), F.lit(10)) == 0)
+    files = star.table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.concat(F.lit("N:"), F.col("n_nationkey").cast("string")).alias("path"))
+    return graph.changed_nodes(before.where(~gone), before, files).select("qualified_name", "kind", "deleted")
+
+
+@query(
+    """SELECT l_orderkey || ':' || l_linenumber AS id, CASE WHEN l_linenumber % 5 IN (1, 2, 4) OR l_linenumber % 5 = 3 AND l_partkey % 10 <> 0 THEN 'src/m' || l_partkey || '.py' END AS target_qualified FROM lineitem"""
+)
+def import_targets(spark, sf_dir):
+    """Each line item imports its part's module: relative, dotted, by a stem that one file in ten shares, from above, or not at all."""
+    li, p = star.table(spark, sf_dir, "lineitem"), star.table(spark, sf_dir, "part")
+    module = lambda before, after="", key="l_partkey": F.concat(F.lit(before), F.col(key).cast("string"), F.lit(after))
+    way = F.pmod("l_linenumber", F.lit(5))
+    target = F.when(way == 1, module("./m")).when(way == 2, module("src.m")).when(way == 3, module("pkg.m")).when(way == 4, module("../lib/../src/m", ".py")).otherwise(module("nowhere.x"))
+    edges = li.select(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.lit("IMPORTS").alias("kind"), F.lit("src/a.py").alias("file_path"), target.alias("target_name"), F.lit(None).cast("string").alias("target_qualified"))
+    files = p.select(module("src/m", ".py", "p_partkey").alias("path")).unionByName(p.where("p_partkey % 10 = 0").select(module("lib/m", ".py", "p_partkey").alias("path")))
+    return graph.resolve_imports(edges, files).select("id", "target_qualified")
+
+
+# --- publishing, cards, runtimes ---
+
+_SHARD = "CAST(CAST('0x' || substr(sha256({kind} || ':' || {id}), 1, 16) AS UBIGINT) % 64 AS BIGINT)"
+
+
+@query(
+    f"""WITH t AS (SELECT 'a' || o_orderkey AS id, 'general' AS task_type, NULL AS shard, [] AS b FROM orders UNION ALL SELECT 'b' || o_orderkey, 'fetch', NULL, ['a' || o_orderkey] FROM orders
+UNION ALL SELECT 'c' || o_orderkey, 'fetch', 7, ['a' || o_orderkey, 'b' || o_orderkey] FROM orders), s AS (SELECT *, coalesce(shard, {_SHARD.format(kind="task_type", id="id")}) AS work_shard FROM t)
+SELECT 'task' AS what, id, task_type AS detail, CAST(len(b) AS BIGINT) AS blockers, work_shard FROM s UNION ALL SELECT 'dependency', id, unnest(b), NULL, NULL FROM s
+UNION ALL SELECT 'task_available', id, task_type, NULL, work_shard FROM s WHERE len(b) = 0"""
+)
+def published_dags(spark, sf_dir):
+    """An order as a graph of three tasks: its tasks, dependencies and messages."""
+    o = star.table(spark, sf_dir, "orders")
+    name = lambda x: F.concat(F.lit(x), F.col("o_orderkey").cast("string"))
+    none = F.lit(None)
+
+    def task(x: str, blockers: list[str], kind, shard):
+        after = F.array(*map(name, blockers)) if blockers else F.array().cast("array<string>")
+        return F.struct(name(x).alias("id"), F.lit("s").alias("subject"), F.lit("d").alias("description"), after.alias("blockedBy"), F.struct(F.lit("5").alias("priority")).alias("metadata"), kind.cast("string").alias("task_type"), shard.cast("int").alias("work_shard"))
+
+    tasks = F.array(task("a", [], none, none), task("b", ["a"], F.lit("fetch"), none), task("c", ["a", "b"], F.lit("fetch"), F.lit(7)))
+    out = scheduler.publish_dag(o.select(F.col("o_custkey").cast("string").alias("thread_id"), F.lit("lead").alias("owner"), F.struct(tasks.alias("tasks")).alias("dag")), star.as_of())
+    none = none.cast("long")
+    t = out["tasks"].select(F.lit("task").alias("what"), "id", F.col("task_type").alias("detail"), F.col("blocked_by_count").cast("long").alias("blockers"), *_long("work_shard"))
+    d = out["dependencies"].select(F.lit("dependency").alias("what"), F.col("task_id").alias("id"), F.col("blocker_id").alias("detail"), none.alias("blockers"), none.alias("work_shard"))
+    m = out["messages"].select(F.col("event_type").alias("what"), "id", F.col("task_type").alias("detail"), none.alias("blockers"), *_long("work_shard"))
+    return t.unionByName(d).unionByName(m)
+
+
+_CARDS = "cards AS (SELECT 'card-' || s_suppkey AS agent_card_id, 'v' || (s_suppkey % 2) AS version, CASE WHEN s_acctbal < 0 THEN 'deprecated' ELSE 'active' END AS status, 'type-' || (s_suppkey % 60) AS task_type, 'd' || (s_suppkey % 5) AS bundle_digest FROM supplier)"
+
+
+def _cards(spark, sf_dir):
+    """Suppliers as agent cards, deprecated where the balance is negative."""
+    s, key = star.table(spark, sf_dir, "supplier"), "s_suppkey"
+    part = lambda x, k: F.concat(F.lit(x), F.pmod(F.col(key), F.lit(k)).cast("string"))
+    return s.select(
+        F.concat(F.lit("card-"), F.col(key).cast("string")).alias("agent_card_id"), part("v", 2).alias("version"), F.when(F.col("s_acctbal") < 0, "deprecated").otherwise("active").alias("status"),
+        F.array(part("type-", 60)).alias("task_types"), part("d", 5).alias("bundle_digest"), part("h", 3).alias("config_hash"),
+    )
+
+
+@query(
+    f"""WITH {_CARDS}, a AS (SELECT * FROM cards WHERE status = 'active'), k AS (SELECT task_type, max(agent_card_id) AS c, max(version) AS v FROM a GROUP BY 1 HAVING count(*) = 1),
+t AS (SELECT 'task-' || o_orderkey AS id, 'type-' || (o_orderkey % 70) AS task_type, CASE WHEN o_orderkey % 4 = 0 THEN 'card-' || (o_custkey % 50) END AS p FROM orders)
+SELECT id, CASE WHEN p IS NULL THEN k.c ELSE a.agent_card_id END AS agent_card_id, CASE WHEN p IS NULL THEN k.v ELSE a.version END AS version FROM t LEFT JOIN a ON a.agent_card_id = p AND a.version = 'v1' LEFT JOIN k ON k.task_type = t.task_type"""
+)
+def card_of_task(spark, sf_dir):
+    """Each task's card: the pinned one (every fourth task pins a version 1) if active, else the only active one of the type."""
+    o = star.table(spark, sf_dir, "orders")
+    pin = F.concat(F.lit('{"agent_card_id": "card-'), F.pmod("o_custkey", F.lit(50)).cast("string"), F.lit('", "version": "v1"}'))
+    tasks = o.select(F.concat(F.lit("task-"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("type-"), F.pmod("o_orderkey", F.lit(70)).cast("string")).alias("task_type"), F.when(F.col("o_orderkey") % 4 == 0, pin).alias("card_selector"))
+    return scheduler.resolve_cards(tasks, _cards(spark, sf_dir)).select("id", "agent_card_id", "version")
+
+
+@query(
+    "SELECT l_orderkey || ':' || l_linenumber AS id, coalesce(s_acctbal >= 0 AND l_quantity >= 5 AND l_linenumber <> 2 AND 'v' || (s_suppkey % 2) = 'v1', false) AS intact FROM lineitem JOIN supplier ON s_suppkey = l_suppkey"
+)
+def frozen_cards(spark, sf_dir):
+    """Line items as executions of their supplier's card in version 1; some claimed it with other digests."""
+    li = star.table(spark, sf_dir, "lineitem")
+    part = lambda x, k: F.concat(F.lit(x), F.pmod(F.col("l_suppkey"), F.lit(k)).cast("string"))
+    runs = li.select(
+        F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.concat(F.lit("card-"), F.col("l_suppkey").cast("string")).alias("agent_card_id"), F.lit("v1").alias("agent_card_version"),
+        F.when(F.col("l_quantity") >= 5, part("d", 5)).otherwise("old").alias("agent_card_digest"), F.when(F.col("l_linenumber") != 2, part("h", 3)).alias("agent_card_config_hash"),
+    )
+    return scheduler.frozen_cards(runs, _cards(spark, sf_dir)).select("id", "intact")
+
+
+@query("SELECT 'card-' || s_suppkey AS agent_card_id FROM supplier WHERE s_suppkey % 7 = 0")
+def immutable_cards(spark, sf_dir):
+    """Cards whose digest was changed; every third one has another status, which is allowed."""
+    old, key = _cards(spark, sf_dir), F.regexp_extract("agent_card_id", "([0-9]+)$", 1).cast("long")
+    new = old.withColumns({"bundle_digest": F.when(key % 7 == 0, F.lit(None)).otherwise(F.col("bundle_digest")), "status": F.when(key % 3 == 0, "revoked").otherwise(F.col("status"))})
+    return schemas.changed_cards(old, new).select("agent_card_id")
+
+
+_RUNTIMES = "runtimes AS (SELECT 'r' || s_suppkey AS runtime_id, CASE WHEN s_suppkey % 2 = 0 THEN 'unloading' ELSE 'running' END AS status, CASE WHEN s_suppkey % 3 > 0 THEN 'x' || (s_suppkey * 7) END AS x, CAST(s_suppkey * 7 % 3 + 1 AS INTEGER) AS a FROM supplier)"
+
+
+def _runtimes(spark, sf_dir):
+    """Suppliers as runtimes, two of three at work on an attempt."""
+    s, key = star.table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    return s.select(F.concat(F.lit("r"), key.cast("string")).alias("runtime_id"), F.when(key % 2 == 0, "unloading").otherwise("running").alias("status"), F.when(key % 3 > 0, F.concat(F.lit("x"), (key * 7).cast("string"))).alias("current_execution_id"), (key * 7 % 3 + 1).cast("int").alias("current_attempt"))
+
+
+@query(f"WITH {star.EXECUTIONS_SQL}, {_RUNTIMES} SELECT r.runtime_id, r.status, e.task_id, e.status AS execution_status FROM runtimes r LEFT JOIN executions e ON e.execution_id = r.x AND e.attempt = r.a")
+def runtime_executions(spark, sf_dir):
+    x = star.executions(spark, sf_dir)
+    return scheduler.runtime_executions(_runtimes(spark, sf_dir), x).select("runtime_id", "status", "task_id", "execution_status")
+
+
+@query(
+    f"WITH {star.EXECUTIONS_SQL}, {_RUNTIMES}, m AS (SELECT r.*, r.status = 'unloading' AND coalesce(e.status NOT IN ('claimed', 'running'), false) AS free FROM runtimes r LEFT JOIN executions e ON e.execution_id = r.x AND e.attempt = r.a) "
+    "SELECT runtime_id, CASE WHEN free THEN 'idle' ELSE status END AS status, CASE WHEN NOT free THEN x END AS current_execution_id FROM m"
+)
+def finished_unloads(spark, sf_dir):
+    """Runtimes after those that unload an attempt which is over became idle."""
+    return scheduler.finish_unload(_runtimes(spark, sf_dir), star.executions(spark, sf_dir)).select("runtime_id", "status", "current_execution_id")
+
+
+@query(
+    f"""WITH {star.EXECUTIONS_SQL}, {_CURRENT}, o AS (SELECT e.execution_id, e.attempt FROM executions e JOIN cur USING (task_id, execution_id, attempt) WHERE e.status IN ('claimed', 'running') AND e.lease_expires_at < TIMESTAMP '2024-02-15 00:00:00')
+SELECT execution_id, CAST(place AS BIGINT) AS place, event_type FROM o, (VALUES (0, 'execution.expired'), (1, 'card.unload_started'), (2, 'card.unloaded'), (3, 'task_available')) v(place, event_type) WHERE place < 3 OR attempt < 2"""
+)
+def expiry_events(spark, sf_dir):
+    """What is recorded of each current attempt whose lease is over."""
+    over = scheduler.expired(star.executions(spark, sf_dir), _current(spark, sf_dir), F.lit("2024-02-15 00:00:00").cast("timestamp"))
+    return scheduler.expiry_events(over).select("execution_id", *_long("place"), "event_type")
+
+
+# --- malformed and undelivered messages, compaction as a whole ---
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 5 = 0 THEN 'dropped' ELSE 'read' END AS outcome FROM events")
+def parsed_messages(spark, sf_dir):
+    """Every third message is no JSON, every fifth lacks its type."""
+    e = star.table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_id") % 5 != 0, F.col("event_type"))
+    value = F.when(F.col("event_id") % 3 == 0, F.lit("{no json")).otherwise(F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), kind.alias("event_type"))))
+    good, bad = messaging.parse_messages(e.select(F.col("event_id").alias("key"), value.alias("value")), "event_id string, event_type string")
+    return good.select(F.col("event_id").cast("long").alias("event_id"), F.lit("read").alias("outcome")).unionByName(bad.select(F.col("key").alias("event_id"), F.lit("dropped").alias("outcome")))
+
+
+@query(f"WITH {star.ENVELOPES_SQL}, {_OUTBOX} SELECT event_id FROM outbox WHERE status = 'published' AND CAST(substr(event_id, 2) AS BIGINT) % 4 <> 0")
+def undelivered(spark, sf_dir):
+    """Published events that no inbox has; every fourth event is in one."""
+    inbox = star.envelopes(spark, sf_dir).select("event_id").where(F.substring("event_id", 2, 20).cast("long") % 4 == 0)
+    return messaging.undelivered(_outbox(spark, sf_dir), inbox).select("event_id")
+
+
+@query(
+    """WITH t AS (SELECT *, sum(ceil(length(coalesce(text, '')) / 4.0) + 10) OVER (PARTITION BY conv_id) > 200 AS over, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
+SELECT conv_id, turn, role, text FROM t WHERE NOT over OR back <= 5 UNION ALL SELECT DISTINCT conv_id, -1, 'user', '[Reactive Compact] Summary: s' || conv_id FROM t WHERE over"""
+)
+def compacted(spark, sf_dir):
+    """All steps in their order, at 200 tokens: no conversation has more than 10 messages, so those above end with 5 and a summary."""
+    c = star.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    notes = c.select("conv_id", F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("summary")).distinct()
+    return conversation.compact(c, notes, 200).select("conv_id", "turn", "role", "text")
+
+
+# --- writes of memory, skills ---
+
+
+@query(
+    f"""WITH {star.RECORDS_SQL}, r AS (SELECT id, scope, content, updated_at, CAST(substr(id, 2) AS BIGINT) AS k FROM records)
+SELECT id, scope, sha256(CASE WHEN k % 5 = 0 AND k % 10 <> 0 THEN 'new ' || k ELSE content END) AS content_hash, CASE WHEN k % 5 = 0 AND k % 10 <> 0 THEN '2025' ELSE updated_at END AS updated_at FROM r WHERE k % 7 <> 0"""
+)
+def memory_writes(spark, sf_dir):
+    """Records after writes to every fifth (an earlier write of each loses; those to every tenth change the type and are refused) and the removal of every seventh."""
+    r = star.records(spark, sf_dir)
+    k = F.substring("id", 2, 20).cast("long")
+    text = F.concat(F.lit("  new "), k.cast("string"))
+    kind = F.when(k % 10 == 0, "procedural").otherwise(F.col("type"))
+    writes = r.where(k % 5 == 0).withColumns({"type": kind, "description": F.lit("d"), "content": text, "source": F.lit("s"), "updated_at": F.lit("2025")})
+    earlier = writes.withColumns({"content": F.lit("lost"), "updated_at": F.lit("2024-x")})
+    out = memory.deleted(memory.saved(r, writes.unionByName(earlier)), r.where(k % 7 == 0).select("id", "scope"))
+    return out.select("id", "scope", F.sha2("content", 256).alias("content_hash"), "updated_at")
+
+
+@query(
+    f"""WITH {star.RECORDS_SQL}, i AS (SELECT *, CAST(substr(id, 2) AS BIGINT) AS place, row_number() OVER (PARTITION BY type ORDER BY id) AS n FROM records)
+SELECT place, type AS kind FROM i WHERE n <= 20 AND (place % 4 IN (1, 2))"""
+)
+def memory_extracted(spark, sf_dir):
+    """Of the first 20 items of a type: updates of known records (not of every fourth, whose id is unknown), and new texts (not those that a record has)."""
+    r = star.records(spark, sf_dir)
+    place = F.substring("id", 2, 20).cast("long")
+    ident = F.when(place % 4 == 0, "unknown").when(place % 4 == 2, F.col("id"))
+    words = F.when(place % 4 == 1, F.concat(F.lit("fresh "), place.cast("string"))).otherwise(F.col("description"))
+    items = r.select(F.col("type").alias("kind"), place.alias("place"), "scope", ident.alias("id"), words.alias("description"))
+    return memory.extracted(items, r).select("place", "kind")
+
+
+@query(
+    """WITH s AS (SELECT event_id, [3, 3, user_id % 10, 5, event_id % 7, 99, 2, 1, 4] AS s FROM events)
+SELECT event_id, array_to_string(list_filter(s, lambda x, i: x >= 1 AND x <= 6 AND list_position(s, x) = i)[1:5], ',') AS keys FROM s"""
+)
+def memory_recalled(spark, sf_dir):
+    """The first five different keys of a selection that exist."""
+    e = star.table(spark, sf_dir, "events")
+    chosen = F.array(*[F.lit(x).cast("long") if isinstance(x, int) else x for x in (3, 3, F.pmod("user_id", F.lit(10)), 5, F.pmod("event_id", F.lit(7)), 99, 2, 1, 4)])
+    known = F.array(*[F.lit(x).cast("long") for x in range(1, 7)])
+    return e.select("event_id", F.array_join(memory.recalled(chosen, known).cast("array<string>"), ",").alias("keys"))
+
+
+@query(
+    f"WITH {star.SKILLS_SQL}, {_UP}, r AS (SELECT name, arg_min(category, source) AS category FROM skills JOIN n USING (name) WHERE p = 1 OR (p = 0 AND u = 1) GROUP BY name) SELECT name, coalesce(category, '') AS category FROM r ORDER BY coalesce(category, ''), name LIMIT 20"
+)
+def skill_suggestions(spark, sf_dir):
+    """The first 20 names of the catalog by category and name, as shown where a name is not found."""
+    return skills.catalog(star.skills(spark, sf_dir)).limit(20).select("name", F.coalesce("category", F.lit("")).alias("category"))
+
+
+@query(
+    "SELECT doc_id, (['bash|read', 'bash|read|x y', 'bash|read', NULL, ''])[doc_id % 5 + 1] AS tools, CASE doc_id % 5 WHEN 1 THEN 'x y' WHEN 3 THEN NULL ELSE '' END AS unknown FROM documents"
+)
+def skill_tools(spark, sf_dir):
+    """Lists of tools as JSON, with commas, as a broken list, none and empty; and those that nobody knows."""
+    d = star.table(spark, sf_dir, "documents")
+    ways = F.array(*map(F.lit, ('["bash", "read"]', "bash, read,, x y", "[bash, read]", None, "[]")))
+    rows = d.select("doc_id", skills.allowed_tools(F.get(ways, F.pmod("doc_id", F.lit(5)).cast("int"))).alias("t"))
+    return rows.select("doc_id", F.array_join("t", "|").alias("tools"), F.array_join(skills.unknown_tools(F.col("t"), F.array(F.lit("bash"), F.lit("read"))), "|").alias("unknown"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, text, (length(text) - length(replace(text, 'the ', ''))) // 4 AS n FROM documents)
+SELECT doc_id, CASE WHEN n = 1 OR doc_id % 2 = 0 AND n > 1 THEN sha256(replace(text, 'the ', 'THE-')) END AS patched FROM d"""
+)
+def skill_patch(spark, sf_dir):
+    """Texts with a replacement: where the old text stands once, and in every second document wherever it stands."""
+    d = star.table(spark, sf_dir, "documents")
+    new = skills.patch(F.col("text"), F.lit("the "), F.lit("THE-"), F.pmod("doc_id", F.lit(2)) == 0)
+    return d.select("doc_id", F.sha2(new, 256).alias("patched"))

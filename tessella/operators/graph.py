@@ -145,8 +145,8 @@ def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, limit: int | No
 
 def changed_nodes(nodes: DataFrame, previous: DataFrame, changed_files: DataFrame) -> DataFrame:
     """Nodes of changed files now, and those of the snapshot that are gone, with deleted."""
-    now = nodes.join(F.broadcast(changed_files), nodes["file_path"] == changed_files["path"], "left_semi").withColumn("deleted", F.lit(False))
-    gone = previous.join(F.broadcast(changed_files), previous["file_path"] == changed_files["path"], "left_semi").join(now.select("qualified_name"), "qualified_name", "left_anti")
+    now = nodes.join(changed_files, nodes["file_path"] == changed_files["path"], "left_semi").withColumn("deleted", F.lit(False))
+    gone = previous.join(changed_files, previous["file_path"] == changed_files["path"], "left_semi").join(now.select("qualified_name"), "qualified_name", "left_anti")
     return now.unionByName(gone.select(*nodes.columns).withColumn("deleted", F.lit(True)))
 
 
