@@ -104,16 +104,17 @@ def import_candidates(source_file: Column, target: Column) -> Column:
 
 def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
     """IMPORTS edges with target_qualified: the first candidate that is a file, else the only file whose stem is the last part."""
-    base = edges.where("kind = 'IMPORTS'").drop("target_qualified").withColumn("__e", F.monotonically_increasing_id())
+    base, key = edges.where("kind = 'IMPORTS'").drop("target_qualified"), ["file_path", "target_name"]
     paths = files.select(F.col("path").alias("candidate"))
-    tries = base.select("__e", F.posexplode(import_candidates(F.col("file_path"), F.col("target_name"))).alias("at", "candidate"))
-    first = tries.join(paths, "candidate").groupBy("__e").agg(F.min_by("candidate", "at").alias("hit"))
+    # Once for each import of a file, however many edges have it; no generated id, which a task that runs again may deal otherwise.
+    tries = base.select(*key).distinct().select(*key, F.posexplode(import_candidates(F.col("file_path"), F.col("target_name"))).alias("at", "candidate"))
+    first = tries.join(paths, "candidate").groupBy(*key).agg(F.min_by("candidate", "at").alias("hit"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
     stems = files.groupBy(stem.alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("by_stem")).where("n = 1").drop("n")
     clean = F.regexp_replace(F.replace(F.col("target_name"), F.lit("\\"), F.lit("/")), r"^[./]+|[./]+$", "")
     leaf = F.element_at(F.split(F.element_at(F.split(clean, "/"), -1), r"\."), -1)
-    met = base.withColumn("leaf", leaf).join(first, "__e", "left").join(stems, "leaf", "left")
-    return met.withColumn("target_qualified", F.coalesce("hit", "by_stem")).drop("__e", "leaf", "hit", "by_stem")
+    met = base.withColumn("leaf", leaf).join(first, key, "left").join(stems, "leaf", "left")
+    return met.select(*base.columns, F.coalesce("hit", "by_stem").alias("target_qualified"))
 
 
 def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, limit: int | None = None, snapshot_edges: DataFrame | None = None) -> DataFrame:
