@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.storage import discard, materialize, new_path, shared_dir  # noqa: F401  used by the operators
+
 #: ASCII white space that separates words, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
 #: A word of a text.
@@ -20,41 +21,6 @@ RID = "__tsl_rid"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tessella/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later jobs neither recompute it nor depend on an executor's disk."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes the files of tables made by materialize() that no later plan reads."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for name in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            if "/tessella/" in name:
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application."""
     sc = spark.sparkContext

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, exact_dedup, lm_score, mixing, near_dedup, pii, quality, token_files, toxicity, url_filter
+from tessella.llm import bpe, exact_dedup, lm_score, mixing, near_dedup, pii, quality, repair, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_risk_rules": quality.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_files": token_files.op8,
     "op9_byte_bpe": bpe.op9,
     "op10_raked_mix": mixing.op10,
+    "op11_turn_repair": repair.op11,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op6_block_names": exact_dedup.OP6_SQL,
     "op7_url_cascade": url_filter.OP7_SQL,
     "op10_raked_mix": mixing.OP10_SQL,
+    "op11_turn_repair": repair.OP11_SQL,
 }
