@@ -23,19 +23,24 @@ def ordered(df: DataFrame, *order: str | Column) -> DataFrame:
     return materialize(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn(SEQ, F.monotonically_increasing_id()), "ordered")
 
 
-def numbered(df: DataFrame, line: list[str], order: list[str | Column], name: str = "place") -> DataFrame:
-    """df with each row's place (long, from 1) in its line; the order must tell the rows of a line apart.
+def placed(table: DataFrame, line: list[str], name: str = "place") -> DataFrame:
+    """A table of ordered(), whose order began with the columns of line, with each row's place in its line (long, from 1).
 
-    The table is cut in ranges of (line, order); the rows of a line are counted for each range, the sums of the ranges
-    before are added to a row's number in its own range. Sorting and counting are dealt out however long a line is; what
-    meets in one task are the counts of a line, one for each range. Null lines are a line of their own.
+    The rows of a line are counted for each range; the sums of the ranges before are added to a row's number in its own
+    range. Counting is dealt out however long a line is; what meets in one task are the counts of a line, one for each
+    range. Null lines are a line of their own.
     """
-    table = ordered(df, *line, *order).withColumn("__run", F.shiftright(SEQ, RANGE_BITS))
-    runs = table.groupBy(*line, "__run").agg(F.min(SEQ).alias("__lo"), F.count(F.lit(1)).alias("__n"))
+    rows = table.withColumn("__run", F.shiftright(SEQ, RANGE_BITS))
+    runs = rows.groupBy(*line, "__run").agg(F.min(SEQ).alias("__lo"), F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*line).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
     # Written, so that adaptive execution can split the join's other side.
     runs = materialize(runs.select(*[F.col(c).alias(f"__l{i}") for i, c in enumerate(line)], F.col("__run").alias("__r"), (F.coalesce(before, F.lit(0)) - F.col("__lo") + 1).alias("__add")), "runs")
     same = F.col("__run") == F.col("__r")
     for i, c in enumerate(line):
         same &= F.col(c).eqNullSafe(F.col(f"__l{i}"))
-    return table.join(runs, same).select(*df.columns, (F.col(SEQ) + F.col("__add")).alias(name))
+    return rows.join(runs, same).select(*[c for c in table.columns if c != SEQ], (F.col(SEQ) + F.col("__add")).alias(name))
+
+
+def numbered(df: DataFrame, line: list[str], order: list[str | Column], name: str = "place") -> DataFrame:
+    """df with each row's place in its line; the order must tell the rows of a line apart."""
+    return placed(ordered(df, *line, *order), line, name)
