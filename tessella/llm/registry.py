@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, exact_dedup, lm_score, mixing, near_dedup, pii, quality, repair, token_files, toxicity, url_filter
+from tessella.llm import bpe, exact_dedup, lm_score, mixing, near_dedup, pii, quality, repair, token_files, toxicity, trie, url_filter
 
 QUERIES = {
     "op1_risk_rules": quality.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9,
     "op10_raked_mix": mixing.op10,
     "op11_turn_repair": repair.op11,
+    "op12_prefix_trie": trie.op12,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op7_url_cascade": url_filter.OP7_SQL,
     "op10_raked_mix": mixing.OP10_SQL,
     "op11_turn_repair": repair.OP11_SQL,
+    "op12_prefix_trie": trie.OP12_SQL,
 }
