@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, exact_dedup, lm_score, mixing, near_dedup, pii, quality, repair, token_files, toxicity, trie, url_filter
+from tessella.llm import bpe, exact_dedup, lm_score, mixing, near_dedup, neighbours, pii, quality, repair, token_files, toxicity, trie, url_filter
 
 QUERIES = {
     "op1_risk_rules": quality.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_raked_mix": mixing.op10,
     "op11_turn_repair": repair.op11,
     "op12_prefix_trie": trie.op12,
+    "op13_nn_descent": neighbours.op13,
 }
 
 ORACLE_SQL = {
