@@ -145,7 +145,7 @@ def _leaves(batches):
         np.fill_diagonal(s, -np.inf)
         k = min(NEIGHBOURS, len(node) - 1)
         if k < 1:
-            return None
+            return _emit(_best(node[:0], node[:0], s[0, :0], 1))
         top = np.argpartition(-s, k - 1, axis=1)[:, :k]
         return _emit(_best(np.repeat(node, k), node[top].ravel(), np.take_along_axis(s, top, 1).ravel(), k))
 
@@ -153,12 +153,16 @@ def _leaves(batches):
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table])
-        while table.num_rows >= 2 * LEAF:  # so that what is left at the end is no small leaf
-            yield compare(table.slice(0, LEAF))
-            table = table.slice(LEAF)
+        while table.num_rows:
+            same = int(np.searchsorted(table.column(0).to_numpy(), table.column(0)[0].as_py(), side="right"))
+            if same == table.num_rows and same < 2 * LEAF:
+                break  # the tree may go on
+            cut = LEAF if same >= 2 * LEAF else same  # so that the end of a tree is no small leaf
+            yield compare(table.slice(0, cut))
+            table = table.slice(cut)
         rest = table
-    if rest is not None and (out := compare(rest)) is not None:
-        yield out
+    if rest is not None and rest.num_rows:
+        yield compare(rest)
 
 
 def _merge(batches):
