@@ -25,10 +25,47 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tessella/{label}-{uuid.uuid4().hex}"
 
 
+_open: list[Scratch] = []
+
+
+class Scratch:
+    """The tables that materialize() makes while it is open; they are deleted when it closes, but for those to keep()."""
+
+    def __init__(self):
+        self.paths: dict[str, tuple[SparkSession, str]] = {}  # by the last part of the path, which is unique
+
+    def add(self, spark: SparkSession, path: str) -> None:
+        self.paths[os.path.basename(path)] = (spark, path)
+
+    def keep(self, df: DataFrame) -> None:
+        for f in df.inputFiles():
+            self.paths.pop(os.path.basename(os.path.dirname(f)), None)
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self)
+        for at in self.paths.values():
+            _delete(*at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch() -> Scratch:
+    return Scratch()
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Writes df to the shared folder and reads it back: later jobs neither recompute it nor depend on an executor's disk."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    for s in _open:
+        s.add(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,9 +73,6 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of tables made by materialize() that no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
         for name in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
             if "/tessella/" in name:
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(df.sparkSession, name)
