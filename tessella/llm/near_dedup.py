@@ -104,7 +104,7 @@ def band_keys(sigs: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _sign(batches):
-    """(RID, doc_id, text) to RID, doc_id, two halves of a hash of the words, number of shingles, band keys."""
+    """(RID, doc_id, text, tie) to RID, doc_id, tie, two halves of a hash of the words, number of shingles, band keys."""
     import pyarrow as pa
     import xxhash
 
@@ -119,8 +119,8 @@ def _sign(batches):
             offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, keys.shape[1], 0))]).astype(np.int32)
             halves = np.frombuffer(b"".join(same), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(keys[counts > 0].ravel()))],
-                ["rid", "doc_id", "h1", "h2", "size", "keys"],
+                [batch.column(0)[a:b], batch.column(1)[a:b], batch.column(3)[a:b], pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(keys[counts > 0].ravel()))],
+                ["rid", "doc_id", "tie", "h1", "h2", "size", "keys"],
             )
 
 
@@ -275,10 +275,11 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def near_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(RID, doc_id, label) of each row of rows (RID, doc_id, text): label is the smallest RID of its class."""
+    """(RID, doc_id, tie, label) of each row of rows (RID, doc_id, text): label is the smallest RID of its class, tie a hash of the text."""
     spark = rows.sparkSession
     ship(spark)
-    signed = materialize(rows.select(RID, "doc_id", "text").mapInArrow(_sign, "rid long, doc_id long, h1 long, h2 long, size long, keys array<long>"), "signed")
+    named = rows.select(RID, "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    signed = materialize(named.mapInArrow(_sign, "rid long, doc_id long, tie long, h1 long, h2 long, size long, keys array<long>"), "signed")
     nodes = materialize(signed.where("size > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node")), "nodes")
     bands = signed.select(F.col("rid").alias("node"), "size", "keys").join(nodes.select("node"), "node", "left_semi").select("node", "size", F.explode("keys").alias("key"))
     bands = materialize(bands, "bands")
@@ -317,25 +318,37 @@ def near_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         tables.append(several)
     tables += [buckets, labels]
     named = nodes.join(labels.withColumnRenamed("label", "found"), "node", "left").select("h1", "h2", F.coalesce("found", "node").alias("label"))
-    classed = signed.where("size > 0").join(named, ["h1", "h2"]).select(F.col("rid").alias(RID), "doc_id", "label")
-    out = materialize(classed.unionByName(signed.where("size = 0").select(F.col("rid").alias(RID), "doc_id", F.col("rid").alias("label"))), "classed")
+    classed = signed.where("size > 0").join(named, ["h1", "h2"]).select(F.col("rid").alias(RID), "doc_id", "tie", "label")
+    out = materialize(classed.unionByName(signed.where("size = 0").select(F.col("rid").alias(RID), "doc_id", "tie", F.col("rid").alias("label"))), "classed")
     discard(*tables)
     return out
 
 
+def _first_of_classes(classed: DataFrame) -> DataFrame:
+    """(label, class_size, first) of each class; first has the row of smallest id, then of smallest text hash.
+
+    Neither depends on how rows are numbered: only rows of one id and one text are told apart by RID.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", RID)
+    return materialize(classed.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"), F.min(first).alias("first")), "classes")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the id of its class's first row), class_size, kept (that row)."""
+    """One row per row of docs: doc_id, class_id (the smallest id of its class), class_size, kept (the row of that id; of several
+    rows of that id the one whose text has the smallest hash)."""
     rows = number_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     classed = near_classes(rows, similarity)
-    classes = materialize(classed.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"), F.max(F.when(F.col(RID) == F.col("label"), F.col("doc_id"))).alias("class_id")), "classes")
-    return classed.join(classes, "label").select("doc_id", "class_id", "class_size", (F.col(RID) == F.col("label")).alias("kept"))
+    classes = _first_of_classes(classed)
+    return classed.join(classes, "label").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col(RID) == F.col(f"first.{RID}")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class, all columns as they were."""
+    """docs with one row of each class, the one that near_groups() keeps, all columns as they were."""
     numbered = number_rows(docs, id_col)
     rows = numbered.select(RID, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kept = near_classes(rows, similarity).where(F.col(RID) == F.col("label")).select(RID)
+    classed = near_classes(rows, similarity)
+    kept = _first_of_classes(classed).select(F.col(f"first.{RID}").alias(RID))
+    discard(classed)
     return numbered.join(kept, RID, "left_semi").drop(RID)
 
 
