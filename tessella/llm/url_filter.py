@@ -9,7 +9,8 @@ it is listed if the first level that lacks it is even (or none lacks it and the
 
 Size: with r listed and s other keys, the first level's error rate is r / (s * sqrt(2)) and that of the others
 1/2, so all levels together take about r * log2(s / r) bits: they grow with the list and hardly with the corpus.
-The list is a parameter of at most MAX_LISTED keys, which bounds what is sent to the executors.
+A list of any length is cut by a hash of the key in parts of about PART_KEYS keys, with a cascade each over the part's keys of
+the universe. A part is what is sent to the executors at once; further parts are further passes over the keys of the urls.
 
 A null url, or one without "://", has empty host and path and fits no rule. The host ends at the first of / ? #,
 the path at the first of ? #. Repeated urls are judged one by one. An empty table gives no rows.
@@ -22,12 +23,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import discard, materialize
 
-#: Keys that a list may have at most.
-MAX_LISTED = 100_000
-#: Bits that a level may have at most.
-MAX_BITS = 2**26
+#: Listed keys of a part, on average, and cascades that are asked in one pass over the urls.
+PART_KEYS, PASS = 50_000, 2
 #: Host, path prefix and verdict of each rule.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -96,21 +95,18 @@ def _fill(keys: DataFrame, level: int, bits: int, hashes: int) -> list[int]:
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """A cascade that is exact for each key of universe (column key, distinct); listed has the keys to be found."""
+    """A cascade that is exact for each key of universe (column key, distinct); listed has the keys to be found, few enough to be broadcast."""
     r = listed.count()
-    if r > MAX_LISTED:
-        raise ValueError(f"{r} listed keys; at most {MAX_LISTED} are sent to the executors")
     inside = universe.join(F.broadcast(listed), "key", "left_semi")
     outside = universe.join(F.broadcast(listed), "key", "left_anti")
     levels: list[tuple[int, int, list[int]]] = []
+    made: list[DataFrame] = []
     members, others = listed, outside
     n, s = max(r, 1), outside.count()
     while True:
         k = len(levels)
         rate = min(0.5, n / (max(s, 1) * math.sqrt(2))) if k == 0 else 0.5
         bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
-        if bits > MAX_BITS:
-            raise ValueError(f"a level of {bits} bits; at most {MAX_BITS} are sent to the executors")
         hashes = max(1, round(bits / n * math.log(2))) if n * 8 < bits else max(1, round(-math.log2(rate)))
         hashes = min(hashes, 16)
         levels.append((bits, hashes, _fill(members, k, bits, hashes)))
@@ -118,28 +114,59 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
         wrong = others.where(one._in_level(F.col("key"), k))
         wrong = materialize(wrong.select("key"), "cascade")
         n = wrong.count()
+        made.append(wrong)
         if n == 0:
+            discard(*made)
             return one
         members, others = wrong, inside if k == 0 else members
 
 
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
+
+
+def _listed_in(k: int, parts: int, cascade: Cascade):
+    return lambda key: ((part_of(key, parts) == k) if parts > 1 else F.lit(True)) & cascade.contains(key)
+
+
+def build_parts(listed: DataFrame, universe: DataFrame) -> list[tuple[int, int, Cascade]]:
+    """(part, number of parts, cascade of that part's keys) for a list of any length."""
+    parts = max(1, -(-listed.count() // PART_KEYS))
+    if parts == 1:
+        return [(0, 1, build_cascade(listed, universe))]
+    mine = lambda df, k: df.where(part_of(F.col("key"), parts) == k)
+    return [(k, parts, build_cascade(mine(listed, k), mine(universe, k))) for k in range(parts)]
+
+
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow") -> DataFrame:
     """page_id, host, path, rule (the longest that fits, else null) and verdict (the rule's, else otherwise) of each row.
 
-    A url that no rule fits has no listed key; the method's verdict for it is that of unlisted keys, otherwise.
+    rules are triples (host, path, verdict allow or block) or a DataFrame of these columns, as many as one likes. A url that
+    no rule fits has no listed key; the method's verdict for it is that of unlisted keys, otherwise. A rule that is both
+    allowed and blocked blocks.
     """
     spark = pages.sparkSession
-    lengths = sorted({len(p) for _, p, _ in rules})
+    given = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    lengths = sorted(r[0] for r in given.select(F.length("path")).distinct().collect())
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     universe = materialize(rows.select("host", F.substring("path", 1, max(lengths, default=0)).alias("path")).distinct().select(F.explode(keys_of(F.col("host"), F.col("path"), lengths)).alias("key")).distinct(), "universe")
-    cascades = {}
-    for verdict in ("allow", "block"):
-        listed = spark.createDataFrame([(h + p,) for h, p, v in rules if v == verdict], "key string").distinct()
-        cascades[verdict] = build_cascade(listed, universe)
-    keyed = rows.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
-    found = keyed.withColumn("rule", F.get(F.filter("keys", lambda k: cascades["allow"].contains(k) | cascades["block"].contains(k)), F.lit(0)))
-    verdict = F.when(F.col("rule").isNull(), F.lit(otherwise)).when(cascades["block"].contains(F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
-    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    asked = []
+    for verdict in ("block", "allow"):
+        listed = given.where(F.col("verdict") == verdict).select(F.concat("host", "path").alias("key")).distinct()
+        asked += [(verdict, *part) for part in build_parts(listed, universe)]
+    discard(universe)
+    longer = lambda a, b: F.when(a.isNull() | (F.length(b["rule"]) > F.length(a["rule"])), b).otherwise(a)
+    found = rows.withColumn("best", F.lit(None).cast("struct<rule:string,verdict:string>"))
+    for at in range(0, len(asked), PASS):
+        best = F.col("best")
+        for verdict, k, parts, cascade in asked[at : at + PASS]:
+            hit = F.get(F.filter(keys_of(F.col("host"), F.col("path"), lengths), _listed_in(k, parts, cascade)), F.lit(0))
+            best = F.when(hit.isNull(), best).otherwise(longer(best, F.struct(hit.alias("rule"), F.lit(verdict).alias("verdict"))))
+        before, found = found, found.withColumn("best", best)
+        if at + PASS < len(asked):
+            found = materialize(found, "pass")
+            discard(before) if at else None
+    return found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
