@@ -9,7 +9,7 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.storage import discard, materialize, new_path, shared_dir  # noqa: F401  used by the operators
+from tessella.storage import discard, materialize, new_path, scratch, shared_dir  # noqa: F401  used by the operators
 
 #: ASCII white space that separates words, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]"

@@ -10,6 +10,11 @@ cutoff that passes is used; if none passes, for instance for lack of labels, the
 With probability 1 - DELTA, no stratum loses more than RISK of its good documents to all rules together, as each
 rule has RISK / number of rules.
 
+Splitting the risk over the rules needs many labels (about 1,150 good ones in each of four strata). choose_certified(), which
+op1 and the pipeline use, spends half of DELTA on that and the other half on one fixed sequence of combined rejectors
+(joint_path()) for each stratum in which not all rules have got a cutoff: strata that are large enough alone, the rest as one
+pool, whose bound holds for the pool. A stratum then takes the tightest combined rejector that passes.
+
 Nulls: a null text has no words and fails the base rules; a null language is a stratum of its own; labels that
 are null are ignored, and of several labels of one document the lowest counts. Texts without labels are judged
 by their stratum's cutoffs. Repeated rows are judged alike. Empty tables give no rows.
@@ -119,11 +124,17 @@ def choose_cutoffs(shares: DataFrame, labels: DataFrame, risk: float = RISK, del
     return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
+def joint_path() -> list[dict[str, float]]:
+    """Combined rejectors, a cutoff for each rule, from lax to tight."""
+    steps = max(map(len, RULES.values()))
+    return [{r: cs[round(t * (len(cs) - 1) / (steps - 1))] for r, cs in RULES.items()} for t in range(steps)]
+
+
 def choose_certified(shares: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff): those of choose_cutoffs() where every rule has one, else those of the tightest combined rejector that passes."""
     split = materialize(choose_cutoffs(shares, labels, risk, delta / 2), "split")
-    steps = max(map(len, RULES.values()))
-    path = [{r: cs[round(t * (len(cs) - 1) / (steps - 1))] for r, cs in RULES.items()} for t in range(steps)]
+    path = joint_path()
+    steps = len(path)
     over = [F.greatest(*[F.col(r) > c for r, c in cut.items()]) for cut in path]
     counts = _holdout(shares, labels).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(x, 1)).alias(f"k{t}") for t, x in enumerate(over)])
     # Strata from the largest on, as long as one without a false rejection would pass beside those before it and the pool.
@@ -172,13 +183,15 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op1(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     rows = docs.select("doc_id", "text", "lang").withColumn(RID, F.lit(0).cast("long"))
-    return judged(rows, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged(rows, labels, choose=choose_certified).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def judged_sql(table: str) -> str:
     """DuckDB SQL for the rows of op1 over a table with doc_id, text and lang."""
     tried = ", ".join(f"('{r}', CAST({c} AS DOUBLE))" for r, cs in RULES.items() for c in cs)
     risk = RISK / len(RULES)
+    steps = ", ".join(f"({t}, '{r}', CAST({c} AS DOUBLE))" for t, cut in enumerate(joint_path()) for r, c in cut.items())
+    tail = lambda p: f"CASE WHEN k > n * {p} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - (CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END"
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM {table}),
 w AS (SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
@@ -194,11 +207,21 @@ s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
   CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_share, CASE WHEN word_chars > 0 THEN n_capitals / word_chars ELSE 0 END AS capital_share,
   CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share FROM f),
 good AS (SELECT s.* FROM s JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) g ON g.doc_id = s.doc_id WHERE NOT base_failed),
-long AS (SELECT doc_id, stratum, rule, share FROM (SELECT doc_id, stratum, symbol_share, capital_share, repeat_share, dup_line_share FROM good) UNPIVOT (share FOR rule IN (symbol_share, capital_share, repeat_share, dup_line_share))),
+long AS (SELECT rid, stratum, rule, share FROM (SELECT row_number() OVER () AS rid, stratum, symbol_share, capital_share, repeat_share, dup_line_share FROM good) UNPIVOT (share FOR rule IN (symbol_share, capital_share, repeat_share, dup_line_share))),
 tried(rule, cutoff) AS (VALUES {tried}),
 k AS (SELECT stratum, tried.rule, cutoff, count(*) AS n, count(*) FILTER (WHERE share > cutoff) AS k FROM long JOIN tried ON tried.rule = long.rule GROUP BY ALL),
-p AS (SELECT *, CASE WHEN k > n * {risk} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - (CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) END AS p FROM k),
-c AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM p WHERE p <= {DELTA} / (SELECT count(DISTINCT stratum) * {len(RULES)} FROM good) GROUP BY ALL),
+p AS (SELECT *, {tail(risk)} AS p FROM k),
+split AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM p WHERE p <= {DELTA / 2} / (SELECT count(DISTINCT stratum) * {len(RULES)} FROM good) GROUP BY ALL),
+steps(t, rule, cutoff) AS (VALUES {steps}),
+strata AS (SELECT stratum, n, pow(1 - {RISK}, n) <= {DELTA / 2} / (row_number() OVER (ORDER BY n DESC, stratum) + 1) AS alone FROM (SELECT stratum, count(*) AS n FROM good GROUP BY stratum)),
+over AS (SELECT stratum, t, count(DISTINCT rid) AS k FROM long JOIN steps ON steps.rule = long.rule AND share > cutoff GROUP BY ALL),
+family AS (SELECT CASE WHEN alone THEN stratum END AS family, t, sum(n) AS n, CAST(sum(coalesce(k, 0)) AS BIGINT) AS k
+  FROM (SELECT strata.*, s.t, over.k FROM strata CROSS JOIN (SELECT DISTINCT t FROM steps) s LEFT JOIN over ON over.stratum = strata.stratum AND over.t = s.t) GROUP BY ALL),
+last AS (SELECT family, max(t) AS t FROM (SELECT family, t, CAST(n AS BIGINT) AS n, k, {tail(RISK)} AS p FROM (SELECT family, t, CAST(n AS BIGINT) AS n, k FROM family))
+  WHERE p <= {DELTA / 2} / (SELECT count(*) FILTER (alone) + 1 FROM strata) GROUP BY family),
+joint AS (SELECT stratum, rule, cutoff FROM strata JOIN last ON last.family IS NOT DISTINCT FROM CASE WHEN alone THEN stratum END JOIN steps ON steps.t = last.t
+  WHERE stratum NOT IN (SELECT stratum FROM split GROUP BY stratum HAVING count(*) = {len(RULES)})),
+c AS (SELECT * FROM joint UNION ALL SELECT * FROM split WHERE stratum NOT IN (SELECT stratum FROM joint)),
 v AS (SELECT s.*, NOT base_failed AND NOT EXISTS (SELECT 1 FROM c WHERE c.stratum = s.stratum AND
   CASE c.rule WHEN 'symbol_share' THEN symbol_share WHEN 'capital_share' THEN capital_share WHEN 'repeat_share' THEN repeat_share ELSE dup_line_share END > c.cutoff) AS kept FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM v
