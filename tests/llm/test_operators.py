@@ -100,6 +100,18 @@ def test_near_classes(spark, docs, odd):
     assert kept.columns == odd.columns and kept.count() == len(set(brute_classes(ODD)))
 
 
+def test_near_classes_do_not_depend_on_other_rows(spark):
+    """The class of 9 and 3 is that of 3, whatever ids are repeated or null elsewhere and however rows are dealt out."""
+    rows = [row(9, BASE), row(5, prose(70)), row(3, BASE + " end"), row(11, BASE + " other"), *(row(100 + i, prose(60)) for i in range(20))]
+    for extra in ([], [row(5, prose(50))], [row(None, prose(50))], [row(3, BASE + " zz")]):
+        for parts in (1, 7):
+            got = near_dedup.near_groups(spark.createDataFrame(rows[::-1] + extra, SCHEMA).repartition(parts)).collect()
+            mine = [r for r in got if r.doc_id in (3, 9, 11)]
+            assert {r.class_id for r in mine} == {3} and [r.doc_id for r in mine if r.kept] == [3]
+    texts = {near_dedup.near_dedup(spark.createDataFrame(x, SCHEMA)).where("doc_id = 3").first().text for x in ([rows[2], row(3, BASE + " zz"), *rows], [*rows[::-1], row(3, BASE + " zz")])}
+    assert len(texts) == 1
+
+
 def test_near_graded_group(spark, monkeypatch):
     """A group whose members differ by degrees, in small blocks: no link is lost."""
     monkeypatch.setattr(near_dedup, "PIVOTS", 0)
@@ -202,6 +214,102 @@ def test_toxicity(spark, docs, odd):
     assert not any(r.toxic or r.severe for r in toxicity.score(docs, none).collect())
 
 
+def solve(a, b):
+    """Gaussian elimination."""
+    n = len(b)
+    m = [[*row_, y] for row_, y in zip(a, b, strict=True)]
+    for i in range(n):
+        p = max(range(i, n), key=lambda r: abs(m[r][i]))
+        m[i], m[p] = m[p], m[i]
+        for r in range(i + 1, n):
+            f = m[r][i] / m[i][i]
+            m[r] = [x - f * y for x, y in zip(m[r], m[i], strict=True)]
+    out = [0.0] * n
+    for i in range(n - 1, -1, -1):
+        out[i] = (m[i][n] - sum(m[i][k] * out[k] for k in range(i + 1, n))) / m[i][i]
+    return out
+
+
+def brute_chain(docs, marks, texts):
+    """(p_toxic, toxic, p_severe, severe) of each text by the method's definition on plain lists: docs id to text, marks id to label."""
+    words = lambda t: {w.strip(",.;:!?\"'()[]{}|*#$%&<>-_/") for w in (t or "").lower().split()} - {""}
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    sigmoid = lambda x: 1 / (1 + math.exp(-min(max(x, -30.0), 30.0)))
+
+    def fit(rows):  # rows (words, earlier log-odds, label)
+        n1, n0 = max(sum(y for *_, y in rows), 1), max(sum(not y for *_, y in rows), 1)
+        a, b = collections.Counter(), collections.Counter()
+        for w, _, y in rows:
+            (a if y else b).update(w)
+        z = {}
+        for w in a.keys() | b.keys():
+            s = (a[w] + b[w]) / (n1 + n0)
+            if a[w] + b[w] >= 3:
+                z[w] = (a[w] / n1 - b[w] / n0) / math.sqrt(max(s * (1 - s), 1e-12) * (1 / n1 + 1 / n0))
+        strong = [w for w in z if abs(z[w]) >= 5.0]
+        x = [[*(float(w in have) for w in strong), *e, 1.0] for have, e, _ in rows]
+        k = len(x[0])
+        v, ridge = [0.0] * k, [0.1] * (k - 1) + [1e-6]
+        for _ in range(25):
+            p = [sigmoid(sum(c * d for c, d in zip(r, v, strict=True))) for r in x]
+            h = [[sum(r[i] * r[j] * q * (1 - q) for r, q in zip(x, p, strict=True)) + (ridge[i] if i == j else 0) for j in range(k)] for i in range(k)]
+            g = [sum(r[i] * (y - q) for r, q, (*_, y) in zip(x, p, rows, strict=True)) - ridge[i] * v[i] for i in range(k)]
+            step = solve(h, g)
+            v = [c + d for c, d in zip(v, step, strict=True)]
+            if max(map(abs, step)) < 1e-6:
+                break
+        predict = lambda have, e: sigmoid(sum(c for w, c in zip(strong, v, strict=False) if w in have) + sum(c * d for c, d in zip(e, v[len(strong) : -1], strict=True)) + v[-1])
+        return predict, {w for w in strong if z[w] > 0}
+
+    cue = [i for i in marks if zlib.crc32(f"cue:{i}".encode()) % 4 == 0]
+    cues = fit([(words(docs[i]), [], marks[i]) for i in cue])[1]
+    ids = sorted(set(marks) - set(cue))
+    have, earlier, found = {i: words(docs[i]) for i in ids}, {i: [] for i in ids}, [([], w) for w in map(words, texts)]
+    results = [[] for _ in texts]
+    for k in range(2):
+        y = {i: bool(marks[i]) and (k == 0 or len(have[i] & cues) >= 3) for i in ids}
+        out = {}
+        for f in range(5):
+            inside = [i for i in ids if zlib.crc32(str(i).encode()) % 5 == f]
+            model = fit([(have[i], earlier[i], y[i]) for i in ids if i not in inside])[0]
+            out |= {i: model(have[i], earlier[i]) for i in inside}
+        ranked, hits, best = sorted(ids, key=lambda i: -out[i]), 0, (-1.0, 0)
+        for n, i in enumerate(ranked):
+            hits += y[i]
+            f1 = 2 * hits / (n + 1 + sum(y.values()))
+            best = max(best, (f1, -n))
+        at = -best[1]
+        cutoff = (out[ranked[at]] + (out[ranked[at + 1]] if at + 1 < len(ranked) else 0.0)) / 2
+        model = fit([(have[i], earlier[i], y[i]) for i in ids])[0]
+        for r, (e, w) in zip(results, found, strict=True):
+            p = model(w, e)
+            r += [p, p >= cutoff]
+            e.append(logit(p))
+        for i in ids:
+            earlier[i] = [*earlier[i], logit(out[i])]
+    return results
+
+
+def test_toxicity_against_brute_force(spark):
+    bad, docs, marks = ["vile", "rotten", "nasty", "filthy", "foul"], {}, {}
+    for i in range(700):
+        w = prose(30).split()
+        if i % 5 == 0:
+            for k in range(1 + i % 4 + (i % 3 == 0) * 2):
+                w[random.randrange(30)] = random.choice(bad) + random.choice(["", "!", "."])
+        docs[i] = " ".join(w)
+        if i < 560:
+            marks[i] = int(i % 5 == 0) if i % 37 else 1  # some labels are wrong
+    df = spark.createDataFrame([row(i, t) for i, t in docs.items()], SCHEMA)
+    models = toxicity.train(df, spark.createDataFrame([(i, 1, y) for i, y in marks.items()], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(df, models).collect()}
+    want = brute_chain(docs, marks, list(docs.values()))
+    assert any(w[3] for w in want) and any(w[1] and not w[3] for w in want)
+    for i, (p, toxic, q, severe) in zip(docs, want, strict=True):
+        r = got[i]
+        assert abs(r.p_toxic - p) < 1e-9 and abs(r.p_severe - q) < 1e-9 and (r.toxic, r.severe) == (toxic, severe)
+
+
 def test_lm_scores(spark, docs, odd, monkeypatch):
     monkeypatch.setattr(lm_score, "CHUNK_BYTES", 20_000)
     monkeypatch.setattr(lm_score, "RANGE_BYTES", 50_000)
@@ -396,3 +504,19 @@ def test_raking_as_a_table_to_the_end(spark):
     got = mixing._rake_table(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long").coalesce(1), targets).collect()
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert {(r.source, r.lang, r.topic): r.w for r in got} == pytest.approx(few, rel=1e-8)
+
+
+def test_urls_against_a_long_list(spark, monkeypatch):
+    """200,000 rules in several parts and passes, given as a table, against a set."""
+    monkeypatch.setattr(url_filter, "PART_KEYS", 30_000)
+    listed = {(f"h{i}.net", "/a" if i % 3 else "/"): "block" if i % 2 else "allow" for i in range(200_000)}
+    rules = spark.createDataFrame([(h, p, v) for (h, p), v in listed.items()], "host string, path string, verdict string")
+    urls = [(i, f"https://{'www.' if i % 4 else ''}h{i * 37}.net/{'abc'[i % 3]}x?q") for i in range(8000)] + [(9000, None), (9001, "no url")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), rules, otherwise="none").collect()}
+    want = {i: (None, "none") for i, _ in urls}
+    for i in range(8000):
+        host, path = f"h{i * 37}.net", f"/{'abc'[i % 3]}x"
+        for p in ("/a", "/"):
+            if (host, p) in listed and path.startswith(p) and want[i][0] is None:
+                want[i] = (host + p, listed[host, p])
+    assert got == want and len({v for _, v in got.values()}) == 3
