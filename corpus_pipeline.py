@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from tessella.llm.common import materialize
+from tessella.llm.common import discard, materialize, scratch
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 
@@ -54,7 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. Of all tables between the stages only the one that it reads is left."""
+    docs, table = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as made:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            made.keep(docs)
+        if table is not None:
+            discard(table)
+        table = docs
     return STAGES[-1][1](spark, docs, sf_dir)
