@@ -3,18 +3,20 @@
 1. Equal vectors are one node (of smallest id); copies come back at the end, so any number of them costs nothing.
 2. First lists of neighbours: rows are sorted by the signs of random projections, TREES times, and each LEAF rows that
    follow one another are compared.
-3. NN-descent: each node gathers its neighbours and up to REVERSE nodes that have it as neighbour, by a join with their
-   vectors; all pairs of them of which one is new are compared, since neighbours of neighbours are likely neighbours. Each
-   member keeps the best LOCAL that beat its list; lists are merged and cut to NEIGHBOURS. Ends when less than SETTLED of
-   the edges are new. Edges that the reverse limit leaves out stay in the list of their source.
-4. Greedy search: a query has a beam of the BEAM best nodes met so far. A round expands the best STEP that were not
-   expanded: it joins them with their neighbours, sends those that are not in the beam to the blocks of vectors, and takes
-   what beats the beam. It ends when all nodes of the beam are expanded. Queries begin at their own node.
+3. NN-descent: edges meet at the node that they point to. Up to REVERSE nodes that have one neighbour in common, and that
+   neighbour itself, are compared, all pairs of them of which one edge is new, since neighbours of neighbours are likely
+   neighbours. A node brings its own vector along its edges, so no other join is needed. Each keeps the best LOCAL that beat
+   its list; lists are merged and cut to NEIGHBOURS. Ends when less than SETTLED of the edges are new. Edges that the limit
+   leaves out at their end stay in the list of their source.
+4. Greedy search: a query has a beam of the BEAM best nodes met so far. A round expands those that were not expanded yet: it
+   joins them with their neighbours, sends those that are not in the beam to the blocks of vectors, and takes what beats
+   the beam. It ends when a round leaves the best FINAL as they were or all nodes of the beam are expanded. Queries begin at their own node and its neighbours.
 5. The exact inner product of the best FINAL nodes, their copies, the first TOP by score and id.
 
 The graph is compared in half precision, the search and the results in double precision on the vectors as given. Queries are
-never broadcast and no list of a node grows with the corpus: partial lists are cut before they move, joins on nodes that
-many others have as neighbour have written tables on both sides. All rows are indexed, none is sampled.
+never broadcast and no list of a node grows with the corpus: what points to one node is cut before it moves (a limit in a
+window), partial lists are too, and the joins of the search have written tables on both sides. All rows are indexed, none is
+sampled.
 
 Null ids, and vectors that are null, empty, zero or hold null or non-finite numbers take no part. Shorter vectors end in
 zeros. Of several vectors of one id the least counts. With few rows all others are found. An empty table gives no rows.
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 from tessella.llm.common import discard, materialize, ship
 from tessella.llm.shingles import mix
 
-NEIGHBOURS, REVERSE, LOCAL, SETTLED, ROUNDS = 32, 16, 8, 0.15, 8
-TREES, LEAF, LEAF_ROWS = 6, 512, 16384
-BEAM, STEP, FINAL = 320, 128, 40
+NEIGHBOURS, REVERSE, LOCAL, SETTLED, ROUNDS = 32, 48, 8, 0.3, 8
+TREES, LEAF, LEAF_ROWS = 6, 1024, 16384
+BEAM, FINAL = 256, 40
 TOP = 20
 #: Nodes of a block of vectors.
 BLOCK = 2048
@@ -215,12 +217,13 @@ def neighbour_graph(nodes: DataFrame, n: int, scale: float) -> DataFrame:
     none = [F.lit(None).cast(t).alias(c) for c, t in (("nbrs", "array<long>"), ("scores", "array<float>"), ("fresh", "array<boolean>"))]
     graph = _merged(leaves.unionByName(projected.where("tree = 0").select("node", "half", *none)))
     for turn in range(ROUNDS):
-        edges = graph.select(F.col("node").alias("w"), F.explode(F.arrays_zip("nbrs", "fresh")).alias("e")).select("w", F.col("e.nbrs").alias("v"), F.col("e.fresh").alias("fresh"))
-        back = edges.select(F.col("v").alias("w"), F.col("w").alias("v"), "fresh").withColumn("nth", F.row_number().over(Window.partitionBy("w").orderBy(F.xxhash64("w", "v", F.lit(turn)), "v"))).where(F.col("nth") <= REVERSE).drop("nth")
         worst = F.when(F.size("scores") < NEIGHBOURS, F.lit(float("-inf")).cast("float")).otherwise(F.element_at("scores", -1))
-        known = graph.select(F.col("node").alias("v"), "half", worst.alias("worst"))
-        members = edges.unionByName(back).join(known.hint("merge"), "v").select("w", "v", "fresh", "half", "worst")
-        better = members.repartition("w").sortWithinPartitions("w").mapInArrow(_local_join, GRAPH)
+        ends = F.arrays_zip(F.array_append("nbrs", F.col("node")).alias("w"), F.array_append("fresh", F.lit(False)).alias("fresh"))
+        edges = graph.select(F.explode(ends).alias("e"), F.col("node").alias("v"), "half", worst.alias("worst")).select("e.w", "v", "e.fresh", "half", "worst")
+        nth = F.row_number().over(Window.partitionBy("w").orderBy(F.col("w") != F.col("v"), F.xxhash64("v", F.lit(turn)), "v"))
+        members = edges.withColumn("nth", nth).where(F.col("nth") <= REVERSE + 1).drop("nth")
+        # The window has brought the rows of each w into one partition.
+        better = members.sortWithinPartitions("w").mapInArrow(_local_join, GRAPH)
         new = _merged(graph.unionByName(better))
         discard(graph)
         graph = new
@@ -307,7 +310,8 @@ def _score(batches):
 
 
 def _advance(batches):
-    """Sorted STATE rows, a query's own first (its vec is not null), then what was found: to its next state."""
+    """Sorted STATE rows, a query's own first (its vec is not null), then what was found: to its next state. All is done if the
+    best FINAL are those of before."""
     import pyarrow as pa
 
     for table in whole_keys(batches, 4 * CHUNK // BEAM):
@@ -315,34 +319,31 @@ def _advance(batches):
         starts = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
         row, ids = _flat(table.column(2))
         scores, cut = _flat(table.column(3))[1], np.searchsorted(row, np.arange(len(q) + 1))
-        done = table.column(4).take(pa.array(starts)).to_pylist()
+        held = np.diff(cut)[starts]
         out = []
         for k, (x, y) in enumerate(zip(starts, np.append(starts[1:], len(q)), strict=True)):
             i, s = ids[cut[x] : cut[y]], scores[cut[x] : cut[y]]
-            d = np.zeros(len(i), bool)
-            d[: len(done[k])] = done[k]
-            d[np.flatnonzero(~d[: len(done[k])])[:STEP]] = True
+            d = np.arange(len(i)) < held[k]
             order = np.lexsort((i, -s))[:BEAM]
-            out.append((i[order], s[order], d[order]))
+            same = set(order[:FINAL].tolist()) == set(range(min(FINAL, held[k])))
+            out.append((i[order], s[order], d[order] | same))
         sizes = np.concatenate([[0], np.cumsum([len(x[0]) for x in out])])
         yield pa.RecordBatch.from_arrays([pa.array(q[starts]), table.column(1).take(pa.array(starts)).combine_chunks(), *[_lists(sizes, np.concatenate([x[c] for x in out])) for c in range(3)]], ["q", "vec", "ids", "scores", "done"])
 
 
-def _open(ids: str = "ids") -> Column:
-    """The best STEP nodes of a beam that were not expanded."""
-    return F.slice(F.transform(F.filter(F.arrays_zip(ids, "done"), lambda x: ~x["done"]), lambda x: x[ids]), 1, STEP)
-
-
-def search(graph: DataFrame, nodes: DataFrame, n: int, starts: DataFrame) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, n: int, scale: float, starts: DataFrame) -> DataFrame:
     """STATE of each query of starts (q, vec, node) when its beam has nothing left to expand; nodes (node, vec) has n rows."""
     blocks = max(1, -(-n // BLOCK))
     vectors = materialize(nodes.select("node", "vec").mapInArrow(_name_blocks(blocks), "block long, node long, vec array<double>"), "blocks")
-    dot = F.aggregate(F.zip_with("vec", "own", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    first = starts.join(nodes.select("node", F.col("vec").alias("own")), "node")
-    state = materialize(first.select("q", "vec", F.array("node").alias("ids"), F.array(dot).alias("scores"), F.array(F.lit(False)).alias("done")), "state")
+    # Scores of the first beam are those of the graph, in half precision; what is returned is computed anew.
+    own = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    first = starts.join(graph.select("node", "nbrs", F.transform("scores", lambda s: s.cast("double") * scale * scale).alias("near")).hint("merge"), "node")
+    beam = F.sort_array(F.arrays_zip(F.concat(F.array(own), "near").alias("s"), F.concat(F.array("node"), "nbrs").alias("i")), asc=False)
+    first = first.select("q", "vec", beam.alias("b"))
+    state = materialize(first.select("q", "vec", F.transform("b", lambda x: x["i"]).alias("ids"), F.transform("b", lambda x: x["s"]).alias("scores"), F.transform("b", lambda x: F.lit(False)).alias("done")), "state")
     while not (open_ := state.where(F.exists("done", lambda x: ~x))).isEmpty():
         bar = F.when(F.size("ids") < BEAM, F.lit(float("-inf"))).otherwise(F.element_at("scores", -1))
-        frontier = open_.select("q", F.explode(_open()).alias("node"))
+        frontier = open_.select("q", F.explode(F.filter(F.arrays_zip("ids", "done"), lambda x: ~x["done"])).alias("x")).select("q", F.col("x.ids").alias("node"))
         near = frontier.join(graph.select("node", "nbrs").hint("merge"), "node").select("q", F.lit(None).cast("array<double>").alias("vec"), F.col("nbrs").alias("ids"), F.lit(None).cast("double").alias("bar"))
         asked = open_.select("q", "vec", "ids", bar.alias("bar")).unionByName(near).repartition("q").sortWithinPartitions("q", F.col("vec").isNull()).mapInArrow(_ask(blocks), "block long, q long, vec array<double>, ids array<long>, bar double")
         stored = vectors.select("block", F.lit(None).cast("long").alias("q"), "vec", F.array("node").alias("ids"), F.lit(None).cast("double").alias("bar"))
@@ -378,7 +379,7 @@ def nearest(vectors: DataFrame, queries: Column, top: int = TOP) -> DataFrame:
     asked = materialize(whole.where(queries).join(nodes.select("vec", "node").hint("merge"), "vec").select(F.col("vec_id").alias("query_id"), "node"), "queries")
     graph = neighbour_graph(nodes, n, scale)
     starts = nodes.join(asked.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("q"), "vec", "node")
-    state = search(graph, nodes, n, starts)
+    state = search(graph, nodes, n, scale, starts)
     found = state.select("q", F.posexplode(F.slice("ids", 1, max(FINAL, 2 * top))).alias("at", "node"), "vec")
     dot = F.aggregate(F.zip_with("vec", "own", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     exact = found.join(nodes.select("node", F.col("vec").alias("own")).hint("merge"), "node").select("q", "node", dot.alias("score"))
