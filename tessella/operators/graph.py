@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import cycles
+from tessella.storage import materialize
+
 #: Edge kinds that each relation follows.
 RELATIONS = {
     "callers_of": ("CALLS",), "callees_of": ("CALLS",), "importers_of": ("IMPORTS",), "inheritors_of": ("INHERITS",),
@@ -165,37 +168,21 @@ def dag_errors(tasks: DataFrame) -> DataFrame:
     return duplicate.unionByName(missing).unionByName(no_root).unionByName(empty)
 
 
-def cycle_nodes(links: DataFrame, materialize=None) -> DataFrame:
-    """Tasks that lie on a cycle or between cycles: what is left of links (blocker, id) when tasks without blockers or
-    without dependents are taken away, again and again. Each round is two anti-joins; long chains need as many rounds."""
-    spark = links.sparkSession
-    keep = materialize or (lambda df: df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist())
-    now = keep(links.select("blocker", "id").distinct())
-    n = now.count()
-    while n:
-        left = now.join(now.select(F.col("id").alias("blocker")).distinct(), "blocker", "left_semi").join(now.select(F.col("blocker").alias("id")).distinct(), "id", "left_semi")
-        left = keep(left)
-        m = left.count()
-        now = left
-        if m == n:
-            break
-        n = m
-    return now.select(F.col("id")).distinct()
-
-
-def cycle_paths(links: DataFrame, materialize=None) -> DataFrame:
-    """(path) of each cycle of whatever length, from its smallest task: for the few links that cycle_nodes() leaves.
-
-    A round takes all open walks one link further, through tasks that are not smaller than their first and not met yet;
-    there are as many rounds as the longest walk has tasks."""
-    spark = links.sparkSession
-    keep = materialize or (lambda df: df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist())
-    steps = keep(links.select(F.col("blocker").alias("at"), F.col("id").alias("next")).distinct())
-    walk = keep(steps.where("next >= at").select(F.col("at").alias("start"), F.col("next").alias("at"), F.array("at", "next").alias("path")))
-    found = [walk.where("at = start").select("path")]
-    while walk.where("at <> start").limit(1).count():
-        on = walk.where("at <> start").join(steps, "at").where("next >= start AND (next = start OR NOT array_contains(path, next))")
-        walk = keep(on.select("start", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path")))
-        if walk.where("at = start").limit(1).count():
-            found.append(walk.where("at = start").select("path"))
-    return reduce(DataFrame.unionByName, found)
+def cycle_nodes(links: DataFrame) -> DataFrame:
+    """Tasks that lie on a cycle or between cycles: those that a part of components() leads to and that lead to one.
+
+    Two searches, from the parts along the links and against them; a round takes all open tasks one link further, with as
+    many rounds as the longest way outside a part has links."""
+    known = materialize(cycles.components(links).select("id"), "parts")
+    steps = links.select("blocker", "id").where("blocker is not null and id is not null").distinct()
+
+    def reached(start: str, end: str) -> DataFrame:
+        seen = open_ = known
+        while True:
+            new = steps.select(F.col(start).alias("id"), F.col(end).alias("next")).join(open_, "id").select(F.col("next").alias("id")).distinct()
+            open_ = materialize(new.join(seen, "id", "left_anti"), "open")
+            if open_.isEmpty():
+                return seen
+            seen = materialize(seen.unionByName(open_), "seen")
+
+    return reached("blocker", "id").join(reached("id", "blocker"), "id", "left_semi")
