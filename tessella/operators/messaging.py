@@ -85,9 +85,17 @@ def first_deliveries(deliveries: DataFrame, inbox: DataFrame | None = None) -> D
 
 
 def inbox_state(log: DataFrame) -> DataFrame:
-    """log (consumer_name, event_id, at, action: receive, ack, retry) as state: a retry frees the event for redelivery."""
-    last = log.groupBy("consumer_name", "event_id").agg(F.max_by("action", "at").alias("action"), F.count(F.when(F.col("action") == "retry", 1)).alias("retries"))
-    return last.withColumn("result", F.when(F.col("action") == "ack", "consumed").when(F.col("action") == "receive", "processing")).drop("action")
+    """log (consumer_name, event_id, at, action: receive, ack, retry) as state (result, retries).
+
+    The first receive claims an event; an acknowledgement after it consumes the event for good; a retry frees it for
+    redelivery as long as it is not consumed. What was never received is not in the inbox (null). retries counts the requests.
+    One partial aggregation, in any order of the rows; streaming/inbox.py folds the same as state.
+    """
+    at = lambda *actions: F.when(F.col("action").isin(*actions), F.col("at"))
+    last = F.max_by("action", at("receive", "retry"))
+    by = log.groupBy("consumer_name", "event_id").agg(F.min(at("receive")).alias("first"), F.max(at("ack")).alias("ack"), last.alias("last"), F.count(at("retry")).alias("retries"))
+    result = F.when(F.col("ack") > F.col("first"), "consumed").when(F.col("last") == "receive", "processing")
+    return by.select("consumer_name", "event_id", "retries", result.alias("result"))
 
 
 def accepts(tags: str) -> Column:
@@ -102,11 +110,16 @@ def receive(messages: DataFrame, subscriptions: DataFrame, inbox: DataFrame | No
     A message goes to the subscriptions of its topic whose tags take it and which it is addressed to (a null target: to
     those with broadcast), but not where the inbox (inbox_state()) has it consumed or in work.
     """
-    s = subscriptions.select("consumer_name", "topic", F.split("tags", r"\s*\|\|\s*").alias("__tags"), F.col("target").alias("__target"), F.coalesce("broadcast", F.lit(False)).alias("__all"))
-    met = messages.join(s, "topic")
-    takes = F.array_contains("__tags", "*") | F.array_contains("__tags", F.col("tag"))
-    mine = F.coalesce(F.col("target") == F.col("__target"), F.col("__all") & F.col("target").isNull())
-    out = met.where(takes & mine).select("consumer_name", *messages.columns)
+    tags = F.split("tags", r"\s*\|\|\s*")
+    keys = F.when(F.array_contains(tags, "*"), F.array(F.lit("*"))).otherwise(F.array_distinct(tags))
+    s = subscriptions.select("consumer_name", F.col("topic").alias("__topic"), F.explode(keys).alias("__tag"), F.col("target").alias("__target"), F.coalesce("broadcast", F.lit(False)).alias("__all"))
+    # A message is looked up by its tag and by "*", a directed one by its target too, the others among the subscriptions
+    # with broadcast: every pair that a join makes is a delivery.
+    rows = messages.withColumn("__key", F.explode(F.array_distinct(F.array(F.col("tag"), F.lit("*")))))
+    on = (F.col("topic") == F.col("__topic")) & (F.col("__key") == F.col("__tag"))
+    directed = rows.join(s, on & (F.col("target") == F.col("__target")))
+    others = rows.where("target is null").join(s.where("__all"), on)
+    out = directed.unionByName(others).select("consumer_name", *messages.columns)
     if inbox is None:
         return out
     return out.join(inbox.where("result is not null").select("consumer_name", "event_id"), ["consumer_name", "event_id"], "left_anti").select("consumer_name", *messages.columns)
