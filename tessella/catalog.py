@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella import schemas
+from tessella import schemas, storage
 from tessella.functions import hashing, text, values
-from tessella.operators import conversation, graph, memory, messaging, policy, scheduler, search, skills
-from tessella.plans import index, star
+from tessella.operators import conversation, cycles, graph, memory, messaging, policy, scheduler, search, skills
+from tessella.plans import fulltext, index, star
 from tessella.sources import files as source_files
 from tessella.sources import records as source_records
 
@@ -117,6 +119,27 @@ def phrase_search(spark, sf_dir):
     return search.bm25_scores(_docs(spark, sf_dir), ["text"], "of_the").select("doc_id", F.round("bm25", 6).alias("score"))
 
 
+def _document_index(spark, sf_dir) -> fulltext.Index:
+    """An index that was built with other texts for one document in a hundred, and then brought up to date."""
+    d, root = _docs(spark, sf_dir).select("doc_id", "text"), storage.new_path(spark, "fulltext")
+    stale = F.pmod("doc_id", F.lit(100)) == 7
+    fulltext.build(d.withColumn("text", F.when(stale, F.reverse("text")).otherwise(F.col("text"))), root, "doc_id", ["text"], buckets=16)
+    fulltext.update(spark, root, d.where(stale))
+    return fulltext.Index(spark, root)
+
+
+@query(f"WITH {_bm25_sql([['token'], ['the']])} SELECT doc_id, round(bm25, 6) AS score FROM b ORDER BY bm25 DESC, doc_id LIMIT 20")
+def bm25_indexed(spark, sf_dir):
+    """bm25_topk from a stored index: the buckets of two words, and of their cells those that can reach the result."""
+    return _document_index(spark, sf_dir).top("token the", 20).select(F.col("key").alias("doc_id"), F.round("bm25", 6).alias("score"))
+
+
+@query(f"WITH {_bm25_sql([['of', 'the'], ['and']])} SELECT doc_id, round(bm25, 6) AS score FROM b")
+def phrase_indexed(spark, sf_dir):
+    """A phrase and a word from a stored index, by the positions of its postings."""
+    return _document_index(spark, sf_dir).scores("of_the and").select(F.col("key").alias("doc_id"), F.round("bm25", 6).alias("score"))
+
+
 @query()
 def bm25_porter(spark, sf_dir):
     """BM25 on stems; the stemmer is no SQL."""
@@ -265,10 +288,49 @@ def dag_cycle_nodes(spark, sf_dir):
     return graph.cycle_nodes(links)
 
 
-@query()
+_REACH = f"""{_DAG}, e AS (SELECT DISTINCT blocker, id FROM links WHERE blocker IN (SELECT id FROM dag)),
+reach AS (SELECT blocker AS a, id AS b FROM e UNION SELECT r.a, e.id FROM reach r JOIN e ON e.blocker = r.b),
+part AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a)"""
+
+
+def _dag_links(spark, sf_dir):
+    """Links between tasks that exist."""
+    d = _dag(spark, sf_dir)
+    return d.select("id", F.explode("blocked_by").alias("blocker")).join(d.select(F.col("id").alias("blocker")).distinct(), "blocker", "left_semi")
+
+
+@query(f"WITH RECURSIVE {_REACH} SELECT id, component, count(*) OVER (PARTITION BY component) AS tasks FROM part")
+def dag_components(spark, sf_dir):
+    """The strongly connected parts of the task graph."""
+    c = cycles.components(_dag_links(spark, sf_dir))
+    return c.join(c.groupBy("component").agg(F.count(F.lit(1)).alias("tasks")), "component").select("id", "component", "tasks")
+
+
+_ORDER_PARTS = """o AS (SELECT DISTINCT o_orderkey % 1500 AS a, (o_orderkey * 7 + o_custkey) % 1500 AS b FROM orders)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_ORDER_PARTS}, walk AS (SELECT a, a AS b FROM (SELECT a FROM o UNION SELECT b FROM o) UNION SELECT w.a, o.b FROM walk w JOIN o ON o.a = w.b),
+part AS (SELECT x.a AS id, min(x.b) AS component, count(*) AS tasks FROM walk x JOIN walk y ON y.a = x.b AND y.b = x.a GROUP BY x.a)
+SELECT id, component, tasks FROM part WHERE tasks > 1 OR EXISTS (SELECT 1 FROM o WHERE o.a = part.id AND o.b = part.id)"""
+)
+def order_components(spark, sf_dir):
+    """Strongly connected parts of a graph that the orders draw over 1,500 tasks."""
+    o = star.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1500).alias("blocker"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 1500).alias("id"))
+    c = storage.materialize(cycles.components(o), "parts")
+    return c.join(c.groupBy("component").agg(F.count(F.lit(1)).alias("tasks")), "component").select("id", "component", "tasks")
+
+
+@query(
+    f"""WITH RECURSIVE {_REACH}, pick AS (SELECT e.blocker AS a, min(e.id) AS b FROM e JOIN part p ON p.id = e.blocker JOIN part q ON q.id = e.id AND q.component = p.component GROUP BY e.blocker),
+walk AS (SELECT component, [component] AS w FROM part WHERE id = component UNION ALL SELECT component, list_append(w, b) FROM walk JOIN pick ON a = w[len(w)] WHERE NOT list_contains(w[1:len(w) - 1], w[len(w)])),
+ended AS (SELECT component, w[list_position(w, w[len(w)]):len(w) - 1] AS c FROM walk WHERE list_contains(w[1:len(w) - 1], w[len(w)])),
+turned AS (SELECT component, list_concat(c[list_position(c, list_min(c)):], c[1:list_position(c, list_min(c)) - 1]) AS c FROM ended)
+SELECT component, array_to_string(list_append(c, c[1]), ' -> ') AS path FROM turned"""
+)
 def dag_cycle_paths(spark, sf_dir):
-    links = _dag(spark, sf_dir).select("id", F.explode("blocked_by").alias("blocker"))
-    return graph.cycle_paths(links).select(F.array_join("path", " -> ").alias("path"))
+    """One cycle of each strongly connected part."""
+    return cycles.cycle_of_each(_dag_links(spark, sf_dir)).select("component", F.array_join("path", " -> ").alias("path"))
 
 
 # --- scheduler ---
@@ -401,15 +463,18 @@ def task_after_end(spark, sf_dir):
 
 
 @query(
-    f"WITH s AS (SELECT 'r' || (user_id % 40) AS runtime_id, max(ts) FILTER (WHERE event_type = 'signup') AS reg, max(ts) FILTER (WHERE event_type = 'error') AS stop, max(ts) FILTER (WHERE event_type NOT IN ('signup', 'error')) AS beat FROM events GROUP BY 1) "
-    f"SELECT runtime_id, CASE WHEN coalesce(stop >= reg, false) THEN 'stopped' ELSE 'idle' END AS status, NOT coalesce(stop >= reg, false) AND greatest(reg, beat) + INTERVAL 60 SECONDS >= {_T} AS alive FROM s WHERE reg IS NOT NULL"
+    f"""WITH l AS (SELECT 'r' || (user_id % 40) AS runtime_id, ts, event_type FROM events), reg AS (SELECT runtime_id, max(ts) AS reg FROM l WHERE event_type = 'signup' GROUP BY 1),
+s AS (SELECT runtime_id, reg, min(ts) FILTER (WHERE event_type = 'error' AND ts >= reg) AS first_stop, max(ts) FILTER (WHERE event_type = 'error' AND ts >= reg) AS last_stop FROM l JOIN reg USING (runtime_id) GROUP BY 1, 2),
+b AS (SELECT s.*, greatest(reg, (SELECT max(ts) FROM l WHERE l.runtime_id = s.runtime_id AND event_type NOT IN ('signup', 'error') AND ts >= reg AND (first_stop IS NULL OR ts < first_stop))) AS beat FROM s)
+SELECT runtime_id, CASE WHEN first_stop IS NULL THEN 'idle' ELSE 'stopped' END AS status, CAST(beat AS VARCHAR) AS last_heartbeat, CAST(coalesce(last_stop, beat + INTERVAL 60 SECONDS) AS VARCHAR) AS lease_expires_at,
+  first_stop IS NULL AND beat + INTERVAL 60 SECONDS >= {_T} AS alive FROM b"""
 )
 def runtime_states(spark, sf_dir):
     """Users modulo 40 as runtimes: signup registers, error stops, anything else is a heartbeat."""
     e = star.table(spark, sf_dir, "events")
     action = F.when(F.col("event_type") == "signup", "register").when(F.col("event_type") == "error", "stop").otherwise("heartbeat")
     log = e.select(F.concat(F.lit("r"), F.pmod("user_id", F.lit(40)).cast("string")).alias("runtime_id"), F.col("ts").alias("at"), action.alias("action"))
-    return scheduler.runtime_state(log, star.as_of()).select("runtime_id", "status", "alive")
+    return scheduler.runtime_state(log, star.as_of()).select("runtime_id", "status", F.col("last_heartbeat").cast("string").alias("last_heartbeat"), F.col("lease_expires_at").cast("string").alias("lease_expires_at"), "alive")
 
 
 @query("SELECT event_id AS sequence_no, 'x' || event_id AS execution_id, CAST(event_id % 3 + 1 AS BIGINT) AS attempt FROM events WHERE user_id = 7 ORDER BY ts, attempt")
@@ -498,7 +563,8 @@ def received_messages(spark, sf_dir):
 
 
 @query("""SELECT 'u' || user_id AS consumer_name, 'k' || CAST(json_extract_string(props, '$.k') AS INTEGER) AS event_id,
-CASE arg_max(event_type, event_id) WHEN 'purchase' THEN 'consumed' WHEN 'error' THEN NULL ELSE 'processing' END AS result, count(*) FILTER (WHERE event_type = 'error') AS retries FROM events GROUP BY 1, 2""")
+CASE WHEN max(event_id) FILTER (event_type = 'purchase') > min(event_id) FILTER (event_type NOT IN ('purchase', 'error')) THEN 'consumed'
+  WHEN arg_max(event_type, event_id) FILTER (event_type <> 'purchase') <> 'error' THEN 'processing' END AS result, count(*) FILTER (WHERE event_type = 'error') AS retries FROM events GROUP BY 1, 2""")
 def inbox_states(spark, sf_dir):
     """Events as an inbox log: purchase acknowledges, error asks for redelivery, anything else receives."""
     e = star.table(spark, sf_dir, "events")
@@ -955,3 +1021,26 @@ def skill_patch(spark, sf_dir):
     d = star.table(spark, sf_dir, "documents")
     new = skills.patch(F.col("text"), F.lit("the "), F.lit("THE-"), F.pmod("doc_id", F.lit(2)) == 0)
     return d.select("doc_id", F.sha2(new, 256).alias("patched"))
+
+
+_FOLD = """b AS (SELECT doc_id, source, CASE WHEN doc_id % 3 <> 0 THEN lower(substr(text, 1, 200)) END AS c FROM documents),
+s1 AS (SELECT doc_id, source, CASE WHEN c IS NULL THEN 'new ' || source ELSE c END AS c FROM b),
+s2 AS (SELECT doc_id, source, CASE WHEN (length(c) - length(replace(c, 'new', ''))) / 3 = 1 THEN replace(c, 'new', 'renewed') ELSE c END AS c FROM s1),
+s3 AS (SELECT doc_id, source, CASE WHEN doc_id % 4 <> 0 THEN c END AS c FROM s2),
+s4 AS (SELECT doc_id, source, CASE WHEN doc_id % 8 = 0 AND c IS NULL THEN 'again' ELSE c END AS c FROM s3),
+s5 AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 AND c IS NOT NULL THEN 'edited ' || source ELSE c END AS c FROM s4),
+s6 AS (SELECT doc_id, CASE WHEN (length(c) - length(replace(c, 'e', ''))) = 1 OR doc_id % 2 = 0 AND contains(c, 'e') THEN replace(c, 'e', 'E') ELSE c END AS c FROM s5)"""
+
+
+@query(f"WITH {_FOLD} SELECT 'd' || doc_id AS name, sha256(c) AS content FROM s6 WHERE c IS NOT NULL")
+def skill_changes(spark, sf_dir):
+    """Documents as skills (two of three) after six changes of each, given out of order: create, patch, delete, create, edit, patch."""
+    d = star.table(spark, sf_dir, "documents")
+    key = [F.lit("project").alias("source"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name")]
+    base = d.where("doc_id % 3 <> 0").select(*key, F.lower(F.substring("text", 1, 200)).alias("content"))
+    change = lambda at, action, content=None, old=None, new=None, all_=None, where="true": d.where(where).select(*key, F.lit(at).alias("at"), F.lit(action).alias("action"), (content if content is not None else F.lit(None).cast("string")).alias("content"), F.lit(old).cast("string").alias("old"), F.lit(new).cast("string").alias("new"), (all_ if all_ is not None else F.lit(False)).alias("replace_all"))
+    changes = [
+        change(6, "patch", old="e", new="E", all_=F.pmod("doc_id", F.lit(2)) == 0), change(5, "edit", F.concat(F.lit("edited "), "source"), where="doc_id % 5 = 0"), change(4, "create", F.lit("again"), where="doc_id % 8 = 0"),
+        change(1, "create", F.concat(F.lit("new "), "source")), change(2, "patch", old="new", new="renewed"), change(3, "delete", where="doc_id % 4 = 0"),
+    ]
+    return skills.apply_changes(base, reduce(DataFrame.unionByName, changes)).select("name", F.sha2("content", 256).alias("content"))

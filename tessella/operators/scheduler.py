@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions.hashing import work_shard
 from tessella.functions.values import after_seconds, json_merge
+from tessella.operators.ranking import numbered
+from tessella.storage import materialize
 
 LEASE_SECONDS, MOST_ATTEMPTS, DEFAULT_PRIORITY = 60, 2, 5
 ACTIVE = ("claimed", "running")
@@ -65,18 +67,21 @@ def priority(metadata: Column) -> Column:
 
 
 def claim_order(tasks: DataFrame, per: tuple[str, ...] = ("thread_id", "task_type", "work_shard")) -> DataFrame:
-    """Ready tasks with their place in line within a shard."""
+    """Ready tasks with their place in line within a shard; a line is cut in ranges, however long it is (ranking.numbered())."""
+    return numbered(ready(tasks), list(per), [priority(F.col("metadata")), "updated_at", "id"])
+
+
+def first_in_line(tasks: DataFrame, most: int, per: tuple[str, ...] = ("thread_id", "task_type", "work_shard")) -> DataFrame:
+    """The first most rows of each line of claim_order(): the limit goes below the exchange of the window, so a long line does not move."""
     w = Window.partitionBy(*per).orderBy(priority(F.col("metadata")), "updated_at", "id")
-    return ready(tasks).withColumn("place", F.row_number().over(w))
+    return ready(tasks).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
 def claim(tasks: DataFrame, runtimes: DataFrame, as_of: Column, lease: int = LEASE_SECONDS) -> DataFrame:
     """One task for each idle runtime (runtime_id, status, thread_id, task_type, work_shard): the n-th in line for the n-th runtime."""
     per = ["thread_id", "task_type", "work_shard"]
     idle = runtimes.where("status = 'idle'").withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy("runtime_id")))
-    # Of each line, only as many as there are runtimes: the limit goes below the exchange of the window.
-    most = idle.agg(F.max("place")).first()[0] or 0
-    won = claim_order(tasks).where(F.col("place") <= most).join(idle.select(*per, "place", "runtime_id"), [*per, "place"])
+    won = first_in_line(tasks, idle.agg(F.max("place")).first()[0] or 0).join(idle.select(*per, "place", "runtime_id"), [*per, "place"])
     attempt = F.coalesce(F.col("current_attempt"), F.lit(0)) + 1
     execution = F.coalesce(F.col("current_execution_id"), F.sha2(F.concat_ws(":", F.col("id"), as_of.cast("string")), 256))
     return won.select("id", "runtime_id", execution.alias("execution_id"), attempt.alias("attempt"), F.lit("claimed").alias("status"), as_of.alias("claimed_at"), after_seconds(as_of, F.lit(lease)).alias("lease_expires_at"), "place")
@@ -184,16 +189,21 @@ def board(tasks: DataFrame, thread_id: str | None = None) -> DataFrame:
 
 
 def runtime_state(log: DataFrame, as_of: Column, lease: int = LEASE_SECONDS) -> DataFrame:
-    """log (runtime_id, at, action: register, heartbeat, stop) as state: a heartbeat of a stopped or unknown runtime does nothing.
+    """log (runtime_id, at, action: register, heartbeat, stop) as state: status, last_heartbeat, lease_expires_at, alive.
 
-    alive tells whether the lease of the last sign still holds.
+    The last registration counts. A stop ends the lease at its time; a heartbeat of a stopped or unknown runtime does
+    nothing. alive tells whether the lease still holds.
     """
-    last = log.groupBy("runtime_id").agg(
-        F.max(F.when(F.col("action") == "register", F.col("at"))).alias("registered"), F.max(F.when(F.col("action") == "stop", F.col("at"))).alias("stopped"), F.max(F.when(F.col("action") == "heartbeat", F.col("at"))).alias("beat")
-    ).where(F.col("registered").isNotNull())
-    stopped = F.coalesce(F.col("stopped") >= F.col("registered"), F.lit(False))
+    at = lambda a: F.when(F.col("action") == a, F.col("at"))
+    begun = materialize(log.groupBy("runtime_id").agg(F.max(at("register")).alias("registered")).where("registered is not null"), "registered")
+    since = log.join(begun, "runtime_id").where(F.col("at") >= F.col("registered"))  # the written side lets a busy runtime be split
+    ends = materialize(since.groupBy("runtime_id", "registered").agg(F.min(at("stop")).alias("stopped"), F.max(at("stop")).alias("last_stop")), "stopped")
+    beats = since.where("action = 'heartbeat'").select("runtime_id", "at").join(ends.select("runtime_id", "stopped"), "runtime_id").where("stopped is null or at < stopped")
+    beat = beats.groupBy("runtime_id").agg(F.max("at").alias("beat"))
     sign = F.greatest("registered", "beat")
-    out = last.select("runtime_id", F.when(stopped, "stopped").otherwise("idle").alias("status"), sign.alias("last_heartbeat"), after_seconds(sign, F.lit(lease)).alias("lease_expires_at"))
+    out = ends.join(beat, "runtime_id", "left").select(
+        "runtime_id", F.when(F.col("stopped").isNotNull(), "stopped").otherwise("idle").alias("status"), sign.alias("last_heartbeat"), F.coalesce("last_stop", after_seconds(sign, F.lit(lease))).alias("lease_expires_at")
+    )
     return out.withColumn("alive", (F.col("status") != "stopped") & (F.col("lease_expires_at") >= as_of))
 
 
@@ -233,9 +243,13 @@ def history(executions: DataFrame, task_id: str) -> DataFrame:
 
 
 def event_order(events: DataFrame) -> DataFrame:
-    """Place of each event in its execution, and the event before it."""
-    w = Window.partitionBy("execution_id", "attempt").orderBy("sequence_no")
-    return events.withColumn("place", F.row_number().over(w)).withColumn("after", F.lag("event_type").over(w))
+    """Place of each event in its execution, and the event before it. Neither needs an execution to be one task's work: the
+    event before is found by its place."""
+    line = ["execution_id", "attempt"]
+    placed = materialize(numbered(events, line, ["sequence_no"]), "placed")
+    before = placed.select(*[F.col(c).alias(f"__{c}") for c in line], (F.col("place") + 1).alias("__place"), F.col("event_type").alias("after"))
+    same = (F.col("place") == F.col("__place")) & F.col("execution_id").eqNullSafe(F.col("__execution_id")) & F.col("attempt").eqNullSafe(F.col("__attempt"))
+    return placed.join(before, same, "left").drop("__execution_id", "__attempt", "__place")
 
 
 def published(events: DataFrame) -> DataFrame:

@@ -64,13 +64,38 @@ def patch(content: Column, old: Column, new: Column, replace_all: Column) -> Col
     return F.when((F.length(old) > 0) & ((times == 1) | (replace_all & (times > 1))), F.replace(content, old, new))
 
 
+def _folded(base: DataFrame, changes: DataFrame, key: list[str], empties: Column, step) -> DataFrame:
+    """(key, content) after the changes of each key in order of (at, seq): step(content, change) is the content after a change.
+
+    Only what follows the last change that certainly empties or fills a key (empties) is folded, with that change itself, so
+    a fold holds what was changed since then and no more.
+    """
+    fields = [F.col(c) if c in changes.columns else F.lit(None).cast("boolean" if c == "replace_all" else "string").alias(c) for c in ("action", "content", "old", "new", "replace_all")]
+    rows = changes.select(*key, "at", (F.col("seq") if "seq" in changes.columns else F.lit(0)).cast("long").alias("seq"), *fields)
+    last = rows.where(empties).groupBy(*key).agg(F.max(F.struct("at", "seq")).alias("from"))
+    rows = rows.join(last, key, "left").where(F.col("from").isNull() | (F.struct("at", "seq") >= F.col("from"))).drop("from")
+    each = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "seq", "action", "content", "old", "new", "replace_all"))).alias("c"))
+    met = base.join(each, key, "full_outer")
+    return met.withColumn("content", F.when(F.col("c").isNull(), F.col("content")).otherwise(F.aggregate("c", F.col("content"), step))).drop("c").where(F.col("content").isNotNull())
+
+
+def _patched(content: Column, c: Column) -> Column:
+    return F.coalesce(patch(content, c["old"], c["new"], F.coalesce(c["replace_all"], F.lit(False))), content)
+
+
 def apply_changes(skills: DataFrame, changes: DataFrame) -> DataFrame:
-    """skills after the last change of each (source, name): create and edit set content, delete removes. A create of what exists and an edit of what does not are left out."""
-    last = changes.groupBy("source", "name").agg(F.max_by(F.struct("action", F.col("content").alias("new")), "at").alias("c")).select("source", "name", "c.*")
-    met = skills.join(last, ["source", "name"], "full_outer")
-    exists = F.col("content").isNotNull()
-    content = F.when(exists & (F.col("action") == "delete"), F.lit(None)).when(exists & (F.col("action") == "edit"), F.col("new")).when(~exists & (F.col("action") == "create"), F.col("new")).otherwise(F.col("content"))
-    return met.withColumn("content", content).drop("action", "new").where(F.col("content").isNotNull())
+    """skills after the changes (source, name, at, action, content, old, new, replace_all; seq orders those of one time), one
+    after the other: create and edit set content, patch() replaces in it, delete removes. A create of what exists and an
+    edit, patch or delete of what does not are left out."""
+
+    def step(content: Column, c: Column) -> Column:
+        there = content.isNotNull()
+        return (
+            F.when(there & (c["action"] == "delete"), F.lit(None).cast("string")).when(there & (c["action"] == "edit"), F.coalesce(c["content"], content))
+            .when(there & (c["action"] == "patch"), _patched(content, c)).when(~there & (c["action"] == "create"), c["content"]).otherwise(content)
+        )
+
+    return _folded(skills, changes, ["source", "name"], F.col("action") == "delete", step)
 
 
 #: Folders beside a skill whose files can be written.
@@ -78,18 +103,20 @@ FILE_FOLDERS = ("references", "templates", "scripts", "assets")
 
 
 def apply_file_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """files (source, name, path, content) after the last change (at, action: write_file, patch, remove_file, content, old,
-    new, replace_all) of each. Paths outside FILE_FOLDERS, removals and patches of what is not there, and patches that do
+    """files (source, name, path, content) after the changes (at, seq, action: write_file, patch, remove_file, content,
+    old, new, replace_all) of each, one after the other. Paths outside FILE_FOLDERS, removals and patches of what is not there, and patches that do
     not fit (patch()) are left out."""
     key = ["source", "name", "path"]
     inside = F.split("path", "/")[0].isin(*FILE_FOLDERS) & ~F.col("path").rlike(r"(^|/)\.\.?(/|$)|//|^/|/$")
-    rest = ["action", F.col("content").alias("text"), "old", "new", "replace_all"]
-    last = changes.where(inside).groupBy(*key).agg(F.max_by(F.struct(*rest), "at").alias("c")).select(*key, "c.*")
-    met = files.join(last, key, "full_outer")
-    there = F.col("content").isNotNull()
-    patched = F.coalesce(patch(F.col("content"), F.col("old"), F.col("new"), F.coalesce("replace_all", F.lit(False))), F.col("content"))
-    content = F.when(F.col("action") == "write_file", F.col("text")).when(there & (F.col("action") == "patch"), patched).when(F.col("action") == "remove_file", F.lit(None)).otherwise(F.col("content"))
-    return met.select(*key, content.alias("content")).where(F.col("content").isNotNull())
+
+    def step(content: Column, c: Column) -> Column:
+        return (
+            F.when(c["action"] == "write_file", F.coalesce(c["content"], content)).when(c["action"] == "remove_file", F.lit(None).cast("string"))
+            .when(content.isNotNull() & (c["action"] == "patch"), _patched(content, c)).otherwise(content)
+        )
+
+    whole = (F.col("action") == "remove_file") | (F.col("action") == "write_file") & F.col("content").isNotNull()
+    return _folded(files, changes.where(inside), key, whole, step).select(*key, "content")
 
 
 def may_write(read_digest: Column, current: Column, owner: Column, agent: str = "agent") -> Column:

@@ -2,13 +2,15 @@
 
 import hashlib
 import math
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella import schemas
 from tessella.functions import hashing, text, values
-from tessella.operators import conversation, graph, memory, messaging, policy, scheduler, search, skills
+from tessella.operators import conversation, cycles, graph, memory, messaging, policy, ranking, scheduler, search, skills
 from tessella.plans import index
 from tessella.sources import files, records
 
@@ -198,7 +200,7 @@ def test_dag_checks(spark):
     assert {(r.rule, r.detail) for r in graph.dag_errors(df).collect()} == {("duplicate_id", "b"), ("missing_reference", "a -> z"), ("no_root", "every task is blocked")}
     links = df.select("id", F.explode("blocked_by").alias("blocker"))
     assert sorted(r.id for r in graph.cycle_nodes(links).collect()) == ["b", "c"]
-    assert [r.path for r in graph.cycle_paths(links).collect()] == [["b", "c", "b"]]
+    assert [tuple(r) for r in cycles.cycle_of_each(links).collect()] == [("b", ["b", "c", "b"])]
     assert graph.dag_errors(df.limit(0)).first().rule == "empty"
 
 
@@ -219,14 +221,62 @@ def test_imports_from_any_depth(spark):
     assert {k: found[k] for k in want} == want
 
 
-def test_cycle_of_many_tasks(spark):
-    from tessella.storage import materialize
-
-    n = 52
-    links = [(f"t{i:02d}", f"t{(i + 1) % n:02d}") for i in range(n)] + [("x", "y"), ("y", "x"), ("y", "z"), ("z", "x"), ("w", "w")]
-    df = spark.createDataFrame(links, "blocker string, id string").coalesce(1)
-    got = sorted(r.path for r in graph.cycle_paths(df, lambda t: materialize(t.coalesce(1), "walk")).collect())
-    assert got == [[*[f"t{i:02d}" for i in range(n)], "t00"], ["w", "w"], ["x", "y", "x"], ["x", "y", "z", "x"]]
+def test_rings_and_chains_of_any_length(spark):
+    """A ring of 10,000 tasks with chains to and from it, small parts, a task that blocks itself: rounds grow with the logarithm."""
+    n, made = 10_000, []
+    links = [(f"r{i:05d}", f"r{(i + 1) % n:05d}") for i in range(n)] + [("x", "y"), ("y", "x"), ("y", "z"), ("z", "x"), ("w", "w")]
+    links += [(f"in{i:04d}", f"in{i + 1:04d}") for i in range(500)] + [("in0500", "r00007"), ("r00100", "out0000")] + [(f"out{i:04d}", f"out{i + 1:04d}") for i in range(500)]
+    plain = cycles.materialize
+    cycles.materialize = lambda df, label: (made.append(label), plain(df.coalesce(2), label))[1]
+    try:
+        df = spark.createDataFrame(links, "blocker string, id string").coalesce(2)
+        parts = plain(cycles.components(df), "parts")
+        rounds = len(made)
+        paths = {r.component: r.path for r in cycles.cycle_of_each(df, parts).collect()}
+    finally:
+        cycles.materialize = plain
+    got = {(r.id, r.component) for r in parts.collect()}
+    assert got == {(f"r{i:05d}", "r00000") for i in range(n)} | {(c, "x") for c in "xyz"} | {("w", "w")}
+    assert rounds < 200
+    assert paths == {"r00000": [*(f"r{i:05d}" for i in range(n)), "r00000"], "x": ["x", "y", "x"], "w": ["w", "w"]}
+
+
+def test_components_against_brute_force(spark):
+    random.seed(8)
+    for n, m in ((40, 55), (12, 60)):
+        links = [(random.randrange(n), random.randrange(n)) for _ in range(m)]
+        reach = {a: {a} for a in range(n)}
+        for _ in range(n):
+            for a, b in links:
+                for x in reach.values():
+                    if a in x:
+                        x.add(b)
+        loops = {a for a, b in links if a == b}
+        want = {}
+        for a in range(n):
+            part = {b for b in reach[a] if a in reach[b]}
+            if len(part) > 1 or a in loops:
+                want[a] = min(part)
+        df = spark.createDataFrame(links + links[:3], "blocker long, id long").coalesce(1)
+        parts = cycles.components(df)
+        assert {r.id: r.component for r in parts.collect()} == want
+        for r in cycles.cycle_of_each(df, parts).collect():
+            assert r.path[0] == r.path[-1] == min(r.path) and len(set(r.path)) == len(r.path) - 1
+            assert all((a, b) in links for a, b in zip(r.path, r.path[1:], strict=False)) and {want[x] for x in r.path} == {r.component}
+
+
+def test_places_in_a_hot_line(spark):
+    """Nine rows of ten in one line: places as by a window, and no range holds the line."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 > 0, "cold").alias("line"), (F.xxhash64("id") % 50).alias("v"))
+    got = ranking.numbered(df, ["line"], ["v", "id"])
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy("line").orderBy("v", "id")))
+    assert got.join(want, "id").where("place = want").count() == 20_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else ranges of a few rows are put together
+    try:
+        ranges = ranking.ordered(df, "line", "v", "id").where("line = 'hot'").groupBy(F.shiftright(ranking.SEQ, ranking.RANGE_BITS)).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) > 1 and max(r["count"] for r in ranges) < 14_000
 
 
 def test_hashes(spark):
@@ -287,6 +337,9 @@ def test_outbox_and_inbox(spark):
     assert got == {"a": ("published", 0, None), "b": ("pending", 4, 16.0), "c": ("failed", 12, None)}
     log = spark.createDataFrame([("w", "e", 1, "receive"), ("w", "e", 2, "retry"), ("w", "f", 1, "receive"), ("w", "f", 2, "ack")], "consumer_name string, event_id string, at int, action string")
     assert {r.event_id: (r.result, r.retries) for r in messaging.inbox_state(log).collect()} == {"e": (None, 1), "f": ("consumed", 0)}
+    acts = {"rar": ["receive", "ack", "receive"], "rat": ["receive", "ack", "retry"], "rtr": ["receive", "retry", "receive"], "a": ["ack"], "ar": ["ack", "receive"], "t": ["retry"]}
+    log = spark.createDataFrame([("w", k, i, a) for k, v in acts.items() for i, a in enumerate(v)], "consumer_name string, event_id string, at int, action string")
+    assert {r.event_id: r.result for r in messaging.inbox_state(log).collect()} == {"rar": "consumed", "rat": "consumed", "rtr": "processing", "a": None, "ar": "processing", "t": None}
     good, bad = messaging.parse_messages(spark.createDataFrame([('{"event_id":"1","event_type":"x"}',), ("junk",)], "value string"), schemas.ENVELOPE)
     assert good.count() == 1 and bad.count() == 1
 
@@ -373,6 +426,9 @@ def test_runtimes(spark):
     log = spark.createDataFrame([("a", t(0), "register"), ("a", t(50), "heartbeat"), ("b", t(0), "register"), ("b", t(9), "stop"), ("c", t(3), "heartbeat"), ("d", t(0), "register")], "runtime_id string, at timestamp, action string")
     got = {r.runtime_id: (r.status, r.alive) for r in scheduler.runtime_state(log, F.lit(t(100))).collect()}
     assert got == {"a": ("idle", True), "b": ("stopped", False), "d": ("idle", False)}
+    again = log.unionByName(spark.createDataFrame([("b", t(50), "heartbeat"), ("d", t(20), "stop"), ("d", t(30), "register"), ("d", t(35), "heartbeat")], log.schema))
+    got = {r.runtime_id: (r.status, r.last_heartbeat, r.lease_expires_at) for r in scheduler.runtime_state(again, F.lit(t(100))).collect()}
+    assert got == {"a": ("idle", t(50), t(110)), "b": ("stopped", t(0), t(9)), "d": ("idle", t(35), t(95))}
     runtimes = spark.createDataFrame([("a", "unloading", "x", 1), ("b", "unloading", "y", 1)], "runtime_id string, status string, current_execution_id string, current_attempt int")
     runs = spark.createDataFrame([("x", 1, "completed"), ("y", 1, "running")], "execution_id string, attempt int, status string")
     assert {r.runtime_id: (r.status, r.current_execution_id) for r in scheduler.finish_unload(runtimes, runs).collect()} == {"a": ("idle", None), "b": ("unloading", "y")}
@@ -457,3 +513,11 @@ def test_skill_files(spark):
     changes = [("user", "s", "scripts/a.sh", "patch", None, "two", "2", False, 1), ("user", "s", "scripts/b.sh", "remove_file", None, None, None, None, 1), ("user", "s", "assets/c", "write_file", "new", None, None, None, 1), ("user", "s", "assets/../c", "write_file", "out", None, None, None, 1), ("user", "s", "c", "write_file", "out", None, None, None, 1)]
     got = {r.path: r.content for r in skills.apply_file_changes(files, spark.createDataFrame(changes, change)).collect()}
     assert got == {"scripts/a.sh": "one 2", "assets/c": "new"}
+    more = [("user", "s", "assets/n", "patch", None, "b", "c", False, 3), ("user", "s", "assets/n", "write_file", "a b", None, None, None, 2), ("user", "s", "scripts/a.sh", "patch", None, "one", "1", False, 1), ("user", "s", "scripts/a.sh", "patch", None, "two", "2", False, 2)]
+    more += [("user", "s", "scripts/b.sh", "patch", None, "x", "y", False, 1), ("user", "s", "scripts/b.sh", "remove_file", None, None, None, None, 2), ("user", "s", "scripts/b.sh", "patch", None, "x", "y", False, 3)]
+    got = {r.path: r.content for r in skills.apply_file_changes(files, spark.createDataFrame(more, change)).collect()}
+    assert got == {"scripts/a.sh": "1 2", "assets/n": "a c"}
+    have = spark.createDataFrame([("project", "old", "one")], "source string, name string, content string")
+    acts = [("project", "new", "edit", "second", None, None, None, 2), ("project", "new", "create", "first", None, None, None, 1), ("project", "new", "patch", None, "second", "2nd", False, 3), ("project", "old", "create", "no", None, None, None, 1), ("project", "old", "patch", None, "one", "1", False, 2), ("project", "gone", "create", "x", None, None, None, 1), ("project", "gone", "delete", None, None, None, None, 2), ("project", "none", "edit", "x", None, None, None, 1)]
+    got = {r.name: r.content for r in skills.apply_changes(have, spark.createDataFrame(acts, "source string, name string, action string, content string, old string, new string, replace_all boolean, at int")).collect()}
+    assert got == {"new": "2nd", "old": "1"}

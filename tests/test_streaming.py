@@ -1,8 +1,12 @@
 """The streaming forms on files."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from tessella.streaming import pipelines
+from tessella.operators import messaging
+from tessella.streaming import inbox, pipelines
 
 
 def feed(spark, path, rows, schema):
@@ -61,3 +65,55 @@ def test_dispatch_keeps_what_is_not_over(spark, tmp_path):
     done = {r.event_id: (r.status, r.retry_count) for r in spark.read.parquet(f"{tmp_path}/state/done").collect()}
     assert done == {"ok": ("published", 0), "flaky": ("published", 1), "bad": ("failed", 12), "later": ("published", 0), "new1": ("published", 0), "new2": ("published", 0)}
     assert spark.read.schema(schema).parquet(f"{tmp_path}/state/pending/batch=2").count() == 0
+
+
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, inbox.PROVIDER)
+    yield
+    spark.conf.unset(name)
+
+
+LOG = "consumer_name string, event_id string, at timestamp, action string"
+
+
+def at(s):
+    d = __import__("datetime")
+    return d.datetime(2024, 1, 1) + d.timedelta(seconds=s)
+
+
+def last_changes(rows):
+    """The state after the last change of each key, in the order of the batches."""
+    out = {}
+    for r in rows:
+        out[r.consumer_name, r.event_id] = (r.result, r.retries)
+    return out
+
+
+def changes(stream):
+    got = []
+    q = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: got.extend(df.collect())).start()
+    q.processAllAvailable()
+    q.stop()
+    return got
+
+
+def test_inbox_as_state_equals_the_batch_fold(spark, tmp_path, rocksdb):
+    random.seed(6)
+    log = [(f"c{random.randrange(2)}", f"e{random.randrange(8)}", at(k), random.choice(["receive", "receive", "ack", "retry"])) for k in range(60)]
+    want = {(r.consumer_name, r.event_id): (r.result, r.retries) for r in messaging.inbox_state(spark.createDataFrame(log, LOG)).collect()}
+    random.shuffle(log)
+    for k in range(0, 60, 20):
+        stream = feed(spark, f"{tmp_path}/log", log[k : k + 20], LOG)
+    assert last_changes(changes(inbox.inbox_stream(stream))) == want
+
+
+def test_claims_run_out_and_memory_ends(spark, tmp_path, rocksdb):
+    path = f"{tmp_path}/log"
+    feed(spark, path, [("w", "slow", at(0), "receive"), ("w", "quick", at(0), "receive"), ("w", "quick", at(1), "ack")], LOG)
+    feed(spark, path, [("w", "other", at(500), "receive")], LOG)
+    stream = feed(spark, path, [("w", "other", at(501), "ack")], LOG)
+    got = changes(inbox.inbox_stream(stream, claim_seconds=60, remember_seconds=3600))
+    assert [(r.event_id, r.result, r.cause) for r in got if r.cause == "timeout"] == [("slow", None, "timeout")]
+    assert last_changes(got) == {("w", "slow"): (None, 0), ("w", "quick"): ("consumed", 0), ("w", "other"): ("consumed", 0)}
