@@ -39,6 +39,8 @@ TOP = 20
 BLOCK = 2048
 #: Rows that a task works on at a time, at least.
 CHUNK = 20_000
+#: Pairs of a task that are merged to lists before they move.
+COMBINE = 1_000_000
 
 GRAPH = "node long, half binary, nbrs array<long>, scores array<float>, fresh array<boolean>"
 STATE = "q long, vec array<double>, ids array<long>, scores array<double>, done array<boolean>"
@@ -184,6 +186,7 @@ def _merge(batches):
 
 def _local_join(batches):
     """Sorted (w, v, fresh, half, worst): compares the members v of each w, gives lists of what beats their worst."""
+    found, n = [], 0
     for table in whole_keys(batches):
         w, v = table.column(0).to_numpy(), table.column(1).to_numpy()
         _, group, size = np.unique(w, return_inverse=True, return_counts=True)
@@ -200,8 +203,13 @@ def _local_join(batches):
         top = np.argpartition(-s, k - 1, axis=2)[:, :, :k]
         best = np.take_along_axis(s, top, 2)
         g, i, j = np.nonzero(best > -np.inf)
-        if len(g):
-            yield _emit(_best(ids[g, i], ids[g, top[g, i, j]], best[g, i, j], NEIGHBOURS))
+        found.append((ids[g, i], ids[g, top[g, i, j]], best[g, i, j]))
+        n += len(g)
+        if n >= COMBINE:
+            yield _emit(_best(*map(np.concatenate, zip(*found, strict=True)), NEIGHBOURS))
+            found, n = [], 0
+    if n:
+        yield _emit(_best(*map(np.concatenate, zip(*found, strict=True)), NEIGHBOURS))
 
 
 def _merged(rows: DataFrame) -> DataFrame:
