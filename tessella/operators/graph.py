@@ -21,10 +21,11 @@ EXTENSIONS = {".py": "python", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp"
 
 
 def resolve_target(nodes: DataFrame, target: str) -> tuple[str | None, str | None, list[str]]:
-    """(qualified name, error, candidates): the exact qualified name, else the only node of that name."""
+    """(qualified name, error, candidates): the exact qualified name, else the only node of that name; all candidates of an
+    ambiguous one."""
     if nodes.where(F.col("qualified_name") == target).limit(1).count():
         return target, None, []
-    names = [r[0] for r in nodes.where(F.col("name") == target).select("qualified_name").orderBy("qualified_name").limit(101).collect()]
+    names = [r[0] for r in nodes.where(F.col("name") == target).select("qualified_name").orderBy("qualified_name").collect()]
     if len(names) == 1:
         return names[0], None, []
     return None, "ambiguous_target" if names else "target_not_found", names

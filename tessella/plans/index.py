@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessella import schemas
 from tessella.functions.hashing import cache_key
@@ -14,10 +16,13 @@ from tessella.functions.text import embedding_text
 from tessella.functions.values import valid_vector
 from tessella.operators.graph import resolve_edges, resolve_imports
 from tessella.sources.files import symbols
+from tessella.storage import discard, materialize
 
 EMBED_BATCH = 20
 #: The mark of a version that is whole.
 COMMITTED = "_COMMITTED"
+#: Tables that lie in buckets of files, and how many.
+BUCKETED, BUCKETS = ("nodes", "edges"), 32
 
 
 def diff(stored: DataFrame, current: DataFrame) -> DataFrame:
@@ -31,8 +36,36 @@ def refresh_mode(initial: bool, changed: int, deleted: int) -> str:
     return "full" if initial else "incremental" if changed or deleted else "unchanged"
 
 
-def read(spark: SparkSession, root: str, version: int, table: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/v{version}/{table}")
+def _lines(spark: SparkSession, path: str) -> dict | None:
+    at, fs = _folder(spark, path)
+    return json.loads(spark.read.text(path, wholetext=True).first().value) if fs.exists(at) else None
+
+
+def bucket_of(file_path: Column) -> Column:
+    return F.pmod(F.crc32(F.encode(file_path, "UTF-8")), F.lit(BUCKETS)).cast("int")
+
+
+def manifest(spark: SparkSession, root: str, version: int) -> dict:
+    """What a version is made of: for nodes and edges the segment of each bucket, and the head that its snapshot belongs to."""
+    return _lines(spark, f"{root}/v{version}/manifest") or {"nodes": {}, "edges": {}, "head": None}
+
+
+def read(spark: SparkSession, root: str, version: int, table: str, buckets: Sequence[int] | None = None) -> DataFrame:
+    """A table of a version; of nodes and edges, some buckets of files if only those are wanted."""
+    if table not in BUCKETED:
+        return spark.read.parquet(f"{root}/v{version}/{table}")
+    found = manifest(spark, root, version)
+    paths = [f"{root}/{table}/{segment}/bucket={b}" for b, segment in found[table].items() if buckets is None or int(b) in buckets]
+    schema = StructType.fromJson(found["schemas"][table])
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _write_buckets(rows: DataFrame, root: str, table: str, segment: str) -> list[int]:
+    """Writes rows (which have file_path) as one segment, a folder for each bucket; gives the buckets that have rows."""
+    spark = rows.sparkSession
+    rows.withColumn("bucket", bucket_of(F.col("file_path"))).repartition("bucket", F.pmod(F.xxhash64("file_path"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{table}/{segment}")
+    path, fs = _folder(spark, f"{root}/{table}/{segment}")
+    return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if "=" in s.getPath().getName())
 
 
 def _folder(spark: SparkSession, path: str):
@@ -40,12 +73,12 @@ def _folder(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write(root: str, version: int, **tables: DataFrame) -> None:
+def write(spark: SparkSession, root: str, version: int, found: dict, **tables: DataFrame) -> None:
     """A new version beside the old ones: readers of the old see no change. The mark COMMITTED comes last; a version without
     it is not there (latest_version()), and the next run writes it again."""
     for name, df in tables.items():
-        spark = df.sparkSession
         df.write.mode("overwrite").parquet(f"{root}/v{version}/{name}")
+    spark.createDataFrame([(json.dumps(found),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/v{version}/manifest")
     path, fs = _folder(spark, f"{root}/v{version}/{COMMITTED}")
     fs.create(path, True).close()
 
@@ -67,43 +100,90 @@ def link(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
     return named.where("kind <> 'IMPORTS' or target_qualified is not null").unionByName(resolve_imports(imports, files).select(*named.columns))
 
 
-def refresh(spark: SparkSession, root: str, classified: DataFrame, version: int | None) -> dict:
+def relink(old_edges: DataFrame, new_edges: DataFrame, old_nodes: DataFrame, nodes: DataFrame, files: DataFrame, touched: DataFrame, moved: bool) -> DataFrame:
+    """Edges after a change of files, with changed: true where the target is another one or the file was touched.
+
+    old_edges and old_nodes are those before, nodes those after, touched (file_path) the files whose nodes and edges were
+    made anew (new_edges). A target can only change for a name that gained or lost a node, and for imports if files came or
+    went (moved); only those edges are linked, the others keep their targets.
+    """
+    mark = ["qualified_name", "name", "file_path", "parent_qualified"]
+    before = old_nodes.join(touched, "file_path", "left_semi").select(*mark).distinct()
+    after = nodes.join(touched, "file_path", "left_semi").select(*mark).distinct()
+    delta = materialize(before.exceptAll(after).unionAll(after.exceptAll(before)), "delta")
+    affected = delta.select(F.col("name").alias("target_name")).union(delta.select(F.col("qualified_name").alias("target_name"))).distinct().withColumn("__hit", F.lit(True))
+    affected = materialize(affected, "names")
+    kept = old_edges.join(touched, "file_path", "left_anti").join(affected, "target_name", "left")
+    again = F.coalesce("__hit", F.lit(False)) | (F.lit(moved) & (F.col("kind") == "IMPORTS"))
+    kept = materialize(kept.withColumn("__again", again).withColumn("__was", F.col("target_qualified")).drop("__hit"), "kept")
+    fresh = new_edges.select(*[c for c in old_edges.columns if c != "target_qualified"]).withColumns({"__again": F.lit(True), "__was": F.lit(None).cast("string"), "__new": F.lit(True)})
+    open_ = kept.where("__again").drop("target_qualified").withColumn("__new", F.lit(False)).unionByName(fresh)
+    linked = link(nodes, open_, files).withColumn("changed", F.col("__new") | ~F.col("target_qualified").eqNullSafe(F.col("__was")))
+    whole = linked.select(*old_edges.columns, "changed").unionByName(kept.where("not __again").select(*old_edges.columns, F.lit(False).alias("changed")))
+    out = materialize(whole, "relinked")
+    discard(delta, affected, kept)
+    return out
+
+
+def refresh(spark: SparkSession, root: str, classified: DataFrame, version: int | None, head: str | None = None) -> dict:
     """Brings the index at root from version (None: none yet) to the next; only files whose content changed are parsed.
 
-    Nodes of changed and deleted files, and the edges that pointed at them, are kept in a snapshot for impact queries.
+    Nodes and edges lie in buckets of files. A refresh links the edges whose targets can have changed (relink()) and writes
+    the buckets of changed files and of edges with another target; all other buckets are those of the version before.
+    Nodes of changed and deleted files, and the edges that pointed at them, are kept in a snapshot for impact queries, which
+    begins anew when head (the commit that the tree is on) is another than before.
     """
     use = classified.where(F.col("language").isNotNull() & F.col("skip").isNull()).persist()
     current = use.select("path", "language", "size", "mtime_ns", "content_hash")
     skipped = classified.where(F.col("skip").isNotNull()).count()
     if version is None:
         nodes, edges = symbols(use)
-        nodes = nodes.persist()
-        write(root, 1, files=current, nodes=nodes, edges=link(nodes, edges, current), old_nodes=nodes.limit(0), old_edges=link(nodes, edges, current).limit(0))
+        nodes = materialize(nodes, "nodes")
+        linked = materialize(link(nodes, edges, current), "edges")
+        shape = {"nodes": nodes.schema.jsonValue(), "edges": linked.schema.jsonValue()}
+        found = {"nodes": {str(b): "s1" for b in _write_buckets(nodes, root, "nodes", "s1")}, "edges": {str(b): "s1" for b in _write_buckets(linked, root, "edges", "s1")}, "head": head, "schemas": shape}
+        write(spark, root, 1, found, files=current, old_nodes=nodes.limit(0), old_edges=linked.limit(0))
         done = {"mode": "full", "version": 1, "updated_files": current.count(), "deleted_files": 0, "skipped_files": skipped}
-        nodes.unpersist()
+        discard(nodes, linked)
         use.unpersist()
         return done
     states = diff(read(spark, root, version, "files"), current).persist()
     counts = {r.state: r["count"] for r in states.groupBy("state").count().collect()}
     changed, deleted = counts.get("added", 0) + counts.get("changed", 0), counts.get("deleted", 0)
     mode = refresh_mode(False, changed, deleted)
-    if mode == "unchanged":
+    found = manifest(spark, root, version)
+    same_head = head == found["head"]
+    if mode == "unchanged" and same_head:
         states.unpersist()
         use.unpersist()
         return {"mode": mode, "version": version, "updated_files": 0, "deleted_files": 0, "skipped_files": skipped}
+    new = version + 1
     touched = states.where("state <> 'unchanged'").select(F.col("path").alias("file_path"))
     old_nodes, old_edges = read(spark, root, version, "nodes"), read(spark, root, version, "edges")
     new_nodes, new_edges = symbols(use.join(touched.select(F.col("file_path").alias("path")), "path", "left_semi"))
-    nodes = old_nodes.join(touched, "file_path", "left_anti").unionByName(new_nodes).persist()
-    edges = old_edges.join(touched, "file_path", "left_anti").drop("target_qualified").unionByName(new_edges)
+    new_nodes = materialize(new_nodes.select(*old_nodes.columns), "new_nodes")
+    nodes = old_nodes.join(touched, "file_path", "left_anti").unionByName(new_nodes)
+    edges = relink(old_edges, new_edges, old_nodes, nodes, current, touched, bool(counts.get("added", 0) or deleted))
+    # BUCKETS numbers at most.
+    of_nodes = sorted(r[0] for r in touched.select(bucket_of(F.col("file_path"))).distinct().collect())
+    of_edges = sorted({r[0] for r in edges.where("changed").select(bucket_of(F.col("file_path"))).distinct().collect()} | set(of_nodes))
+    rows = {
+        "nodes": (read(spark, root, version, "nodes", of_nodes).join(touched, "file_path", "left_anti").unionByName(new_nodes), of_nodes),
+        "edges": (edges.drop("changed").where(bucket_of(F.col("file_path")).isin(of_edges)), of_edges),
+    }
+    after = dict(found, head=head)
+    for table, (some, buckets) in rows.items():
+        have = _write_buckets(some, root, table, f"s{new}")
+        after[table] = {b: s for b, s in found[table].items() if int(b) not in buckets} | {str(b): f"s{new}" for b in have}
     gone = old_nodes.join(touched, "file_path", "left_semi")
-    incoming = old_edges.join(gone.select(F.col("qualified_name").alias("target_qualified")), "target_qualified", "left_semi")
-    kept_nodes = read(spark, root, version, "old_nodes").unionByName(gone).dropDuplicates(["qualified_name"])
-    kept_edges = read(spark, root, version, "old_edges").unionByName(incoming.select(*old_edges.columns)).dropDuplicates(["source_qualified", "target_qualified", "kind", "line"])
-    write(root, version + 1, files=current, nodes=nodes, edges=link(nodes, edges, current), old_nodes=kept_nodes, old_edges=kept_edges)
-    for kept in (nodes, states, use):
+    incoming = old_edges.join(gone.select(F.col("qualified_name").alias("target_qualified")), "target_qualified", "left_semi").select(*old_edges.columns)
+    if same_head:
+        gone, incoming = read(spark, root, version, "old_nodes").unionByName(gone), read(spark, root, version, "old_edges").unionByName(incoming)
+    write(spark, root, new, after, files=current, old_nodes=gone.dropDuplicates(["qualified_name"]), old_edges=incoming.dropDuplicates(["source_qualified", "target_qualified", "kind", "line"]))
+    discard(new_nodes, edges)
+    for kept in (states, use):
         kept.unpersist()
-    return {"mode": mode, "version": version + 1, "updated_files": changed, "deleted_files": deleted, "skipped_files": skipped}
+    return {"mode": mode, "version": new, "updated_files": changed, "deleted_files": deleted, "skipped_files": skipped, "written": {t: len(b) for t, (_, b) in rows.items()}}
 
 
 def cache_misses(wanted: DataFrame, cached: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def code_graph(spark: SparkSession, root: str, version: int, request: dict, proj
             return _failed(action, "invalid_changed_files", str(e))
         seeds = graph.changed_nodes(nodes, table("old_nodes"), git.as_table(spark, paths))
         hit = graph.impact(nodes, table("edges"), seeds, limit, table("old_edges"))
-        names = seeds.orderBy("qualified_name").select("qualified_name", "file_path", "deleted").limit(search.MOST_RESULTS)
+        names = seeds.orderBy("qualified_name").select("qualified_name", "file_path", "deleted")
         return _done(action, hit.drop("path"), changed_files=paths, changed_nodes=[r.asDict() for r in names.collect()])
     try:
         context = git.inside(project, request.get("context_files") or [])

@@ -135,6 +135,39 @@ def test_index_refresh(spark, tmp_path):
     assert "app.py::main" in names(hit)  # it called what is gone
 
 
+def everything(spark, root, version):
+    return {t: sorted(map(repr, index.read(spark, root, version, t).collect())) for t in ("files", "nodes", "edges")}
+
+
+def test_refresh_writes_what_changed(spark, tmp_path):
+    """After each change the index is that of a build from nothing; untouched buckets are those of the version before."""
+    many = {f"m{i}.py": f"from m{(i + 1) % 40} import f{(i + 1) % 40}\n\ndef f{i}():\n    return f{(i + 1) % 40}() + shared()\n".encode() for i in range(40)}
+    steps = [many, many | {"lib.py": b"def shared():\n    return 1\n"}, many | {"lib.py": b"def shared():\n    return 2\n"}]
+    steps += [{k: v for k, v in steps[2].items() if k != "m7.py"}, steps[2] | {"m7.py": b"def f7():\n    pass\n", "two.py": b"def shared():\n    pass\n"}]
+    root, version, written = f"{tmp_path}/index", None, []
+    for k, step in enumerate(steps):
+        got = index.refresh(spark, root, tree(spark, step), version, head="h")
+        version = got["version"]
+        index.refresh(spark, f"{tmp_path}/whole{k}", tree(spark, step), None, head="h")
+        assert everything(spark, root, version) == everything(spark, f"{tmp_path}/whole{k}", 1)
+        written.append(got.get("written"))
+        if k:
+            before, after = index.manifest(spark, root, version - 1), index.manifest(spark, root, version)
+            for t in index.BUCKETED:
+                assert sum(before[t].get(b) != s for b, s in after[t].items()) <= got["written"][t]
+    assert written[1]["nodes"] == 1 and written[1]["edges"] > 15  # all calls of shared() have a target now
+    assert written[2] == {"nodes": 1, "edges": 1}  # another body changes no target
+    assert written[3]["nodes"] == 1 and written[3]["edges"] <= 3  # m6.py called what is gone
+
+    # The snapshot goes on while the head is the same and begins anew with another, without any change of files too.
+    assert index.read(spark, root, version, "old_nodes").where("file_path = 'lib.py'").count() > 0
+    assert index.refresh(spark, root, tree(spark, steps[-1]), version, head="h")["mode"] == "unchanged"
+    moved = index.refresh(spark, root, tree(spark, steps[-1]), version, head="other")
+    assert moved["version"] == version + 1 and moved["written"] == {"nodes": 0, "edges": 0}
+    assert index.read(spark, root, version + 1, "old_nodes").count() == index.read(spark, root, version + 1, "old_edges").count() == 0
+    assert everything(spark, root, version + 1) == everything(spark, root, version)
+
+
 def test_embedding_cache(spark, code):
     _, nodes, _, use = code
     calls = []
