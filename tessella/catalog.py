@@ -736,20 +736,48 @@ def file_languages(spark, sf_dir):
     return star.table(spark, sf_dir, "pages").select("page_id", source_files.language(F.col("url")).alias("language"))
 
 
-@query()
+def _code(spark, sf_dir):
+    """A source file for each document: a function that calls the one of the document of half its id."""
+    d = star.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src/"), "lang", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"))
+    body = F.format_string("def d%d():\n    return d%d()\n", F.col("doc_id"), F.floor(F.col("doc_id") / 2))
+    return d.select("doc_id", "path", F.encode(body, "UTF-8").alias("content"), F.lit(1).cast("long").alias("mtime_ns"))
+
+
+_CODE = "code AS (SELECT doc_id, 'src/' || lang || '/d' || doc_id || '.py' AS path, 'src/' || lang || '/d' || doc_id || '.py::d' || doc_id AS name FROM documents)"
+
+
+@query(f"WITH {_CODE} SELECT 'file' AS kind, path AS source, '' AS target FROM code UNION ALL SELECT 'function', name, path FROM code UNION ALL SELECT 'CONTAINS', path, name FROM code UNION ALL SELECT 'CALLS', name, 'd' || (doc_id // 2) FROM code")
 def code_symbols(spark, sf_dir):
-    """Symbols and edges of a small Python and C tree."""
-    rows = [("pkg/core.py", b"class A:\n    def f(self):\n        return g()\n\ndef g():\n    return 1\n"), ("tests/test_core.py", b"from pkg.core import g\n\ndef test_g():\n    assert g() == 1\n"), ("src/a.c", b'#include "b.h"\nint twice(int x) { return add(x, x); }\n')]
-    nodes, edges = source_files.symbols(source_files.classify(spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")))
+    """Symbols and edges of a source file for each document."""
+    nodes, edges = source_files.symbols(source_files.classify(_code(spark, sf_dir).drop("doc_id")))
     out = nodes.select("kind", F.col("qualified_name").alias("source"), F.col("parent_qualified").alias("target"))
     return out.unionByName(edges.select("kind", F.col("source_qualified").alias("source"), F.col("target_name").alias("target")))
 
 
-@query()
+@query(f"WITH {_CODE} SELECT 'CONTAINS' AS kind, path AS source, name AS target FROM code UNION ALL SELECT 'CALLS', a.name, b.name FROM code a LEFT JOIN code b ON b.doc_id = a.doc_id // 2")
+def index_refreshed(spark, sf_dir):
+    """Edges with their targets after a refresh: one file in fifty had another function before, one in sixty was not there."""
+    code, root = _code(spark, sf_dir), storage.new_path(spark, "index")
+    before = code.where(F.pmod("doc_id", F.lit(60)) != 5).withColumn("content", F.when(F.pmod("doc_id", F.lit(50)) == 3, F.encode(F.lit("def old():\n    return d1()\n"), "UTF-8")).otherwise(F.col("content")))
+    index.refresh(spark, root, source_files.classify(before.drop("doc_id")), None)
+    done = index.refresh(spark, root, source_files.classify(code.drop("doc_id")), 1)
+    return index.read(spark, root, done["version"], "edges").select("kind", F.col("source_qualified").alias("source"), F.col("target_qualified").alias("target"))
+
+
+@query(
+    """SELECT n_name, CASE WHEN n_nationkey % 4 IN (0, 3) THEN n_name END AS plan_summary,
+CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'missing field plan_summary' WHEN 2 THEN 'not a JSON object' ELSE 'duplicate task id n' || n_nationkey END AS errors FROM nation"""
+)
 def dag_replies(spark, sf_dir):
-    """Replies of a planner, parsed and checked."""
-    replies = [('```json\n{"plan_summary": "p", "tasks": [{"id": "a", "subject": "s", "description": "d", "blockedBy": []}]}\n```',), ('{"tasks": []}',), ("no json",)]
-    return source_records.parse_dags(spark.createDataFrame(replies, "reply string")).select(F.col("dag.plan_summary").alias("plan_summary"), F.array_join("errors", "; ").alias("errors"))
+    """Replies of a planner about the nations, parsed and checked: fenced, without a summary, without JSON, with a task twice."""
+    n = star.table(spark, sf_dir, "nation")
+    task = lambda blocked: F.struct(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("subject"), F.col("n_comment").alias("description") if "n_comment" in n.columns else F.lit("d").alias("description"), blocked.alias("blockedBy"))
+    one, none = task(F.array(F.lit("x"))), task(F.array().cast("array<string>"))
+    plan = lambda *tasks: F.to_json(F.struct(F.col("n_name").alias("plan_summary"), F.array(*tasks).alias("tasks")))
+    kind = F.col("n_nationkey") % 4
+    reply = F.when(kind == 0, F.concat(F.lit("```json\n"), plan(none), F.lit("\n```"))).when(kind == 1, F.lit('{"tasks": []}')).when(kind == 2, F.lit("no json")).otherwise(plan(one, none))
+    rows = source_records.parse_dags(n.select("n_name", reply.alias("reply")))
+    return rows.select("n_name", F.col("dag.plan_summary").alias("plan_summary"), F.array_join("errors", "; ").alias("errors"))
 
 
 # --- two-step search, impact of removed edges, imports ---

@@ -17,7 +17,7 @@ def some(i, n):
     return (f"k{i:04d}", random.choice([None, "alpha beta", "Gamma", "beta"]), None if i % 31 == 0 else " ".join(random.choices(WORDS, range(1, 11), k=n)), "x", 1)
 
 
-def check(spark, root, rows, queries=("alpha", "kappa beta", "alpha_beta", "gamma gamma", "beta alpha_beta", "epsilon", "none", "")):
+def check(spark, root, rows, queries=("kappa beta", "gamma gamma", "beta alpha_beta", "epsilon", "none")):
     index = fulltext.Index(spark, root)
     for q in queries:
         want = {r.name: round(r.bm25, 9) for r in search.bm25_scores(rows, ["title", "text"], q).collect()}
@@ -59,7 +59,7 @@ def test_build_update_merge(spark, tmp_path, small_cells):
     assert set(many) == {f[0] for f in after["folders"][len(now["folders"]) :]}
     merged = fulltext.manifest(spark, root)
     assert [f for f in merged["folders"] if f[0] not in many] == [f for f in now["folders"] if f[0] not in many]
-    check(spark, root, spark.createDataFrame(current, SCHEMA))
+    check(spark, root, spark.createDataFrame(current, SCHEMA), ("kappa beta", "zeta_zeta alpha"))
     assert fulltext.merge(spark, root, 1) == []
 
     # A document that changes after the merge takes its postings out of merged buckets too, and may come back.
