@@ -15,6 +15,7 @@ from tessella.functions.hashing import cache_key
 from tessella.functions.text import embedding_text
 from tessella.functions.values import valid_vector
 from tessella.operators.graph import resolve_edges, resolve_imports
+from tessella.operators.ranking import numbered
 from tessella.sources.files import symbols
 from tessella.storage import discard, materialize
 
@@ -228,6 +229,61 @@ def refresh_embeddings(nodes: DataFrame, files: DataFrame, cached: DataFrame, em
     return hits.select(*columns).unionByName(new.select(*columns))
 
 
+LEDGER = "identity string, qualified_name string, text_hash string, vector array<float>, error string, wave int"
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(identity, qualified_name, text_hash, vector) that runs have committed below path; the last write of a key wins."""
+    at, fs = _folder(spark, path)
+    if not fs.exists(at):
+        return spark.createDataFrame([], LEDGER).drop("error", "wave")
+    rows = spark.read.schema(LEDGER).parquet(path).where("error is null")
+    return rows.groupBy("identity", "qualified_name", "text_hash").agg(F.max_by("vector", "wave").alias("vector"))
+
+
+def embed_with_ledger(spark: SparkSession, path: str, nodes: DataFrame, files: DataFrame, embed: Callable[[list[str]], Sequence[Sequence[float]]], dimension: int, identity: str, wave_batches: int = 500) -> DataFrame:
+    """The current embeddings of one provider (as ledger()); what a run has done is kept if it fails half-way.
+
+    Texts that the ledger lacks are numbered by hash in batches of EMBED_BATCH; a wave of at most wave_batches batches is a
+    job that commits as a whole. A batch whose embedder fails, or gives vectors that are not valid, ends the work of its
+    task with an error row; the wave is committed with all batches that are done, then the run stops with the error. The
+    next run begins with what is missing.
+    """
+    wanted = embedding_inputs(nodes, files)
+
+    def run(tables):
+        import pandas as pd
+
+        rows, stopped = pd.concat([t for t in tables] or [pd.DataFrame({"batch": [], "qualified_name": [], "text": [], "text_hash": []})]), None
+        for _, pdf in rows.groupby("batch", sort=True):
+            vectors: list = [None] * len(pdf)
+            if stopped is None:
+                try:
+                    got = [[float(x) for x in v] for v in embed(pdf["text"].tolist())]
+                    if len(got) != len(pdf) or any(len(v) != dimension or not all(map(math.isfinite, v)) for v in got):
+                        raise ValueError("another number of vectors, or vectors of another length or not finite")
+                    vectors = got
+                except Exception as e:  # what the embedder raises is reported when the wave is committed
+                    stopped = f"{type(e).__name__}: {e}"[:500]
+            yield pd.DataFrame({"identity": identity, "qualified_name": pdf["qualified_name"], "text_hash": pdf["text_hash"], "vector": vectors, "error": stopped})
+
+    wave = (spark.read.schema(LEDGER).parquet(path).agg(F.max("wave")).first()[0] or 0) if _folder(spark, path)[1].exists(_folder(spark, path)[0]) else 0
+    while True:
+        have = ledger(spark, path).where(F.col("identity") == identity)
+        missing = wanted.join(have.select("qualified_name", "text_hash"), ["qualified_name", "text_hash"], "left_anti")
+        placed = numbered(missing, [], ["text_hash", "qualified_name"]).withColumn("batch", F.floor((F.col("place") - 1) / EMBED_BATCH))
+        now = materialize(placed.where(F.col("batch") < wave_batches).select("batch", "qualified_name", "text", "text_hash"), "wave")
+        if now.isEmpty():
+            return have.join(wanted.select("qualified_name", "text_hash"), ["qualified_name", "text_hash"], "left_semi").select("identity", "qualified_name", "text_hash", "vector")
+        wave += 1
+        out = now.repartition("batch").sortWithinPartitions("batch").mapInPandas(run, "identity string, qualified_name string, text_hash string, vector array<float>, error string")
+        out.withColumn("wave", F.lit(wave)).write.mode("append").parquet(path)
+        discard(now)
+        failed = spark.read.schema(LEDGER).parquet(path).where((F.col("wave") == wave) & F.col("error").isNotNull()).select("error").first()
+        if failed:
+            raise RuntimeError(f"embeddings stopped: {failed.error}")
+
+
 def vectors_of(embeddings: DataFrame, nodes: DataFrame, identity: str, kind: str | None = None) -> DataFrame:
     """Nodes (of a kind) with their vectors of one provider, for semantic search."""
     mine = embeddings.where(F.col("provider_identity") == identity).select("qualified_name", "vector", "dimension")

@@ -168,6 +168,35 @@ def test_refresh_writes_what_changed(spark, tmp_path):
     assert everything(spark, root, version + 1) == everything(spark, root, version)
 
 
+def test_embeddings_resume(spark, tmp_path):
+    """An embedder that fails at its third batch of five: two are kept, the next run asks for the others only."""
+    src = {f"s{i}.py": f"def f{i}():\n    pass\n".encode() for i in range(45)}
+    use = tree(spark, src)
+    nodes, _ = files.symbols(use)
+    current, log, broken = use.select("path", "language", "content_hash"), f"{tmp_path}/calls", f"{tmp_path}/broken"
+    open(broken, "w").close()
+
+    def embed(texts):
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"{len(texts)}\n")
+        if os.path.exists(broken) and len(open(log).readlines()) == 3:
+            raise OSError("service is down")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    call = lambda: index.embed_with_ledger(spark, f"{tmp_path}/ledger", nodes, current, embed, 2, "i", wave_batches=1)
+    with pytest.raises(RuntimeError, match="service is down"):
+        call()
+    assert open(log).read().split() == ["20", "20", "20"] and index.ledger(spark, f"{tmp_path}/ledger").count() == 40
+    __import__("os").remove(broken)
+    got = call()
+    assert open(log).read().split() == ["20"] * 5 + ["10"] and got.count() == 90
+    want = {r.qualified_name: float(len(r.text)) for r in index.embedding_inputs(nodes, current).collect()}
+    assert {r.qualified_name: r.vector[0] for r in got.collect()} == want
+    assert call().count() == 90 and len(open(log).read().split()) == 6  # nothing is asked again
+
+
 def test_embedding_cache(spark, code):
     _, nodes, _, use = code
     calls = []
