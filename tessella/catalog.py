@@ -1072,3 +1072,38 @@ def skill_changes(spark, sf_dir):
         change(1, "create", F.concat(F.lit("new "), "source")), change(2, "patch", old="new", new="renewed"), change(3, "delete", where="doc_id % 4 = 0"),
     ]
     return skills.apply_changes(base, reduce(DataFrame.unionByName, changes)).select("name", F.sha2("content", 256).alias("content"))
+
+
+@query(
+    f"""WITH RECURSIVE {_CARDS}, a AS (SELECT * FROM cards WHERE status = 'active'), k AS (SELECT task_type, max(agent_card_id) AS c, max(version) AS v FROM a GROUP BY 1 HAVING count(*) = 1),
+t AS (SELECT o_orderkey AS key, 'task-' || o_orderkey AS id, 'type-' || (o_orderkey % 7) AS task_type, o_orderkey % 3 AS work_shard, o_orderdate, o_orderkey % 10 = 0 AS again, 'card-' || (o_custkey % 50) AS p FROM orders WHERE o_orderstatus = 'O'),
+named AS (SELECT t.*, CASE WHEN again THEN CASE WHEN key % 20 = 0 THEN a.agent_card_id END WHEN key % 4 < 3 THEN a.agent_card_id ELSE k.c END AS card, CASE WHEN again THEN CASE WHEN key % 20 = 0 THEN a.version END WHEN key % 4 < 3 THEN a.version ELSE k.v END AS version
+  FROM t LEFT JOIN a ON a.agent_card_id = p AND a.version = 'v1' LEFT JOIN k ON k.task_type = t.task_type),
+line AS (SELECT task_type, work_shard, list(id ORDER BY o_orderdate, id) AS ids, list(card ORDER BY o_orderdate, id) AS cards, list(version ORDER BY o_orderdate, id) AS versions, list(again ORDER BY o_orderdate, id) AS agains FROM named GROUP BY ALL),
+idle AS (SELECT 'type-' || (c_custkey % 7) AS task_type, c_custkey % 3 AS work_shard, list('runtime-' || c_custkey ORDER BY 'runtime-' || c_custkey) AS r FROM customer WHERE c_custkey % 5 = 0 GROUP BY ALL),
+walk AS (SELECT task_type, work_shard, r, 0::BIGINT AS off FROM idle
+  UNION ALL SELECT w.task_type, w.work_shard, list_filter(r, lambda x, i: off + i <= len(cards) AND cards[off + i] IS NULL), off + len(r) FROM walk w JOIN line USING (task_type, work_shard) WHERE len(r) > 0),
+met AS (SELECT task_type, work_shard, off, r, unnest(range(1, len(r) + 1)) AS i FROM walk)
+SELECT ids[off + i] AS id, CASE WHEN cards[off + i] IS NOT NULL THEN r[i] END AS runtime_id, CASE WHEN cards[off + i] IS NULL THEN 'failed' ELSE 'claimed' END AS status, cards[off + i] AS agent_card_id, versions[off + i] AS version,
+  CASE WHEN cards[off + i] IS NOT NULL THEN CASE WHEN agains[off + i] THEN 3 ELSE 1 END END::BIGINT AS attempt, CASE WHEN cards[off + i] IS NULL THEN 0 ELSE 2 END::BIGINT AS events
+FROM met JOIN line USING (task_type, work_shard) WHERE off + i <= len(ids)"""
+)
+def claims_with_cards(spark, sf_dir):
+    """Open orders as tasks, three of four with a pinned card, every tenth at its third attempt (half of these with a card that
+    has changed); customers as runtimes. What is claimed, with which card, and what fails for lack of one."""
+    o, c = star.table(spark, sf_dir, "orders").where("o_orderstatus = 'O'"), star.table(spark, sf_dir, "customer").where("c_custkey % 5 = 0")
+    text = lambda x, col: F.concat(F.lit(x), col.cast("string"))
+    again, card = F.col("o_orderkey") % 10 == 0, F.pmod("o_custkey", F.lit(50))
+    tasks = o.select(
+        text("task-", F.col("o_orderkey")).alias("id"), F.lit("t").alias("thread_id"), text("type-", F.col("o_orderkey") % 7).alias("task_type"), (F.col("o_orderkey") % 3).cast("int").alias("work_shard"), F.lit("pending").alias("status"),
+        F.lit(0).alias("blocked_by_count"), F.lit(None).cast("string").alias("metadata"), F.col("o_orderdate").alias("updated_at"), F.when(again, text("x", F.col("o_orderkey"))).alias("current_execution_id"), F.when(again, 2).alias("current_attempt"),
+        F.when((F.col("o_orderkey") % 4 < 3) & ~again, F.concat(text('{"agent_card_id": "card-', card), F.lit('", "version": "v1"}'))).alias("card_selector"),
+    )
+    part = lambda x, k: text(x, F.pmod(card, F.lit(k)))
+    runs = o.where(again).select(text("x", F.col("o_orderkey")).alias("execution_id"), F.lit(2).alias("attempt"), text("card-", card).alias("agent_card_id"), F.lit("v1").alias("agent_card_version"), F.when(F.col("o_orderkey") % 20 == 0, part("d", 5)).otherwise("old").alias("agent_card_digest"), part("h", 3).alias("agent_card_config_hash"))
+    runtimes = c.select(text("runtime-", F.col("c_custkey")).alias("runtime_id"), F.lit("idle").alias("status"), F.lit("t").alias("thread_id"), text("type-", F.col("c_custkey") % 7).alias("task_type"), (F.col("c_custkey") % 3).cast("int").alias("work_shard"))
+    got = scheduler.claim_with_cards(tasks, runtimes, _cards(spark, sf_dir), runs, star.as_of())
+    events = got["events"].groupBy(F.col("task_id").alias("id")).agg(F.count(F.lit(1)).alias("events"))
+    won = got["executions"].select(F.col("task_id").alias("id"), "runtime_id", "status", "agent_card_id", F.col("agent_card_version").alias("version"), *_long("attempt"))
+    lost = got["failed"].select("id", "status", *[F.lit(None).cast(k).alias(n) for n, k in (("runtime_id", "string"), ("agent_card_id", "string"), ("version", "string"), ("attempt", "long"))])
+    return won.unionByName(lost).join(events, "id", "left").withColumn("events", F.coalesce("events", F.lit(0).cast("long")))

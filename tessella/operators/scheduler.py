@@ -5,13 +5,15 @@ State is the fold of an append-only log; every transition is fenced by (task, ex
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.hashing import work_shard
 from tessella.functions.values import after_seconds, json_merge
 from tessella.operators.ranking import numbered
-from tessella.storage import materialize
+from tessella.storage import discard, materialize
 
 LEASE_SECONDS, MOST_ATTEMPTS, DEFAULT_PRIORITY = 60, 2, 5
 ACTIVE = ("claimed", "running")
@@ -238,6 +240,54 @@ def frozen_cards(executions: DataFrame, cards: DataFrame) -> DataFrame:
     return executions.join(c, ["agent_card_id", "agent_card_version"], "left").withColumn("intact", F.coalesce(same, F.lit(False))).drop("c_digest", "c_hash", "c_status")
 
 
+def claim_with_cards(tasks: DataFrame, runtimes: DataFrame, cards: DataFrame, executions: DataFrame, as_of: Column, lease: int = LEASE_SECONDS) -> dict[str, DataFrame]:
+    """What idle runtimes claim until none of them finds a task any more: executions, failed tasks, runtimes and events.
+
+    A runtime takes the next task of its line. The first attempt of a task gets its card (resolve_cards()), a further one the
+    card that its last attempt has frozen, if that is intact (frozen_cards()). A task without a card fails, and its runtime
+    goes on to the next one. All lines are worked on at once, in rounds: the n-th runtime that is left in a line meets the
+    n-th task that is left, until the last card of the line is given.
+    """
+    per = ["thread_id", "task_type", "work_shard"]
+    frozen = frozen_cards(executions, cards).where("intact").select(F.col("execution_id").alias("current_execution_id"), F.col("attempt").alias("current_attempt"), F.col("agent_card_id").alias("__id"), F.col("agent_card_version").alias("__version"))
+    named = resolve_cards(claim_order(tasks), cards).join(frozen, ["current_execution_id", "current_attempt"], "left")
+    first = F.col("current_execution_id").isNull()
+    named = named.withColumns({"agent_card_id": F.when(first, F.col("agent_card_id")).otherwise(F.col("__id")), "agent_card_version": F.when(first, F.col("version")).otherwise(F.col("__version"))})
+    digests = cards.select("agent_card_id", F.col("version").alias("agent_card_version"), F.col("bundle_digest").alias("agent_card_digest"), F.col("config_hash").alias("agent_card_config_hash"))
+    line = named.join(digests, ["agent_card_id", "agent_card_version"], "left").select("id", *per, "place", "current_execution_id", "current_attempt", *digests.columns, F.col("agent_card_digest").isNotNull().alias("ok"))
+    line = materialize(line, "line")
+    free = runtimes.where("status = 'idle'").select(*per, "runtime_id")
+    many = materialize(free.groupBy(*per).agg(F.count(F.lit(1)).alias("n")), "many")
+    # As many tasks with a card as there are runtimes are claimed, in order; what has none and comes before the last of them
+    # fails, or all of it where runtimes are left over. Rounds are for the lines in which a card is still to come.
+    good = numbered(line.where("ok"), per, ["place"], "good").join(many, per).where("good <= n")
+    last = materialize(good.groupBy(*per, "n").agg(F.max("place").alias("last"), F.count(F.lit(1)).alias("got")), "last")
+    ends = many.join(last.select(*per, "last", "got"), per, "left")
+    lost = line.where("not ok").join(ends, per).where((F.coalesce("got", F.lit(0)) < F.col("n")) | (F.col("place") < F.col("last")))
+    idle = materialize(free.join(last.select(*per, "last"), per).withColumn("met", F.lit(0).cast("long")), "idle")
+    rounds: list[DataFrame] = []
+    while not idle.isEmpty():
+        nth = numbered(idle, per, ["runtime_id"], "nth").withColumn("place", F.col("met") + F.col("nth")).drop("nth", "met")
+        now = materialize(nth.join(line, [*per, "place"]), "met")
+        rounds.append(now.where("ok").drop("last"))
+        steps = idle.groupBy(*per).agg((F.max("met") + F.count(F.lit(1))).alias("met"))
+        left = materialize(now.where("not ok").select(*per, "runtime_id", "last").join(steps, per).where("met < last"), "idle")
+        discard(idle)
+        idle = left
+    none = line.limit(0).withColumn("runtime_id", F.lit(None).cast("string"))
+    every = reduce(lambda a, b: a.unionByName(b), rounds, none)
+    attempt = (F.coalesce("current_attempt", F.lit(0)) + 1).alias("attempt")
+    execution = F.coalesce(F.col("current_execution_id"), F.sha2(F.concat_ws(":", F.col("id"), as_of.cast("string")), 256)).alias("execution_id")
+    until = after_seconds(as_of, F.lit(lease)).alias("lease_expires_at")
+    won = every.select(execution, attempt, F.col("id").alias("task_id"), "thread_id", "runtime_id", *digests.columns, F.lit("claimed").alias("status"), as_of.alias("claimed_at"), until)
+    failed = lost.select("id", F.lit("failed").alias("status"), F.lit("card_resolution_failed").alias("last_error"))
+    kinds = F.array(F.lit("execution.claimed"), F.lit("card.resolved"))
+    return {
+        "executions": won, "failed": failed, "runtimes": won.select("runtime_id", F.lit("loading").alias("status"), F.col("execution_id").alias("current_execution_id"), F.col("attempt").alias("current_attempt"), "lease_expires_at"),
+        "events": won.select("task_id", "execution_id", "attempt", "runtime_id", F.posexplode(kinds).alias("place", "event_type")),
+    }
+
+
 def history(executions: DataFrame, task_id: str) -> DataFrame:
     return executions.where(F.col("task_id") == task_id).orderBy("claimed_at", "attempt")
 

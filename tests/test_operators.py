@@ -384,6 +384,22 @@ def test_cards(spark):
     assert schemas.changed_cards(cards, cards.withColumn("config_hash", F.lit("z"))).count() == 4
 
 
+def test_claims_close_up(spark):
+    """Tasks without a card, or whose frozen card changed, fail one by one; their runtimes go on to the next task."""
+    cards = spark.createDataFrame([("a", "1", "active", ["x"], "d", "h")], "agent_card_id string, version string, status string, task_types array<string>, bundle_digest string, config_hash string")
+    pin = '{"agent_card_id":"none","version":"1"}'
+    rows = [(f"t{i}", "th", "x", 0, "pending", 0, None, i, pin if i in (0, 1, 2, 5, 8) else None, f"e{i}" if i in (3, 4) else None, 1 if i in (3, 4) else None) for i in range(10)]
+    rows += [("z0", "th", "y", 0, "pending", 0, None, 0, None, None, None), ("z1", "th", "y", 0, "pending", 0, None, 1, None, None, None)]
+    tasks = spark.createDataFrame(rows, "id string, thread_id string, task_type string, work_shard int, status string, blocked_by_count int, metadata string, updated_at int, card_selector string, current_execution_id string, current_attempt int")
+    runs = spark.createDataFrame([("e3", 1, "a", "1", "d", "h"), ("e4", 1, "a", "1", "old", "h")], "execution_id string, attempt int, agent_card_id string, agent_card_version string, agent_card_digest string, agent_card_config_hash string")
+    runtimes = spark.createDataFrame([("r1", "idle", "th", "x", 0), ("r2", "idle", "th", "x", 0), ("r3", "idle", "th", "x", 0), ("r4", "stopped", "th", "x", 0), ("r5", "idle", "th", "y", 0)], "runtime_id string, status string, thread_id string, task_type string, work_shard int")
+    got = scheduler.claim_with_cards(tasks, runtimes, cards, runs, F.lit("2024-01-01").cast("timestamp"))
+    # Round 1: t0, t1, t2 fail. Round 2: r1 claims t3, t4 and t5 fail. Round 3: r2 and r3 claim t6 and t7.
+    assert {(r.task_id, r.runtime_id, r.attempt) for r in got["executions"].collect()} == {("t3", "r1", 2), ("t6", "r2", 1), ("t7", "r3", 1)}
+    assert {r.id for r in got["failed"].collect()} == {"t0", "t1", "t2", "t4", "t5", "z0", "z1"}
+    assert [r.event_type for r in got["events"].where("task_id = 't3'").orderBy("place").collect()] == ["execution.claimed", "card.resolved"]
+
+
 def test_messages(spark):
     rows = [("e1", "task_available", "s", None, {"task_type": "g", "work_shard": "3"}, "t1"), ("e2", "execution_cancel", "s", "r", {}, "t1"), ("e3", "execution_cancel", "s", None, {}, None), ("e4", "note", "", None, {}, None), ("e5", "permission.requested", "s", None, {}, None), ("e6", "card.loaded", "s", "", {}, "")]
     df = spark.createDataFrame(rows, "event_id string, event_type string, sender string, target string, payload map<string,string>, task_id string").withColumns({"execution_id": F.lit(None).cast("string"), "attempt": F.lit(None).cast("int"), "request_id": F.lit(None).cast("string")})
