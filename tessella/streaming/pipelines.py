@@ -80,6 +80,17 @@ def mailbox(messages: DataFrame, subscriptions: DataFrame, remember: str = "1 ho
     return got.withWatermark(time, remember).dropDuplicatesWithinWatermark(["consumer_name", "event_id"])
 
 
+def permission_decisions(requests: DataFrame, decisions: DataFrame, seconds: int = messaging.PERMISSION_SECONDS, late: str = "10 seconds") -> DataFrame:
+    """(request_id, created_at, decision, reason) from two streams: requests (request_id, created_at) with the first decision
+    (request_id, decision, reason, decided_at) that comes in time; without one they come out as rejected for timeout once
+    both watermarks have passed the time, so neither side is kept for longer."""
+    asked = requests.select("request_id", "created_at").withWatermark("created_at", late)
+    told = decisions.select(F.col("request_id").alias("__of"), "decision", "reason", "decided_at").withWatermark("decided_at", late).dropDuplicatesWithinWatermark(["__of"])
+    in_time = F.expr(f"request_id = __of AND decided_at >= created_at AND decided_at <= created_at + INTERVAL {seconds} SECONDS")
+    met = asked.join(told, in_time, "left_outer")
+    return met.select("request_id", "created_at", F.coalesce("decision", F.lit("rejected")).alias("decision"), F.when(F.col("decision").isNull(), "timeout").otherwise(F.col("reason")).alias("reason"))
+
+
 LEASE_OUT = "execution_id string, attempt int, event_type string, at timestamp"
 
 

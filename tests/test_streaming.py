@@ -117,3 +117,30 @@ def test_claims_run_out_and_memory_ends(spark, tmp_path, rocksdb):
     got = changes(inbox.inbox_stream(stream, claim_seconds=60, remember_seconds=3600))
     assert [(r.event_id, r.result, r.cause) for r in got if r.cause == "timeout"] == [("slow", None, "timeout")]
     assert last_changes(got) == {("w", "slow"): (None, 0), ("w", "quick"): ("consumed", 0), ("w", "other"): ("consumed", 0)}
+
+
+def test_permissions_from_two_streams(spark, tmp_path):
+    """A decision in time, one that comes too late, none at all: as permissions() says of the same rows at the end."""
+    asked, told = [(r, at(0)) for r in ("yes", "late", "none")], [("yes", "approved", "ok", at(10)), ("late", "approved", "ok", at(400))]
+    more = [(f"push{k}", at(2000 + k)) for k in range(2)]
+    a, b = "request_id string, created_at timestamp", "request_id string, decision string, reason string, decided_at timestamp"
+    feed(spark, f"{tmp_path}/asked", asked, a)
+    feed(spark, f"{tmp_path}/told", told, b)
+    for k, m in enumerate(more):
+        requests = feed(spark, f"{tmp_path}/asked", [m], a)
+        decisions = feed(spark, f"{tmp_path}/told", [(f"other{k}", "approved", "ok", at(2000 + k))], b)
+    got = {r.request_id: (r.decision, r.reason) for r in drain(pipelines.permission_decisions(requests, decisions), "permits").collect()}
+    assert got == {"yes": ("approved", "ok"), "late": ("rejected", "timeout"), "none": ("rejected", "timeout")}
+    early = spark.createDataFrame([x for x in told if x[0] != "late"], b).withColumn("decided_by", F.lit("lead"))
+    batch = messaging.permissions(spark.createDataFrame(asked, a), early, F.lit(at(2000)))
+    assert got == {r.request_id: (r.decision, r.reason) for r in batch.collect()}
+
+
+def test_mailbox_and_routes(spark, tmp_path):
+    """Deliveries of a stream to a table of subscriptions, each once."""
+    schema = "event_id string, topic string, tag string, target string, created_at timestamp"
+    rows = [("a", "t", "x", "r1", at(0)), ("a", "t", "x", "r1", at(1)), ("b", "t", "y", None, at(2)), ("c", "t", "x", None, at(3)), ("d", "u", "x", "r1", at(4))]
+    stream = feed(spark, f"{tmp_path}/in", rows, schema)
+    subscriptions = spark.createDataFrame([("one", "t", "x || z", "r1", False), ("all", "t", "*", None, True), ("own", "t", "* || x", "r1", True)], "consumer_name string, topic string, tags string, target string, broadcast boolean")
+    got = sorted((r.consumer_name, r.event_id) for r in drain(pipelines.mailbox(stream, subscriptions), "mail").collect())
+    assert got == [("all", "b"), ("all", "c"), ("one", "a"), ("own", "a"), ("own", "b"), ("own", "c")]
