@@ -72,14 +72,15 @@ def overview(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def resolve_edges(edges: DataFrame, nodes: DataFrame, edge_key: str = "id") -> DataFrame:
     """edges with target_qualified: the exact name, else for other kinds than IMPORTS the only node of that name in the
     same file and parent, else in the same file, else anywhere. Only a name's candidates meet an edge, and the three
-    counts are taken before: nothing is multiplied by the number of nodes of a common name."""
+    counts are taken before: nothing is multiplied by the number of nodes of a common name. The tables of names are
+    written first, so that adaptive execution can split the edges of a name that many have."""
     base = edges.drop("target_qualified")
-    exact = nodes.select(F.col("qualified_name").alias("target_name"), F.col("qualified_name").alias("t_exact")).distinct()
+    exact = materialize(nodes.select(F.col("qualified_name").alias("target_name"), F.col("qualified_name").alias("t_exact")).distinct(), "exact")
     parents = nodes.select(F.col("qualified_name").alias("source_qualified"), F.col("parent_qualified").alias("s_parent"))
 
     def only(keys: list[str], name: str) -> DataFrame:
         g = nodes.groupBy(*[F.col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"), F.max("qualified_name").alias(name))
-        return g.where("n = 1").drop("n").withColumnRenamed("name", "target_name")
+        return materialize(g.where("n = 1").drop("n").withColumnRenamed("name", "target_name"), "only")
 
     scoped = only(["name", "file_path", "parent_qualified"], "t_scope").withColumnRenamed("parent_qualified", "s_parent")
     local, anywhere = only(["name", "file_path"], "t_local"), only(["name"], "t_any")
@@ -115,6 +116,7 @@ def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
     first = tries.join(paths, "candidate").groupBy(*key).agg(F.min_by("candidate", "at").alias("hit"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
     stems = files.groupBy(stem.alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("by_stem")).where("n = 1").drop("n")
+    stems = materialize(stems, "stems")  # a stem that many imports have can be split
     clean = F.regexp_replace(F.replace(F.col("target_name"), F.lit("\\"), F.lit("/")), r"^[./]+|[./]+$", "")
     leaf = F.element_at(F.split(F.element_at(F.split(clean, "/"), -1), r"\."), -1)
     met = base.withColumn("leaf", leaf).join(first, key, "left").join(stems, "leaf", "left")
